@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, packing, quality, secrets, warc
+from tessera.llm import chat, merkle, mixing, packing, quality, secrets, warc
 from tessera.llm.work import table
 
 
@@ -63,6 +63,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = merkle.with_next(table(spark, sf_dir, "documents"))
+    d = d.withColumn("edited", merkle.edited(F.col("text"), F.col("next_text")))
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(merkle.tree(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
+    d = d.withColumns({c: merkle.fingerprint(F.col(c)) for c in ("text", "edited", "next_text")})
+    d = d.withColumns({f"{c}_leaves": merkle.leaves(F.col(c)) for c in ("text", "edited", "next_text")})
+    near = lambda c: merkle.likeness(F.col("text"), F.col(c), F.col("text_leaves"), F.col(f"{c}_leaves"))
+    return d.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next_text").alias("near_next"),
+    )
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read(warc.archive(table(spark, sf_dir, "pages")), with_bytes=False)
     return back.where("last").select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
