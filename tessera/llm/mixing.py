@@ -153,3 +153,10 @@ def mix(docs: DataFrame, budget: float = 1.5, cap: int = 2, weights: tuple[float
     copies = F.floor(F.col("k") / F.col("n")).cast("long") + extra
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
+
+
+def repeat(docs: DataFrame, budget: float = 1.5, cap: int = 2, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it; rows that share an id are taken alike (as the most of them)."""
+    copies = mix(docs, budget, cap, weights, id_col, text_col, source_col).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(taken[c] for c in docs.columns))

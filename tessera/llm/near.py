@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -408,3 +408,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = members.join(labels, members.rep == labels.node, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     bare = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.union(bare).withColumnRenamed("id", id_col)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but the least id of each component, with all their columns; of rows that share an id one stays. Rows without an id stay."""
+    found = components(docs, id_col, text_col)
+    goes = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_goes")).distinct()
+    left = docs.join(goes, docs[id_col] == goes["_goes"], "left_anti")
+    if found.groupBy(id_col).count().where("count > 1").isEmpty():
+        return left
+    by_text = left.where(F.col(id_col).isNotNull()).withColumn("_h", F.xxhash64(*docs.columns))
+    once = by_text.dropDuplicates([id_col, "_h"]).withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("_h"))).where("_n = 1").drop("_h", "_n")
+    return once.unionByName(left.where(F.col(id_col).isNull()))

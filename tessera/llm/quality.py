@@ -206,7 +206,17 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """STATS, base_failed and kept for every row of docs."""
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, STATS, base_failed and kept for every row of docs."""
     rules = learn_from(docs, labels, id_col, text_col)
-    return stats(docs, id_col, text_col, keep).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
+    return stats(docs, id_col, text_col).withColumns({"base_failed": base_failed(), "kept": verdict(rules)})
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the list keeps, with all their columns."""
+    rules = learn_from(docs, labels, id_col, text_col)
+    own = [f"own{i}" for i in range(len(docs.columns))]  # columns of docs may be named as statistics are
+    named = docs.toDF(*own)
+    rest = [c for c, was in zip(own, docs.columns, strict=True) if was != id_col]
+    judged = stats(named, own[docs.columns.index(id_col)], own[docs.columns.index(text_col)], tuple(rest))
+    return judged.where(verdict(rules)).select(*own).toDF(*docs.columns)
