@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, merkle, mixing, near, packing, quality, secrets, toxicity, warc
+from tessera.llm import chat, merkle, mixing, near, packing, quality, secrets, substrings, toxicity, warc
 from tessera.llm.work import table
 
 
@@ -44,6 +44,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "other_id", "start", "end", "other_start", "other_end", "matched")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
