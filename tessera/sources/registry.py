@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Reader = Callable[[SparkSession, list[str]], DataFrame]
 _readers: dict[str, Reader] = {}
@@ -85,7 +86,7 @@ def html_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text)
 
