@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_CONTENT = 1000
 
@@ -46,4 +47,4 @@ def ask(results: DataFrame, generator: Callable[[list[str]], list[str]], templat
             prompts = [template.format(query=q, document=(d or "")[:MOST_CONTENT]) for q, d in zip(pdf["text"], pdf["page_content"], strict=True)]
             yield pdf.assign(answer=pd.Series(generator(prompts), dtype=object, index=pdf.index))
 
-    return results.mapInPandas(run, results.schema.add("answer", "string"))
+    return results.mapInPandas(run, T.StructType([*results.schema.fields, T.StructField("answer", T.StringType())]))

@@ -96,7 +96,7 @@ def _content(df: DataFrame, content: Column) -> DataFrame:
 
 
 def _whole(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(paths)
+    return spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
 
 
 @register("txt")
