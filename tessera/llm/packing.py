@@ -69,6 +69,12 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     plan, opened = [], 0
     gaps: list[int] = []  # sorted sizes of gaps that some sequences have
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs (first sequence, how many)
+    def put_back(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if not runs[gap]:
+                insort(gaps, gap)
+            runs[gap].append((first, n))
+
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         if length > capacity:
@@ -80,21 +86,24 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
                 first, n = runs[gap].pop()
                 if not runs[gap]:
                     gaps.pop(at)
-                if n > left:
-                    if not runs[gap]:
-                        insort(gaps, gap)
-                    runs[gap].append((first + left, n - left))
-                    n = left
-            else:
-                # no gap holds this length: new sequences, which take as many of it as they hold before another opens
+            else:  # no gap holds this length: new sequences
                 gap, first, n = capacity, opened, -(-left // (capacity // length))
                 opened += n
-            plan.append((length, rank, n, first, capacity - gap))
-            rank, left = rank + n, left - n
-            if rest := gap - length:
-                if not runs[rest]:
-                    insort(gaps, rest)
-                runs[rest].append((first, n))
+            # a sequence that took one stays the best fit, so each is filled before the next
+            each = gap // length
+            full = min(n, left // each)
+            for k in range(each if full else 0):
+                plan.append((length, rank, full, first, capacity - gap + k * length))
+                rank += full
+            left -= each * full
+            put_back(gap - each * length, first, full)
+            if full < n:
+                for k in range(left):
+                    plan.append((length, rank, 1, first + full, capacity - gap + k * length))
+                    rank += 1
+                put_back(gap - left * length, first + full, 1)
+                put_back(gap, first + full + 1, n - full - 1)
+                left = 0
     return plan
 
 
