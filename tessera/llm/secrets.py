@@ -61,10 +61,10 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     known: dict[str, tuple[str, int, int]] = {}
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     i = 0
-    while i + 2 < len(tokens):
+    while i < len(tokens):
         kind, name, *_ = tokens[i]
-        op = tokens[i + 1]
-        if kind == "word" and name.endswith("=") and _NAME.match(name[:-1]) and tokens[i + 1][0] == "str":  # NAME="literal"
+        op = tokens[i + 1] if i + 1 < len(tokens) else ("", "")
+        if kind == "word" and name.endswith("=") and _NAME.match(name[:-1]) and op[0] == "str":  # NAME="literal"
             name, at = name[:-1], i + 1
         elif kind == "word" and "=" in name:  # NAME=literal
             left, _, right = name.partition("=")
