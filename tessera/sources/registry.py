@@ -169,3 +169,8 @@ def as_documents(df: DataFrame) -> DataFrame:
     if not have:
         raise TypeError("neither page_content nor text")
     return df.withColumn("page_content", F.coalesce(*have, F.lit("")))
+
+
+def web_results(found: DataFrame) -> DataFrame:
+    """Search results (title, href, body) without video links, as title, link, snippet."""
+    return found.where(~F.contains("href", F.lit("youtube.com"))).select("title", F.col("href").alias("link"), F.col("body").alias("snippet"))
