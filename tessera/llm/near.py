@@ -8,9 +8,10 @@ Sets of one content are collapsed first, so copies cost a row each. Then, with t
   meets in a list. The order of shingles puts frequent ones last (then by hash), so lists are short and what many documents share (lines, passages) is
   posted only by documents that have little else.
 
-The boundary minimises rows written by subsets plus rows posted and scanned, from the histogram of sizes. Links are found in two rounds, so that a group of n near
-copies does not cost n*n pairs. Round one pairs each member of a list with the list's least one only. Round two takes the lists of three or more
-whose members are still in different components and pairs members across components, in blocks of bounded size. A pair is dropped before its texts are fetched only if the
+The boundary minimises rows written by subsets plus rows posted and scanned, from the histogram of sizes. Links are found in three rounds, so that a group of n near
+copies does not cost n*n pairs. Round one pairs each member of a list with the list's least one only. The others take the lists of three or more
+whose members are still in different components: round two compares members with large components as wholes, against indexes of their blocks, round three pairs members of small
+ones across components, in blocks of bounded size. A pair is dropped before its texts are fetched only if the
 shingles that it shares among those posted cannot reach the threshold. What is left is compared exactly. So no link between different components is lost; links within one are not all tested.
 
 Defined cases: null, empty and word-less texts have no shingle and are linked with nothing; a text with fewer words than a shingle is one shingle; rows that share
@@ -37,10 +38,14 @@ U = np.uint64
 TOP, BOTTOM = 75, 100
 SHINGLE = 5
 #: The most frequent shingles known to all tasks (8 bytes each), least documents of one, and least in a batch of a task for it to be counted.
-MOST_HEAVY, HEAVY, HEAVY_HERE = 1 << 18, 16, 3
+MOST_HEAVY, HEAVY, HEAVY_HERE = 1 << 20, 8, 2
 #: No boundary between small and large sets is above this.
 MOST_SMALL = 14
 BLOCK = 256
+#: Representatives of a component that is compared as a whole.
+LARGE = 64
+#: Bits of a set by which pairs are left out before they are written.
+BITS = 2048
 #: Bits of the filter of ids whose texts are fetched; false positives only cost a row.
 FILTER_BITS = 1 << 24
 
@@ -235,63 +240,98 @@ def _rows(kind: int, x, y, sx, sy, two, more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), pa.array(y), pa.array(sx.astype(np.int32)), pa.array(sy.astype(np.int32)), pa.array(two.astype(np.int64)), pa.array(more.astype(np.int64))], ["kind", "x", "y", "sx", "sy", "two", "more"])
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> id, size of its set, BITS bits of which each shingle sets one."""
+    for b in batches:
+        size, bits = [], []
+        for _, s in sets(b.column(1)):
+            flags = np.zeros(BITS, bool)
+            flags[(mix(s) % U(BITS)).astype(np.int64)] = True
+            size.append(len(s))
+            bits.append(np.packbits(flags).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["id", "size", "bits"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (list, i, j, block, rep, label, size, subset): pairs of one block pair whose labels differ, with how often they meet in this batch."""
-    carry: pa.Table | None = None
+    """Sorted rows (leader, i, j, list, subset, block, rep, label, size, bits); list is null where bits are: pairs of a group of lists whose labels differ, with how many lists they share.
+
+    A pair is left out if the bits that both have set, and the shingles that share a bit with another of their set, are too few for the threshold."""
+    carry: list[pa.Table] = []
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = {k: t.column(k).to_numpy() for k in ("list", "i", "j", "block", "rep", "label", "size", "subset")}
-        new = np.ones(len(c["list"]), bool)
-        new[1:] = (c["list"][1:] != c["list"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])
+        known = np.asarray(t.column("list").is_null())
+        about, members = t.filter(pa.array(known)), t.filter(pa.array(~known))
+        names, first, times = np.unique(about.column("rep").to_numpy(), return_index=True, return_counts=True)
+        words = np.stack([np.frombuffer(x, np.uint64) for x in about.column("bits").to_pylist()])[first] if len(names) else np.zeros((0, BITS // 64), U)
+        words[times > 1] = U(2**64 - 1)  # several texts under one id: no bits to go by
+        extra = about.column("size").to_numpy()[first] - np.bitwise_count(words).sum(axis=1)
+        extra[times > 1] = 1 << 30
+        c = {k: members.column(k).to_numpy() for k in ("i", "j", "list", "subset", "block", "rep", "label", "size")}
+        if not len(c["rep"]):
+            return
+        number = np.searchsorted(names, c["rep"])
+        i, j = c["i"][0], c["j"][0]
+        new = np.ones(len(number), bool)
+        new[1:] = (c["list"][1:] != c["list"][:-1]) | (c["subset"][1:] != c["subset"][:-1])
         at = np.flatnonzero(new)
-        out, held = [], 0
+        out: list[tuple] = []
+        held = 0
         for p, q in zip(at, np.append(at[1:], len(new)), strict=True):
-            rep, label, size, block = (c[k][p:q] for k in ("rep", "label", "size", "block"))
-            i, j, subset = c["i"][p], c["j"][p], c["subset"][p]
+            own, label, size, block = number[p:q], c["label"][p:q], c["size"][p:q], c["block"][p:q]
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             a, b = size[left][:, None].astype(np.int64), size[right][None, :].astype(np.int64)
             ok = (label[left][:, None] != label[right][None, :]) & (BOTTOM * np.minimum(a, b) >= TOP * np.maximum(a, b))
             if i == j:
-                ok &= rep[left][:, None] < rep[right][None, :]
+                ok &= own[left][:, None] < own[right][None, :]
+            subset = int(c["subset"][p])
             if subset:
-                ok &= (BOTTOM + TOP) * int(subset) >= TOP * (a + b)
+                ok &= (BOTTOM + TOP) * subset >= TOP * (a + b)
             u, v = np.nonzero(ok)
             if len(u):
-                x, y, sx, sy = rep[left[u]], rep[right[v]], size[left[u]], size[right[v]]
-                turn = x < y  # x is the greater id, as in round one
-                out.append((np.where(turn, y, x), np.where(turn, x, y), np.where(turn, sy, sx), np.where(turn, sx, sy), np.full(len(u), 1 << 20 if subset else 1)))
+                out.append((own[left[u]], own[right[v]], size[left[u]], size[right[v]], np.full(len(u), 1 << 20 if subset else 1)))
                 held += len(u)
-                if held > 500_000:
-                    yield counted(out)
-                    out, held = [], 0
-        if out:
-            yield counted(out)
+                if held > 2_000_000:
+                    out = [counted(out)]
+                    held = len(out[0][0])
+        if not out:
+            return
+        x, y, sx, sy, n = counted(out)
+        for k in range(0, len(x), 100_000):
+            u, v, a, b, m = (w[k : k + 100_000] for w in (x, y, sx, sy, n))
+            most = np.bitwise_count(words[u] & words[v]).sum(axis=1).astype(np.int64) + np.minimum(extra[u], extra[v])
+            ok = (BOTTOM + TOP) * most >= TOP * (a.astype(np.int64) + b)
+            u, v, a, b, m = (w[ok] for w in (u, v, a, b, m))
+            turn = names[u] < names[v]  # x is the greater id, as in round one
+            if len(u):
+                yield _rows(0, np.where(turn, names[v], names[u]), np.where(turn, names[u], names[v]), np.where(turn, b, a), np.where(turn, a, b), np.zeros(len(u)), m)
 
-    def counted(out: list) -> pa.RecordBatch:
+    def counted(out: list[tuple]) -> tuple:
         x, y, sx, sy, n = (np.concatenate(v) for v in zip(*out, strict=True))
         order = np.lexsort((sy, sx, y, x))
         x, y, sx, sy, n = (v[order] for v in (x, y, sx, sy, n))
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1])
         at = np.flatnonzero(new)
-        return _rows(0, x[at], y[at], sx[at], sy[at], np.zeros(len(at)), np.add.reduceat(n, at))
+        return x[at], y[at], sx[at], sy[at], np.add.reduceat(n, at)
 
     for b in batches:
         t = pa.Table.from_batches([b])
-        t = pa.concat_tables([carry, t]) if carry is not None else t
-        last = {k: t.column(k)[-1].as_py() for k in ("list", "i", "j")} if t.num_rows else {}
-        if not last:
+        if not t.num_rows:
             continue
-        # the last group may go on in the next batch
-        same = np.ones(t.num_rows, bool)
-        for k, v in last.items():
-            same &= t.column(k).to_numpy() == v
-        cut = int(np.argmax(same))
-        if cut:
-            yield from pairs(t.slice(0, cut))
-        carry = t.slice(cut)
-    if carry is not None and carry.num_rows:
-        yield from pairs(carry)
+        keys = [t.column(k).to_numpy() for k in ("leader", "i", "j")]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        if carry:
+            new[0] = any(carry[-1].column(k)[-1].as_py() != t.column(k)[0].as_py() for k in ("leader", "i", "j"))
+        at = np.append(np.flatnonzero(new), t.num_rows)
+        if at[0] or not carry:  # the start goes on with the group before
+            carry.append(t.slice(0, at[0]))
+        for p, q in zip(at, at[1:], strict=False):
+            if carry and sum(x.num_rows for x in carry):
+                yield from pairs(pa.concat_tables(carry))
+            carry = [t.slice(p, q - p)]
+    if carry and sum(x.num_rows for x in carry):
+        yield from pairs(pa.concat_tables(carry))
 
 
 _PAIRS = "kind tinyint, x bigint, y bigint, sx int, sy int, two bigint, more bigint"
@@ -351,6 +391,58 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "x bigint, y bigint").distinct()
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Rows (list, subset, rep, label, size) of lists that have several labels, with the least member of their list."""
+    mixed = members.groupBy("list", "subset").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("leader")).where("least <> most")
+    return members.join(mixed.select("list", "subset", "leader"), ["list", "subset"])
+
+
+def compare_with_components(tests: DataFrame, members: DataFrame, sizes: DataFrame, docs: DataFrame, work: Work) -> DataFrame:
+    """tests (x, to): one link (u, v) for each block of a component in which x reaches the threshold with a member. members: rep, label; sizes: label, n.
+
+    A component is dealt over blocks of about BLOCK members; what is tested against it goes to each. Counts of common shingles come from an
+    index of the block, so pairs are never written out."""
+    blocks = sizes.select("label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "label").select("label", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("id"), F.lit(0).alias("test"))
+    asked = tests.join(blocks, tests["to"] == blocks["label"]).select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("id"), F.lit(1).alias("test"))
+    texts = work.keep(fetch(docs, own.select("id").union(asked.select("id")).distinct()), "texts")
+    rows = own.union(asked).join(texts, "id").select("label", "block", "test", "id", "text")
+    parts = buckets_for(docs.sparkSession, 0, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, index, held = None, None, []
+
+        def build() -> tuple:
+            shingles = np.concatenate([s for _, s in held] or [np.zeros(0, U)])
+            owner = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+            order = np.argsort(shingles, kind="stable")
+            return shingles[order], owner[order], np.array([len(s) for _, s in held]), [i for i, _ in held]
+
+        for b in batches:
+            labels, blocks, test, ids = (b.column(k).to_pylist() for k in range(4))
+            u, v = [], []
+            for i, s in sets(b.column(4)):
+                if (labels[i], blocks[i]) != group:
+                    group, index, held = (labels[i], blocks[i]), None, []
+                if not test[i]:
+                    held.append((ids[i], s))
+                    continue
+                if index is None:
+                    index = build()
+                shingles, owner, n, names = index
+                low, high = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+                width = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+                common = np.bincount(owner[at], minlength=len(n))
+                hit = np.flatnonzero((common > 0) & (BOTTOM * common >= TOP * (len(s) + n - common)))
+                if len(hit):
+                    u.append(ids[i])
+                    v.append(names[hit[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return rows.repartition(parts, "label", "block").sortWithinPartitions("label", "block", "test", "id").mapInArrow(run, "u bigint, v bigint")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for every row of docs with an id."""
     spark = docs.sparkSession
@@ -390,15 +482,46 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = work.keep(compare(tried, work.keep(fetch(docs, ids(tried)), "texts")).select(F.col("x").alias("u"), F.col("y").alias("v")).union(twice), "links")
     labels = connected_components(links, work)
 
-    # round two: lists of three or more with members of several components
-    at = stands.join(labels, stands.rep == labels.node, "left").select("id", "rep", F.coalesce("label", "rep").alias("label"))
+    # lists of three or more whose members are still in different components
+    places = lambda now: stands.select("rep").distinct().join(now, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    at = work.keep(places(labels), "at")
     long = lists.where("kind = 1").select(F.col("x").alias("id"), F.col("y").alias("list"), F.col("sx").alias("size"), F.col("sy").alias("subset"))
-    long = long.join(at, "id").select("list", "subset", "rep", "label", "size").distinct()
-    mixed = long.groupBy("list", "subset").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k")).where("low <> high").select("list", "subset", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    left = work.keep(long.join(mixed, ["list", "subset"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "left")
+    long = long.join(stands, "id").join(at, "rep").select("list", "subset", "rep", "label", "size").distinct()
+    left = work.keep(_mixed(long), "left")
+
+    # round two: members against whole components that are large
+    large = work.keep(at.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE), "large")
+    held = left.join(large.select("label"), "label").groupBy("list", "subset", F.col("label").alias("to")).agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    meets = left.join(large.select("label", F.lit(True).alias("is_large")), "label", "left").join(held, ["list", "subset"])
+    meets = meets.where((F.col("label") != F.col("to")) & (F.col("is_large").isNull() | (F.col("label") > F.col("to"))))
+    meets = meets.where((BOTTOM * F.col("high").cast("long") >= TOP * F.col("size")) & (BOTTOM * F.col("size").cast("long") >= TOP * F.col("low")))
+    sure = F.max(F.col("subset") > 0).cast("int") * (1 << 20)
+    meets = meets.groupBy(F.col("rep").alias("x"), "to").agg((F.count("*") + sure).alias("n"), F.max("size").alias("sx"), F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = one.where("two > 0")
+    ways = pairs.select("x", "y", "two").union(pairs.select("y", "x", "two")).toDF("x", "rep", "two")
+    by_two = ways.join(at, "rep").join(large.select("label"), "label").groupBy("x", F.col("label").alias("to")).agg(F.sum("two").alias("two"))
+    meets = meets.join(by_two, ["x", "to"], "left").withColumn("n", F.col("n") + F.coalesce("two", F.lit(0)))
+    nearest = lambda c: F.greatest(F.least(F.col(c), F.floor(F.col("sx") * BOTTOM / TOP)), F.ceil(F.col("sx") * TOP / BOTTOM))
+    bound = lambda c: meets.withColumn("sy", nearest(c)).where(_possible(F.col("n"))).select("x", "to")
+    tests = work.keep(bound("low").union(bound("high")).distinct(), "tests")
+    found = work.keep(compare_with_components(tests, at.join(tests.select(F.col("to").alias("label")).distinct(), "label", "left_semi"), large, docs, work), "found")
+    labels = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found), work)
+
+    # round three: members of small components with each other
+    rest = left.join(large.select("label"), "label", "left_anti").drop("label").join(places(labels), "rep").select("list", "subset", "rep", "label", "size")
+    left = work.keep(_mixed(rest), "left")
+    # lists of one least member go to one place, where their pairs are counted together
+    own = left.select("leader", "rep", "label", "size").distinct()
+    blocks = own.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    texts = fetch(docs, left.select(F.col("rep").alias("id")).distinct())
+    bits = work.keep(texts.mapInArrow(_bits, "id bigint, size int, bits binary"), "bits")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = left.withColumn("to", F.explode(others)).select("list", F.col("to.i").alias("i"), F.col("to.j").alias("j"), "block", "rep", "label", "size", "subset")
-    dealt = dealt.repartition(buckets, "list", "i", "j").sortWithinPartitions("list", "subset", "i", "j")
+    deal = lambda d: d.join(blocks, "leader").withColumn("block", block).withColumn("to", F.explode(others)).select("leader", F.col("to.i").alias("i"), F.col("to.j").alias("j"), "list", "subset", "block", "rep", "label", "size", "bits")
+    null = lambda kind: F.lit(None).cast(kind)
+    about = own.select("leader", "rep").distinct().join(bits, F.col("rep") == F.col("id")).select("leader", null("bigint").alias("list"), null("int").alias("subset"), "rep", null("bigint").alias("label"), "size", "bits")
+    dealt = deal(left.select("leader", "list", "subset", "rep", "label", "size", null("binary").alias("bits"))).union(deal(about))
+    dealt = dealt.repartition(buckets, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "list", "subset")
     two = dealt.mapInArrow(_across, _PAIRS).groupBy("x", "y").agg(F.max("sx").alias("sx"), F.max("sy").alias("sy"), F.sum("more").alias("more"))
     two = two.join(one.select("x", "y", "two"), ["x", "y"], "left").where(_possible(F.col("more") + F.coalesce("two", F.lit(0)))).select("x", "y").join(tried, ["x", "y"], "left_anti")
     two = work.keep(two, "two")
