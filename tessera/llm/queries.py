@@ -45,8 +45,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shared passage from both documents' side."""
     found = substrings.passages(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "other_id", "start", "end", "other_start", "other_end", "matched")
+    there = found.select("doc_id", F.col("other_id").alias("other_doc_id"), "start", "end", "other_start", "other_end", "matched")
+    back = found.select("other_id", "doc_id", "other_start", "other_end", "start", "end", "matched")
+    return there.union(back)
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
