@@ -76,7 +76,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     every = Window.orderBy("part")
     # a row a range: its first id, and the range before it (before the first one the last)
     linked = first_ids.withColumn("back", F.coalesce(F.lag("part").over(every), F.max("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = d.drop("part").join(linked.select(F.col("id").alias("head"), "back"), F.col("id").eqNullSafe(F.col("head")))
+    heads = d.drop("part").join(F.broadcast(linked.select(F.col("id").alias("head"), "back")), F.col("id").eqNullSafe(F.col("head")))  # at most a row a range
     heads = heads.groupBy("back").agg(F.min_by("text", F.xxhash64("text")).alias("head_text"))
     within = Window.partitionBy("part").orderBy(*order)
     d = d.withColumns({"lead_text": F.lead("text").over(within)}).join(heads, F.col("part") == F.col("back"), "left")
