@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.words import mix, slices, span_hash, windows
-from tessera.llm.work import Work, buckets_for
+from tessera.llm.work import Work, buckets_for, small_batches
 
 U = np.uint64
 #: The threshold as a fraction, compared in whole numbers: TOP * union <= BOTTOM * intersection.
@@ -39,6 +39,8 @@ TOP, BOTTOM = 75, 100
 SHINGLE = 5
 #: The most frequent shingles known to all tasks (8 bytes each), least documents of one, and least in a batch of a task for it to be counted.
 MOST_HEAVY, HEAVY, HEAVY_HERE = 1 << 20, 8, 2
+#: Sets of which a task remembers that it has had them (copies beyond cost only time).
+MOST_SEEN = 200_000
 #: No boundary between small and large sets is above this.
 MOST_SMALL = 14
 BLOCK = 256
@@ -85,30 +87,32 @@ def content_key(hashes: np.ndarray) -> tuple[int, int]:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: id, set size, content key. Kind 1: a shingle that is in several different sets here, and in how many."""
     seen: set[tuple[int, int]] = set()
-    for b in batches:
-        ids = b.column(0).to_pylist()
-        rows, kept, held = [], [], 0
+    kept: list[np.ndarray] = []
+    held = 0
 
-        def frequent(kept: list[np.ndarray]) -> pa.RecordBatch:
-            shingles, n = np.unique(np.concatenate(kept or [np.zeros(0, U)]), return_counts=True)
-            often = n >= HEAVY_HERE
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.array(shingles[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["kind", "a", "n", "k1", "k2"])
+    def frequent() -> pa.RecordBatch:
+        shingles, n = np.unique(np.concatenate(kept or [np.zeros(0, U)]), return_counts=True)
+        often = n >= HEAVY_HERE
+        k = int(often.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.array(shingles[often].view(np.int64)), pa.array(n[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["kind", "a", "n", "k1", "k2"])
 
+    for b in batches:
+        ids = b.column(0).to_pylist()
+        rows = []
         for i, s in sets(b.column(1)):
             key = content_key(s)
             rows.append((0, ids[i], len(s), *key))
             if key not in seen:
-                if len(seen) < 1_000_000:
+                if len(seen) < MOST_SEEN:
                     seen.add(key)
                 kept.append(s)
                 held += len(s)
-                if held > 4_000_000:
-                    yield frequent(kept)
+                if held > 2_000_000:
+                    yield frequent()
                     kept, held = [], 0
-        yield frequent(kept)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int8(), *[pa.int64()] * 4), strict=True)], ["kind", "a", "n", "k1", "k2"])
+    yield frequent()
 
 
 def subset_sizes(a: int, small: int) -> list[int]:
@@ -146,7 +150,7 @@ def _signatures(buckets: int, small: int, shared):
                 a = len(s)
                 if not a or (key := content_key(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < MOST_SEEN:
                     seen.add(key)
                 for c in subset_sizes(a, small):
                     chosen = mix(s)[np.array(list(combinations(range(a), c)))]
@@ -158,7 +162,7 @@ def _signatures(buckets: int, small: int, shared):
                         s = np.concatenate((s[~late], s[late]))
                     found.append((s[: posted(a)], ids[i], a))
                     total += posted(a)
-                if total > 1_000_000:
+                if total > 300_000:
                     yield _packed(found, buckets)
                     found, total = [], 0
             if found:
@@ -290,7 +294,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(u):
                 out.append((own[left[u]], own[right[v]], size[left[u]], size[right[v]], np.full(len(u), 1 << 20 if subset else 1)))
                 held += len(u)
-                if held > 2_000_000:
+                if held > 300_000:
                     out = [counted(out)]
                     held = len(out[0][0])
         if not out:
@@ -446,6 +450,7 @@ def compare_with_components(tests: DataFrame, members: DataFrame, sizes: DataFra
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for every row of docs with an id."""
     spark = docs.sparkSession
+    small_batches(spark)
     work = Work(spark, "near")
     docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).where("id IS NOT NULL")
 
@@ -458,7 +463,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = rows.count()
 
     # documents of one content: the least id stands for all
-    first = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # (kept, so that the join below has plain shuffles on both sides, of which a large group of copies can be split)
+    first = work.keep(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "first")
     members = work.keep(rows.where("n > 0").join(first, ["k1", "k2"]).select("id", "rep", "n"), "members")
     twice = members.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
 
@@ -514,7 +520,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if not left.isEmpty():
         # lists of one least member go to one place, where their pairs are counted together
         own = left.select("leader", "rep", "label", "size").distinct()
-        blocks = own.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        blocks = work.keep(own.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
         texts = fetch(docs, left.select(F.col("rep").alias("id")).distinct())
         bits = work.keep(texts.mapInArrow(_bits, "id bigint, size int, bits binary"), "bits")
         block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")

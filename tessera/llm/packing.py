@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import encoder
-from tessera.llm.work import Work, buckets_for
+from tessera.llm.work import Work, buckets_for, small_batches
 
 CAPACITY, END_ID = 1024, 2
 
@@ -38,6 +38,7 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, columns in keep, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit)."""
+    small_batches(docs.sparkSession)
     taken = [id_col, *keep]
     names = [f"c{i}" for i in range(len(taken))] + ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     tail = b"" if end_id is None else end_id.to_bytes(4, "little")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import Slice, mix, slices, span_hash, windows
+from tessera.llm.work import small_batches
 
 MAX_LABELLED = 20_000
 #: A rule's least precision among rows that it was not grown on, and the most rules and conditions.
@@ -95,6 +96,7 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 own = [b.column(i).slice(s.first, s.rows) for i in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in made)], names)
 
+    small_batches(docs.sparkSession)
     # the pass uses names of its own, so no column of docs can clash with a statistic
     taken = [id_col, *keep]
     names = [f"c{i}" for i in range(len(taken))] + list(STATS)

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.work import small_batches
+
 # The plain patterns, in the order in which kinds are listed, with the length each needs.
 BASE = (
     ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
@@ -132,6 +134,7 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t.as_py() or "")] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, span)], ["id", "spans"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumnRenamed("id", id_col)
 
@@ -154,6 +157,7 @@ def mask_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             k = b.schema.get_field_index(text_col)
             yield b.set_column(k, b.schema.field(k), pa.array([t if t is None else masked(t) for t in b.column(k).to_pylist()], b.schema.field(k).type))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

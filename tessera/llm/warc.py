@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.work import Work
+from tessera.llm.work import Work, small_batches
 
 CHUNK = 1 << 18
 #: Bytes after which a task starts another archive.
@@ -68,6 +68,7 @@ def _parts(data: memoryview, size: int) -> Iterator[memoryview]:
 
 def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK) -> DataFrame:
     """Write archives under folder (any URI that pyarrow.fs opens); returns the manifest: path, records, bytes. Run it once: keep what it returns."""
+    small_batches(pages.sparkSession)
     p = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("payload"))
     p = p.withColumns({"digest": F.sha1(F.encode("payload", "UTF-8")), "size": F.octet_length("payload").cast("long")})
     # one row a payload that occurs more than once; a frequent payload is counted before it is shuffled

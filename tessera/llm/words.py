@@ -23,7 +23,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _power(base: int, n: int) -> np.ndarray:

@@ -47,6 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts are long, so an Arrow batch has no more rows than this: some megabytes, of which a worker holds a few copies.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def buckets_for(spark: SparkSession, rows: int, rows_per_bucket: int) -> int:
     """A number of buckets that grows with the input and is never below the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(rows / rows_per_bucket))
