@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import slices
-from tessera.llm.work import Work
+from tessera.llm.work import Work, small_batches
 
 MAX_LABELLED = 20_000
 LEAST_SCORE = 0.3
@@ -59,6 +59,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["code", "n"])
 
+    small_batches(docs.sparkSession)
     out = np.zeros(_SYMBOLS**3, np.int64)
     for r in docs.select(docs[text_col]).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[r.code] = r.n
@@ -115,11 +116,18 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+€£¡]|[^\W\d_][.\-_*~'`,/\\:;^][^\W\d_](?:[.\-_*~'`,/\\:;^][^\W\d_])+", re.S)
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = re.compile(r"[^\W\d_]+")
+_THRICE = re.compile(r"(.)\1\1")
+_ENDS = ".,;:!?'\"()[]|*%&#-"
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 
 
 def restored(token: str, channel: Channel) -> tuple[str, ...]:
     """Words of a token, in lower case: its plain words and, if it looks disguised, what it decodes to."""
+    bare = token.strip(_ENDS)
+    if bare.isalpha() and not _THRICE.search(bare):
+        return (bare,)  # nearly all tokens
+    if token.endswith("$$$"):
+        token = token.rstrip("$")  # a rule or decoration, not letters
     plain = tuple(_PLAIN.findall(token))
     # a sign at the end may belong to the word or not, so both readings are decoded
     ends = {_EDGE.sub("", token), token.strip(".,;:'\"()[]")}
@@ -159,23 +167,23 @@ class Model:
 
     def __init__(self, lexicon: dict[str, float], weights: np.ndarray, channel: Channel):
         self.lexicon, self.weights, self.channel = lexicon, weights, channel
+        self.starts = {_stem(f)[: PREFIXES[0]] for f in lexicon}
 
     def weight(self, words: tuple[str, ...]) -> float:
-        return max((self.lexicon.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+        return max((self.lexicon.get(f, 0.0) for w in words if w[: PREFIXES[0]] in self.starts for f in features(w)), default=0.0)
 
     def hits(self, text: str, cache: dict[str, float]) -> tuple[int, int, float]:
         """Tokens of a text, those with a word in the lexicon, and the sum of their log-odds."""
         low = text.lower()
         tokens = low.split()
-        found = []
-        for token in tokens:
-            w = cache.get(token)
-            if w is None:
-                if len(cache) >= MOST_CACHED:
-                    cache.clear()
-                w = cache[token] = self.weight(restored(token, self.channel))
-            if w:
-                found.append(w)
+        weights = list(map(cache.get, tokens))
+        if None in weights:
+            for i, w in enumerate(weights):
+                if w is None:
+                    if len(cache) >= MOST_CACHED:
+                        cache.clear()
+                    weights[i] = cache[tokens[i]] = self.weight(restored(tokens[i], self.channel))
+        found = list(filter(None, weights))
         for m in _SPACED.finditer(low):
             if len(_LETTER.findall(m.group())) >= 3 and (w := self.weight((self.channel.decode(m.group()),))):
                 found.append(w)
@@ -263,6 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column]
 
 def counts(docs: DataFrame, model: Model, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, columns in keep, tokens, hits and their summed log-odds of every row: one narrow pass."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: MOST_CANDIDATES features, a trigram table
     taken = [id_col, *keep]
     names = [f"c{i}" for i in range(len(taken))] + ["tokens", "hits", "odds"]
