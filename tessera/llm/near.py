@@ -5,7 +5,7 @@ Sets of one content are collapsed first, so copies cost a row each. Then, with t
 * Small sets (a up to a boundary) enumerate fixed-size subsets: for every size b that a partner may have, a pair must share c = ceil(t(a+b)/(1+t)) shingles, so
   both list their c-subsets, and a shared subset is a link.
 * Large sets, and small ones with partners beyond the boundary, post their first a - ceil(ta) + 1 shingles to inverted lists, which are scanned: any linked pair
-  meets in a list. The order of shingles puts frequent ones last (then by hash), so lists are short and what many documents share (lines, passages) is
+  meets in a list. The order of shingles puts frequent ones last (then by hash), so lists are short (a long one is dealt over parts) and what many documents share (lines, passages) is
   posted only by documents that have little else.
 
 The boundary minimises rows written by subsets plus rows posted and scanned, from the histogram of sizes. Links are found in three rounds, so that a group of n near
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.words import mix, slices, span_hash, windows
-from tessera.llm.work import Work, buckets_for, small_batches
+from tessera.llm.work import Work, buckets_for, by_bucket, small_batches
 
 U = np.uint64
 #: The threshold as a fraction, compared in whole numbers: TOP * union <= BOTTOM * intersection.
@@ -41,6 +41,8 @@ SHINGLE = 5
 MOST_HEAVY, HEAVY, HEAVY_HERE = 1 << 20, 8, 2
 #: Sets of which a task remembers that it has had them (copies beyond cost only time).
 MOST_SEEN = 200_000
+#: A list of a frequent shingle is dealt over parts of about this many members.
+PART = 4096
 #: No boundary between small and large sets is above this.
 MOST_SMALL = 14
 BLOCK = 256
@@ -50,6 +52,8 @@ LARGE = 64
 BITS = 2048
 #: Bits of the filter of ids whose texts are fetched; false positives only cost a row.
 FILTER_BITS = 1 << 24
+#: Mark of a posting to a split list, above its size and subset size.
+SPLIT = 1 << 30
 
 
 def needed(a: int, b: int) -> int:
@@ -141,10 +145,10 @@ def _signatures(buckets: int, small: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        heavy = shared.value
+        heavy, parts_of = shared.value
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found: list[tuple[np.ndarray, int, int]] = []
+            found: list[tuple] = []
             total = 0
             for i, s in sets(b.column(1)):
                 a = len(s)
@@ -157,10 +161,16 @@ def _signatures(buckets: int, small: int, shared):
                     found.append((mix(chosen.sum(axis=1, dtype=U) + U(c)), ids[i], a | c << 24))
                     total += len(chosen)
                 if posts(a, small):
+                    parts = np.ones(a, np.int64)
                     if len(heavy):
-                        late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
+                        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
+                        late = heavy[at] == s
+                        parts = np.concatenate((parts[~late], parts_of[at[late]]))
                         s = np.concatenate((s[~late], s[late]))
-                    found.append((s[: posted(a)], ids[i], a))
+                    s, parts = s[: posted(a)], parts[: posted(a)]
+                    found.append((s[parts == 1], ids[i], a))
+                    if (parts > 1).any():
+                        found.append((s[parts > 1], ids[i], a | SPLIT, parts[parts > 1]))
                     total += posted(a)
                 if total > 300_000:
                     yield _packed(found, buckets)
@@ -171,11 +181,14 @@ def _signatures(buckets: int, small: int, shared):
     return run
 
 
-def _packed(found: list[tuple[np.ndarray, int, int]], buckets: int) -> pa.RecordBatch:
-    n = [len(x) for x, _, _ in found]
-    sig = np.concatenate([x for x, _, _ in found])
-    ids, size = np.repeat(np.array([i for _, i, _ in found], np.int64), n), np.repeat(np.array([a for *_, a in found], np.int32), n)
-    to = (sig % U(buckets)).astype(np.int32)
+def _packed(found: list[tuple], buckets: int) -> pa.RecordBatch:
+    n = [len(x[0]) for x in found]
+    sig = np.concatenate([x[0] for x in found])
+    ids, size = np.repeat(np.array([x[1] for x in found], np.int64), n), np.repeat(np.array([x[2] for x in found], np.int32), n)
+    # a member of a split list goes to one of its parts, another one for each shingle, so parts of a group of near copies are linked by its other shingles
+    parts = np.concatenate([x[3] if len(x) > 3 else np.ones(len(x[0]), np.int64) for x in found]).astype(U)
+    part = mix(sig ^ mix(ids.view(U))) % parts
+    to = (np.where(parts > 1, mix(sig + part), sig) % U(buckets)).astype(np.int32)
     order = np.argsort(to, kind="stable")
     sig, ids, size, to = sig[order], ids[order], size[order], to[order]
     cuts = np.flatnonzero(np.diff(to)) + 1
@@ -185,7 +198,12 @@ def _packed(found: list[tuple[np.ndarray, int, int]], buckets: int) -> pa.Record
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of a partition: kind 0 a pair (member, least member) with their sizes and how many lists of two and of more they share so; kind 1 a member of a list of three or more."""
+    for bucket in by_bucket(batches, 0):
+        yield from _lists_of(bucket)
+
+
+def _lists_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of a bucket: kind 0 a pair (member, least member) with their sizes and how many lists of two and of more they share so; kind 1 a member of a list of three or more."""
     parts: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         for i in range(b.num_rows):
@@ -215,7 +233,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of = np.repeat(np.arange(len(at)), n)
     # each member with the least one
     first = at[of]
-    subset = size >> 24
+    subset, split = size >> 24 & 0x3F, size & SPLIT > 0
     bare = size & 0xFFFFFF
     ok = ~head & (ids != ids[first])
     a, b = bare[first], bare
@@ -233,7 +251,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1])
         at = np.flatnonzero(new)
         yield _rows(0, x[at], y[at], sx[at], sy[at], np.add.reduceat(two, at), np.add.reduceat(more, at))
-    long = n[of] > 2
+    long = (n[of] > 2) | split
     if long.any():
         for p in range(0, int(long.sum()), 500_000):
             cut = np.flatnonzero(long)[p : p + 500_000]
@@ -456,8 +474,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     profile = work.keep(docs.mapInArrow(_profile, "kind tinyint, a bigint, n bigint, k1 bigint, k2 bigint"), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("id"), "n", "k1", "k2")
-    frequent = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "a").limit(MOST_HEAVY).select("a").toPandas()
-    heavy = spark.sparkContext.broadcast(np.sort(frequent["a"].to_numpy(np.int64).view(U)))  # at most 8 * MOST_HEAVY bytes
+    frequent = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "a").limit(MOST_HEAVY).toPandas()
+    shingles, often = frequent["a"].to_numpy(np.int64).view(U), frequent["n"].to_numpy(np.int64)
+    order = np.argsort(shingles)
+    heavy = spark.sparkContext.broadcast((shingles[order], 1 + often[order] // PART))  # at most 16 * MOST_HEAVY bytes
     sizes = {r.n: r.c for r in rows.where(f"n BETWEEN 1 AND {2 * MOST_SMALL}").groupBy("n").agg(F.count("*").alias("c")).collect()}
     small = boundary(sizes)
     total = rows.count()
@@ -470,7 +490,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     buckets = buckets_for(spark, total, 4096)
     signatures = docs.mapInArrow(_signatures(buckets, small, heavy), "bucket int, sigs binary, ids binary, sizes binary")
-    lists = work.keep(signatures.repartition(buckets, "bucket").mapInArrow(_lists, _PAIRS), "lists")
+    lists = work.keep(signatures.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _PAIRS), "lists")
 
     # round one: each member of a list with the least
     stands = members.groupBy("id").agg(F.min("rep").alias("rep"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +50,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Texts are long, so an Arrow batch has no more rows than this: some megabytes, of which a worker holds a few copies.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, of which a worker holds a few copies: texts are long, and packed rows longer.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, if they are larger."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, "67108864b") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each value of column k of a partition that is sorted by it: a task works on one bucket at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        value = b.column(k).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(value)) + 1).tolist(), len(value)]
+        for p, q in zip(edges, edges[1:], strict=False):
+            if p < q and held and value[p] != now:
+                yield held
+                held = []
+            if p < q:
+                now = value[p]
+                held.append(b.slice(p, q - p))
+    if held:
+        yield held
 
 
 def buckets_for(spark: SparkSession, rows: int, rows_per_bucket: int) -> int:

@@ -26,6 +26,8 @@ def test_small_and_large_sets(spark, monkeypatch, small, large, block):
         monkeypatch.setattr(near, "boundary", lambda histogram, scanned=4.0: small)
     monkeypatch.setattr(near, "LARGE", large)
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "PART", block)  # with 4, lists of frequent shingles are split
+    monkeypatch.setattr(near, "HEAVY", min(8, block))
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.components(df).collect()} == brute(texts)
 
