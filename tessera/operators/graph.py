@@ -40,7 +40,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: floa
     best = seeds.groupBy("query_id", "node_id").agg(F.max("score").alias("relevance_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "node_id")
     front = cut(best.withColumns({"hop_distance": F.lit(0), "visit": F.row_number().over(order)}).select("query_id", "node_id", "hop_distance", "relevance_score", "visit"))
-    seen, out_edges = front, edges.select(F.col("src"), F.col("dst")).distinct()
+    seen, out_edges = front, edges.select("src", "dst")  # repeats fall to the minimum below
     for h in range(1, hops + 1):
         reached = front.join(out_edges, front.node_id == out_edges.src).select("query_id", F.col("dst").alias("node_id"), F.col("visit").alias("parent"), "relevance_score")
         fresh = reached.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")

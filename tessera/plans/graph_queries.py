@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, pagerank
 from tessera.plans import graphs
-from tessera.sources.tables import table
+from tessera.sources.tables import cut, table
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges, made once for all levels of a search."""
+    return cut(graphs.edges(spark, folder))
 
 
 def _customer_seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +26,7 @@ def _region_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _visited(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.breadth_first(_customer_seeds(spark, folder), graphs.edges(spark, folder), 2)
+    return graph.breadth_first(_customer_seeds(spark, folder), _edges(spark, folder), 2)
 
 
 def bfs_2hop(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,12 +34,12 @@ def bfs_2hop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bfs_decay_scores(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.breadth_first(_region_seeds(spark, folder), graphs.edges(spark, folder), 3)
+    found = graph.breadth_first(_region_seeds(spark, folder), _edges(spark, folder), 3)
     return found.select("query_id", "node_id", "hop_distance", F.round("relevance_score", 6).alias("relevance_score"))
 
 
 def dfs_visits(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.depth_first(_customer_seeds(spark, folder), graphs.edges(spark, folder), 2)
+    found = graph.depth_first(_customer_seeds(spark, folder), _edges(spark, folder), 2)
     return found.select("query_id", "node_id", "hop_distance", F.round("relevance_score", 6).alias("relevance_score"), "visit")
 
 
@@ -61,12 +66,12 @@ def fuzzy_seed_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ppr_scores(spark: SparkSession, folder: str) -> DataFrame:
-    found = pagerank.personalised_pagerank(_region_seeds(spark, folder), graphs.edges(spark, folder))
+    found = pagerank.personalised_pagerank(_region_seeds(spark, folder), _edges(spark, folder))
     return found.select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
 def ppr_topk_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    found = pagerank.personalised_pagerank(_region_seeds(spark, folder), graphs.edges(spark, folder)).withColumn("score", F.round("score", 6))
+    found = pagerank.personalised_pagerank(_region_seeds(spark, folder), _edges(spark, folder)).withColumn("score", F.round("score", 6))
     best = pagerank.best_vectors(found, graphs.nodes(spark, folder), 5, 0.01, ["nation", "supplier"])
     return best.select("query_id", "rank", "vec_id", "node_id", "score", "retrieval_source")
 
