@@ -203,7 +203,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of a bucket: kind 0 a pair (member, least member) with their sizes and how many lists of two and of more they share so; kind 1 a member of a list of three or more."""
+    """Lists of a bucket: kind 0 a pair (member, least member) with their sizes and how many lists of two and of more they share so; kind 1 a member of a list of three or more, or of any part of a split list."""
     parts: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         for i in range(b.num_rows):
@@ -218,6 +218,7 @@ def _lists_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same[0], same[1:] = False, sig[1:] == sig[:-1]
     keep = same.copy()
     keep[:-1] |= same[1:]
+    keep |= size[order] & SPLIT > 0  # alone in its part, but not in its list
     sig, ids, size = sig[keep], ids[order][keep], size[order][keep]
     if not len(sig):
         return

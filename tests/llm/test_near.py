@@ -53,3 +53,18 @@ def test_ids_that_repeat_and_null_ids(spark):
     df = spark.createDataFrame([(1, text), (1, "q r s t u v"), (2, "q r s t u v"), (3, text), (None, text)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near.components(df).collect()) == [(1, 2, 1), (1, 4, 1), (2, 2, 1), (3, 4, 1)]
     assert sorted(str(r.doc_id) for r in near.keep_one(df).collect()) == ["1", "None"]
+
+
+def test_members_alone_in_their_part_of_a_split_list(spark, monkeypatch):
+    """Shingles that many documents have and few post: their lists have more parts than members."""
+    rnd = random.Random(8)
+    prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    licences, texts = [prose(60) for _ in range(3)], {}
+    for k, licence in enumerate(licences):
+        for i in range(40):
+            texts[100 + 100 * k + i] = " ".join(licence + prose(200))
+        for i in range(2):  # mostly licence: linked with each other by its shingles alone
+            texts[2 * k + i] = " ".join(licence + prose(3))
+    monkeypatch.setattr(near, "PART", 1)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.components(df).collect()} == brute(texts)
