@@ -366,6 +366,13 @@ def _possible(n):
     return (BOTTOM + TOP) * (n + F.greatest(unposted("sx"), unposted("sy"))) >= TOP * (F.col("sx").cast("long") + F.col("sy"))
 
 
+def _possible_between(n):
+    """_possible for any partner from low to high: without rounding up, the bound is least at a partner of the same size and grows to both ends, so the ends tell for all between."""
+    nearest = lambda c: F.greatest(F.least(F.col(c), F.floor(F.col("sx") * BOTTOM / TOP)), F.ceil(F.col("sx") * TOP / BOTTOM)).cast("long")
+    at = lambda sy: (BOTTOM + TOP) * (BOTTOM * n + TOP * F.greatest(F.col("sx").cast("long"), sy)) >= TOP * BOTTOM * (F.col("sx").cast("long") + sy)
+    return at(nearest("low")) | at(nearest("high"))
+
+
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows (id, text) of docs whose id is in ids (one column id). A filter of fixed size drops most others before they are shuffled."""
     spark = docs.sparkSession
@@ -529,9 +536,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ways = pairs.select("x", "y", "two").union(pairs.select("y", "x", "two")).toDF("x", "rep", "two")
         by_two = ways.join(at, "rep").join(large.select("label"), "label").groupBy("x", F.col("label").alias("to")).agg(F.sum("two").alias("two"))
         meets = meets.join(by_two, ["x", "to"], "left").withColumn("n", F.col("n") + F.coalesce("two", F.lit(0)))
-        nearest = lambda c: F.greatest(F.least(F.col(c), F.floor(F.col("sx") * BOTTOM / TOP)), F.ceil(F.col("sx") * TOP / BOTTOM))
-        bound = lambda c: meets.withColumn("sy", nearest(c)).where(_possible(F.col("n"))).select("x", "to")
-        tests = work.keep(bound("low").union(bound("high")).distinct(), "tests")
+        tests = work.keep(meets.where(_possible_between(F.col("n"))).select("x", "to").distinct(), "tests")
         found = work.keep(compare_with_components(tests, at.join(tests.select(F.col("to").alias("label")).distinct(), "label", "left_semi"), large, docs, work), "found")
         labels = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found), work)
 

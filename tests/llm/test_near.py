@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import near as brute
+from pyspark.sql import functions as F
 from tessera.llm import near
 
 
@@ -68,3 +69,13 @@ def test_members_alone_in_their_part_of_a_split_list(spark, monkeypatch):
     monkeypatch.setattr(near, "PART", 1)
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.components(df).collect()} == brute(texts)
+
+
+def test_no_partner_between_the_ends_is_left_out(spark):
+    """Round two tests a component if any size from low to high can reach the threshold: 13 shingles, one shared, can with 15 but not with 11 or 16."""
+    rows = [(n, sx, low, high) for n in (1, 2, 3) for sx in range(4, 24) for low in range(near.least_partner(sx), sx * 4 // 3 + 1) for high in range(low, sx * 4 // 3 + 1)]
+    df = spark.createDataFrame(rows, "n int, sx int, low int, high int")
+    kept = {tuple(r) for r in df.where(near._possible_between(F.col("n"))).collect()}
+    unposted = lambda s: s - near.posted(s)
+    possible = {(n, sx, low, high) for n, sx, low, high in rows if any(n + max(unposted(sx), unposted(sy)) >= near.needed(sx, sy) for sy in range(low, high + 1))}
+    assert (1, 13, 11, 16) in possible and possible <= kept
