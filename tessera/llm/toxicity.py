@@ -117,7 +117,7 @@ _ODD = re.compile(r"(.)\1\1|[0-9@$!|+€£¡]|[^\W\d_][.\-_*~'`,/\\:;^][^\W\d_](
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"(.)\1\1")
-_ENDS = ".,;:!?'\"()[]|*%&#-"
+_ENDS = ".,;:?'\"()[]*%&#-"  # marks that stand for no letter
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 
 
@@ -126,8 +126,6 @@ def restored(token: str, channel: Channel) -> tuple[str, ...]:
     bare = token.strip(_ENDS)
     if bare.isalpha() and not _THRICE.search(bare):
         return (bare,)  # nearly all tokens
-    if token.endswith("$$$"):
-        token = token.rstrip("$")  # a rule or decoration, not letters
     plain = tuple(_PLAIN.findall(token))
     # a sign at the end may belong to the word or not, so both readings are decoded
     ends = {_EDGE.sub("", token), token.strip(".,;:'\"()[]")}

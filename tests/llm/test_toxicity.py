@@ -30,6 +30,13 @@ def test_disguises_are_read(channel, disguised, plain):
     assert plain in toxicity.restored(disguised, channel)
 
 
+@pytest.mark.parametrize("disguised, plain", [("!diot", "idiot"), ("|diot", "idiot"), ("|oser", "loser"), ("foo|", "fool"), ("foo!", "fool"), ("a$$$", "ass")])
+def test_signs_at_the_edge_are_read(spark, disguised, plain):
+    words = "idiot loser fool foolish ass assess pass glass"
+    own = toxicity.Channel(toxicity.trigram_counts(spark.createDataFrame([(words,)], "text string")))
+    assert plain in toxicity.restored(disguised, own)
+
+
 def test_plain_words_stay(channel):
     assert toxicity.restored("hello,", channel) == ("hello",) and toxicity.restored("12", channel) == ()
     assert list(toxicity.words_of("an i d i o t here", channel, {}))[-1] == ("idiot",)
