@@ -14,6 +14,7 @@ lexicon and every score is the share of toxic labels (0 without labels); other c
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,8 +29,8 @@ from tessera.llm.work import Work, small_batches
 
 MAX_LABELLED = 20_000
 LEAST_SCORE = 0.3
-#: A feature of the lexicon: toxic rows it must have, least share of toxic ones among rows with it (first and second choice), how often a toxic row is covered, and most candidates looked at.
-LEAST_ROWS, LEAST_PRECISION, COVER, MOST_CANDIDATES = 4, (0.95, 0.25), 3, 5000
+#: A feature of the lexicon: toxic rows it must have, least share of toxic ones among rows with it (first and second choice), and how often a toxic row is covered.
+LEAST_ROWS, LEAST_PRECISION, COVER = 4, (0.95, 0.25), 3
 PREFIXES = range(3, 7)
 MOST_CACHED = 300_000
 
@@ -215,17 +216,29 @@ def _cover(rows: list[list[int]], candidates: list[tuple[str, int, int]], clean_
         for f in own:
             having.setdefault(f, []).append(r)
     chosen: dict[str, float] = {}
+    place = {f: k for k, f in enumerate(sorted(having, key=lambda k: (-candidates[k][2], -len(candidates[k][0]), candidates[k][0]), reverse=True))}
     for least in LEAST_PRECISION:
-        free = {f for f in having if candidates[f][1] >= least * sum(candidates[f][1:])}
+        # gains only fall, so one that is still what it was is the most
+        gain = lambda f: sum(need[r] > 0 for r in having[f])
+        free = [(-gain(f), place[f], f) for f in having if candidates[f][1] >= least * sum(candidates[f][1:])]
+        heapq.heapify(free)
+        stems: set[str] = set()
+        starts: set[str] = set()
         while free:
-            gain = {f: sum(need[r] > 0 for r in having[f]) for f in free}
-            f = max(gain, key=lambda k: (gain[k], -candidates[k][2], -len(candidates[k][0]), candidates[k][0]))
-            if gain[f] < 2:
-                break
+            was, k, f = heapq.heappop(free)
+            stem = _stem(candidates[f][0])
+            if stem in starts or any(stem[:n] in stems for n in range(len(stem) + 1)):
+                continue
+            now = gain(f)
+            if now < 2:
+                continue
+            if now < -was:
+                heapq.heappush(free, (-now, k, f))
+                continue
             name, toxic, clean = candidates[f]
             chosen[name] = float(np.log((toxic + 0.5) / (len(rows) + 1) * (clean_rows + 1) / (clean + 0.5)))
-            stem = _stem(name)
-            free = {g for g in free if gain[g] >= 2 and not _stem(candidates[g][0]).startswith(stem) and not stem.startswith(_stem(candidates[g][0]))}
+            stems.add(stem)
+            starts.update(stem[:n] for n in range(len(stem) + 1))
             for r in having[f]:
                 need[r] -= 1
     return chosen
@@ -249,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column]
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([toxic[f] for f in every], pa.int64()), pa.array([clean[f] for f in every], pa.int64())], ["f", "toxic", "clean"])
 
     counted = sample.mapInArrow(count, "f string, toxic bigint, clean bigint").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = counted.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= min(LEAST_PRECISION) * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "clean", F.length("f"), "f").limit(MOST_CANDIDATES).collect()
+    best = counted.where((F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") >= min(LEAST_PRECISION) * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "clean", F.length("f"), "f").collect()  # bounded by the labelled sample
     candidates = [(r.f, r.toxic, r.clean) for r in best]
     number = {f: i for i, (f, *_) in enumerate(candidates)}
 
@@ -270,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column]
 def counts(docs: DataFrame, model: Model, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, columns in keep, tokens, hits and their summed log-odds of every row: one narrow pass."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: MOST_CANDIDATES features, a trigram table
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample: a lexicon that covers each toxic row COVER times, a trigram table
     taken = [id_col, *keep]
     names = [f"c{i}" for i in range(len(taken))] + ["tokens", "hits", "odds"]
 

@@ -63,3 +63,14 @@ def test_edges(spark, edge, empty):
     assert toxicity.score(empty, model).count() == 0
     none = toxicity.fit(empty, labels.limit(0))
     assert all(r.score < 0.01 for r in toxicity.score(edge, none).collect())
+
+
+def test_rare_precise_words_are_found_among_many_common_ones(spark):
+    """Over 5000 features are in more toxic rows than the words that tell toxic rows apart."""
+    letters = "abcdefghijklmnopqr"
+    common = [a + b + c + "mn" for a in letters for b in letters for c in letters]
+    rows = [(i, " ".join([f"own{chr(97 + i % 26)}{chr(97 + i // 26)}", *common]) + (" zorgle" if i < 6 else " quxate" if i < 20 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 20)) for i, _ in rows], "doc_id bigint, toxic int"))
+    found = {toxicity._stem(f) for f in model.lexicon}
+    assert any("zorgle".startswith(f) for f in found) and any("quxate".startswith(f) for f in found)
