@@ -5,7 +5,6 @@ nodes: node_id, type, name, vec_id (and any properties); edges: src, dst, type,
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,18 +124,18 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    best = 0.0
-    codes = np.frombuffer(short.encode("utf-32-le"), np.uint32)
+    if short in long:
+        return 100.0
+    most, whole, at_char = 0, (1 << len(short)) - 1, {}
+    for i, c in enumerate(short):
+        at_char[c] = at_char.get(c, 0) | 1 << i
     for at in range(len(long) - len(short) + 1):
-        window = long[at : at + len(short)]
-        row = np.zeros(len(short) + 1, np.int32)
-        for c in window:  # longest common subsequence, a row at a time
-            match = row[:-1] + (codes == ord(c))
-            row[1:] = np.maximum.accumulate(np.maximum(match, row[1:]))
-        best = max(best, 100.0 * row[-1] / len(short))
-        if best == 100.0:
-            break
-    return float(best)
+        left = whole  # longest common subsequence, a bit for each character of short that is not in it
+        for c in long[at : at + len(short)]:
+            hit = left & at_char.get(c, 0)
+            left = (left + hit | left - hit) & whole
+        most = max(most, len(short) - left.bit_count())
+    return 100.0 * most / len(short)
 
 
 def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
@@ -148,7 +147,8 @@ def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float =
     def run(batches):
         for pdf in batches:
             for query_id, text in given:
-                score = [min(1.0, (partial_ratio(text, str(n).lower()) * 0.03 + partial_ratio(text, str(t).lower()) * 0.01) / 4.5) for n, t in zip(pdf["name"], pdf["type"], strict=True)]
+                by_type = {t: partial_ratio(text, str(t).lower()) for t in pdf["type"].unique()}
+                score = [min(1.0, (partial_ratio(text, str(n).lower()) * 0.03 + by_type[t] * 0.01) / 4.5) for n, t in zip(pdf["name"], pdf["type"], strict=True)]
                 yield pd.DataFrame({"query_id": query_id, "node_id": pdf["node_id"], "score": score})
 
     scored = nodes.select("node_id", "name", "type").mapInPandas(run, "query_id bigint, node_id string, score double").where(F.col("score") >= min_score)

@@ -61,8 +61,7 @@ def keyword_seed_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def fuzzy_seed_nodes(spark: SparkSession, folder: str) -> DataFrame:
     queries = spark.createDataFrame([(1, "ASIA"), (2, "nation")], "query_id bigint, text string")
-    small = graphs.nodes(spark, folder).where(F.col("type").isin("Region", "Nation", "Supplier"))
-    return graph.fuzzy_seeds(queries, small, 5).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
+    return graph.fuzzy_seeds(queries, graphs.nodes(spark, folder), 5).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
 def ppr_scores(spark: SparkSession, folder: str) -> DataFrame:

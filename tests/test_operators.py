@@ -258,3 +258,34 @@ def test_entities(spark):
     assert nodes == {"acme corp": (1, 1), "jane doe": (2, 2)}
     assert [(r.src, r.dst, r.weight) for r in extraction.cooccurrence(found).collect()] == [("acme corp", "jane doe", 1)]
     assert spark.createDataFrame([(" works  for!",)], "n string").select(extraction.normal_relation(F.col("n"))).first()[0] == "WORKS_FOR"
+
+
+def test_fuzzy_seed_nodes_scores_all_nodes(spark, monkeypatch):
+    """The registered query against a plain partial ratio over every node."""
+    from tessera.plans import graph_queries, graphs
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+        return out
+
+    def ratio(a, b):
+        a, b = sorted((a, b), key=len)
+        return max(100.0 * common(a, b[i : i + len(a)]) / len(a) for i in range(len(b) - len(a) + 1))
+
+    folder, scored = "/root/testdata/sf0.001", []
+    search = graph.fuzzy_seeds
+    monkeypatch.setattr(graph, "fuzzy_seeds", lambda queries, nodes, k: scored.append(nodes.count()) or search(queries, nodes, k))
+    got = {(r.query_id, r.rank): (r.node_id, r.score) for r in graph_queries.fuzzy_seed_nodes(spark, folder).collect()}
+    nodes = graphs.nodes(spark, folder).collect()
+    assert scored == [len(nodes)]
+    for q, text in ((1, "asia"), (2, "nation")):
+        best = sorted((-min(1.0, (ratio(text, n.name.lower()) * 0.03 + ratio(text, n.type.lower()) * 0.01) / 4.5), n.node_id) for n in nodes)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, round(-s, 6)) for s, i in best]
