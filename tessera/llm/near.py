@@ -20,6 +20,7 @@ an id are one document that links by any of its texts, and give a row each; ids
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.words import mix, slices, span_hash, windows
-from tessera.llm.work import Work, buckets_for, by_bucket, small_batches
+from tessera.llm.work import Work, buckets_for, by_bucket, lean, small_batches
 
 U = np.uint64
 #: The threshold as a fraction, compared in whole numbers: TOP * union <= BOTTOM * intersection.
@@ -45,14 +46,15 @@ MOST_SEEN = 200_000
 PART = 4096
 #: No boundary between small and large sets is above this.
 MOST_SMALL = 14
-BLOCK = 256
+#: Members of a list in a block of which pairs are looked at, and shingles in a block of a component that is compared as a whole.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Representatives of a component that is compared as a whole.
 LARGE = 64
 #: Bits of a set by which pairs are left out before they are written.
 BITS = 2048
-#: Bits of the filter of ids whose texts are fetched; false positives only cost a row.
-FILTER_BITS = 1 << 24
-#: Mark of a posting to a split list, above its size and subset size.
+#: Least and most bits of the filter of ids whose texts are fetched (eight an id between them); false positives only cost a row.
+FILTER_BITS = (1 << 16, 1 << 27)
+#: Mark of a posting to a split list. A size is below it, as texts are; a subset of c of a shingles has -(a * 64 + c) in its place.
 SPLIT = 1 << 30
 
 
@@ -141,7 +143,7 @@ def boundary(histogram: dict[int, int], scanned: float = 4.0) -> int:
 
 
 def _signatures(buckets: int, small: int, shared):
-    """Rows (bucket, signatures, ids, sizes) with packed arrays; a size has the subset size in its upper byte."""
+    """Rows (bucket, signatures, ids, sizes) with packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -158,7 +160,7 @@ def _signatures(buckets: int, small: int, shared):
                     seen.add(key)
                 for c in subset_sizes(a, small):
                     chosen = mix(s)[np.array(list(combinations(range(a), c)))]
-                    found.append((mix(chosen.sum(axis=1, dtype=U) + U(c)), ids[i], a | c << 24))
+                    found.append((mix(chosen.sum(axis=1, dtype=U) + U(c)), ids[i], -(a << 6 | c)))
                     total += len(chosen)
                 if posts(a, small):
                     parts = np.ones(a, np.int64)
@@ -172,7 +174,7 @@ def _signatures(buckets: int, small: int, shared):
                     if (parts > 1).any():
                         found.append((s[parts > 1], ids[i], a | SPLIT, parts[parts > 1]))
                     total += posted(a)
-                if total > 300_000:
+                if total > 200_000:
                     yield _packed(found, buckets)
                     found, total = [], 0
             if found:
@@ -218,7 +220,7 @@ def _lists_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same[0], same[1:] = False, sig[1:] == sig[:-1]
     keep = same.copy()
     keep[:-1] |= same[1:]
-    keep |= size[order] & SPLIT > 0  # alone in its part, but not in its list
+    keep |= size[order] >= SPLIT  # alone in its part, but not in its list
     sig, ids, size = sig[keep], ids[order][keep], size[order][keep]
     if not len(sig):
         return
@@ -234,13 +236,13 @@ def _lists_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of = np.repeat(np.arange(len(at)), n)
     # each member with the least one
     first = at[of]
-    subset, split = size >> 24 & 0x3F, size & SPLIT > 0
-    bare = size & 0xFFFFFF
+    subset, split = np.where(size < 0, -size & 0x3F, 0), size >= SPLIT
+    bare = np.where(size < 0, -size >> 6, size & (SPLIT - 1)).astype(np.int64)
     ok = ~head & (ids != ids[first])
     a, b = bare[first], bare
     ok &= (BOTTOM * np.minimum(a, b) >= TOP * np.maximum(a, b))
     # a shared subset is a link if it is as large as these sizes need; it counts for any number of shared shingles
-    sure = ok & (subset > 0) & ((BOTTOM + TOP) * subset >= TOP * (a.astype(np.int64) + b))
+    sure = ok & (subset > 0) & ((BOTTOM + TOP) * subset >= TOP * (a + b))
     ok &= (subset == 0) | sure
     x, y, sx, sy = ids[ok], ids[first][ok], b[ok], a[ok]
     two = (n[of][ok] == 2) * np.where(sure[ok], 1 << 20, 1)
@@ -276,67 +278,52 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (leader, i, j, list, subset, block, rep, label, size, bits); list is null where bits are: pairs of a group of lists whose labels differ, with how many lists they share.
+    """Sorted rows (leader, i, j, block, rep, label, size, bits, lists, subsets): pairs of members of blocks i and j whose labels differ, with how many lists they share.
 
-    A pair is left out if the bits that both have set, and the shingles that share a bit with another of their set, are too few for the threshold."""
-    carry: list[pa.Table] = []
+    A pair is left out if the bits that both have set, and the shingles that share a bit with another of their set, are too few for the threshold. No bits are known of an id that has several texts."""
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        known = np.asarray(t.column("list").is_null())
-        about, members = t.filter(pa.array(known)), t.filter(pa.array(~known))
-        names, first, times = np.unique(about.column("rep").to_numpy(), return_index=True, return_counts=True)
-        words = np.stack([np.frombuffer(x, np.uint64) for x in about.column("bits").to_pylist()])[first] if len(names) else np.zeros((0, BITS // 64), U)
-        words[times > 1] = U(2**64 - 1)  # several texts under one id: no bits to go by
-        extra = about.column("size").to_numpy()[first] - np.bitwise_count(words).sum(axis=1)
-        extra[times > 1] = 1 << 30
-        c = {k: members.column(k).to_numpy() for k in ("i", "j", "list", "subset", "block", "rep", "label", "size")}
-        if not len(c["rep"]):
+        c = {k: t.column(k).to_numpy() for k in ("block", "rep", "label", "size")}
+        known = [x for x in t.column("bits").to_pylist()]
+        words = np.stack([np.frombuffer(x or bytes([255]) * (BITS // 8), np.uint64) for x in known])
+        extra = np.where([x is None for x in known], 1 << 40, c["size"] - np.bitwise_count(words).sum(axis=1, dtype=np.int64))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = np.flatnonzero(c["block"] == i), np.flatnonzero(c["block"] == j)
+        a, b = c["size"][left][:, None].astype(np.int64), c["size"][right][None, :].astype(np.int64)
+        ok = (c["label"][left][:, None] != c["label"][right][None, :]) & (BOTTOM * np.minimum(a, b) >= TOP * np.maximum(a, b))
+        if i == j:
+            ok &= c["rep"][left][:, None] < c["rep"][right][None, :]
+        if not ok.any():
             return
-        number = np.searchsorted(names, c["rep"])
-        i, j = c["i"][0], c["j"][0]
-        new = np.ones(len(number), bool)
-        new[1:] = (c["list"][1:] != c["list"][:-1]) | (c["subset"][1:] != c["subset"][:-1])
-        at = np.flatnonzero(new)
-        out: list[tuple] = []
-        held = 0
-        for p, q in zip(at, np.append(at[1:], len(new)), strict=True):
-            own, label, size, block = number[p:q], c["label"][p:q], c["size"][p:q], c["block"][p:q]
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = size[left][:, None].astype(np.int64), size[right][None, :].astype(np.int64)
-            ok = (label[left][:, None] != label[right][None, :]) & (BOTTOM * np.minimum(a, b) >= TOP * np.maximum(a, b))
-            if i == j:
-                ok &= own[left][:, None] < own[right][None, :]
-            subset = int(c["subset"][p])
-            if subset:
-                ok &= (BOTTOM + TOP) * subset >= TOP * (a + b)
-            u, v = np.nonzero(ok)
-            if len(u):
-                out.append((own[left[u]], own[right[v]], size[left[u]], size[right[v]], np.full(len(u), 1 << 20 if subset else 1)))
-                held += len(u)
-                if held > 300_000:
-                    out = [counted(out)]
-                    held = len(out[0][0])
-        if not out:
+        most = np.zeros(ok.shape, np.int32)
+        for w in range(words.shape[1]):
+            most += np.bitwise_count(words[left, w][:, None] & words[right, w][None, :])
+        ok &= (BOTTOM + TOP) * (most + np.minimum(extra[left][:, None], extra[right][None, :])) >= TOP * (a + b)
+        if not ok.any():
             return
-        x, y, sx, sy, n = counted(out)
-        for k in range(0, len(x), 100_000):
-            u, v, a, b, m = (w[k : k + 100_000] for w in (x, y, sx, sy, n))
-            most = np.bitwise_count(words[u] & words[v]).sum(axis=1).astype(np.int64) + np.minimum(extra[u], extra[v])
-            ok = (BOTTOM + TOP) * most >= TOP * (a.astype(np.int64) + b)
-            u, v, a, b, m = (w[ok] for w in (u, v, a, b, m))
-            turn = names[u] < names[v]  # x is the greater id, as in round one
-            if len(u):
-                yield _rows(0, np.where(turn, names[v], names[u]), np.where(turn, names[u], names[v]), np.where(turn, b, a), np.where(turn, a, b), np.zeros(len(u)), m)
-
-    def counted(out: list[tuple]) -> tuple:
-        x, y, sx, sy, n = (np.concatenate(v) for v in zip(*out, strict=True))
-        order = np.lexsort((sy, sx, y, x))
-        x, y, sx, sy, n = (v[order] for v in (x, y, sx, sy, n))
-        new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1])
-        at = np.flatnonzero(new)
-        return x[at], y[at], sx[at], sy[at], np.add.reduceat(n, at)
+        # members of each list on both sides
+        lists, subsets = (t.column(k).combine_chunks() for k in ("lists", "subsets"))
+        own = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        flat = np.stack((lists.flatten().to_numpy(), subsets.flatten().to_numpy().astype(np.int64)), axis=1)
+        order = np.lexsort((own, flat[:, 1], flat[:, 0]))
+        own, flat = own[order], flat[order]
+        at = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]).any(axis=1)))
+        place_left, place_right = np.full(t.num_rows, -1), np.full(t.num_rows, -1)
+        place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+        shared = np.zeros(ok.shape, np.int64)
+        for p, q in zip(at, np.append(at[1:], len(own)), strict=True):
+            u, v = place_left[own[p:q]], place_right[own[p:q]]
+            cell = np.ix_(u[u >= 0], v[v >= 0])
+            subset = int(flat[p, 1])
+            # a shared subset is a link if it is as large as these sizes need, and tells nothing otherwise
+            shared[cell] += ((BOTTOM + TOP) * subset >= TOP * (a[cell[0]][:, :, 0] + b[0][cell[1]])) * (1 << 20) if subset else 1
+        u, v = np.nonzero(ok & (shared > 0))
+        if len(u):
+            x, y, sx, sy = c["rep"][left[u]], c["rep"][right[v]], c["size"][left[u]], c["size"][right[v]]
+            turn = x < y  # x is the greater id, as in round one
+            yield _rows(0, np.where(turn, y, x), np.where(turn, x, y), np.where(turn, sy, sx), np.where(turn, sx, sy), np.zeros(len(u)), shared[u, v])
 
+    carry: list[pa.Table] = []
     for b in batches:
         t = pa.Table.from_batches([b])
         if not t.num_rows:
@@ -347,13 +334,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry:
             new[0] = any(carry[-1].column(k)[-1].as_py() != t.column(k)[0].as_py() for k in ("leader", "i", "j"))
         at = np.append(np.flatnonzero(new), t.num_rows)
-        if at[0] or not carry:  # the start goes on with the group before
+        if at[0]:  # the start goes on with the group before
             carry.append(t.slice(0, at[0]))
         for p, q in zip(at, at[1:], strict=False):
-            if carry and sum(x.num_rows for x in carry):
+            if carry:
                 yield from pairs(pa.concat_tables(carry))
             carry = [t.slice(p, q - p)]
-    if carry and sum(x.num_rows for x in carry):
+    if carry:
         yield from pairs(pa.concat_tables(carry))
 
 
@@ -374,13 +361,14 @@ def _possible_between(n):
 
 
 def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (id, text) of docs whose id is in ids (one column id). A filter of fixed size drops most others before they are shuffled."""
+    """Rows (id, text) of docs whose id is in ids (one column id). A filter of bounded size drops most others before they are shuffled; ids is read twice, so keep what is dear."""
     spark = docs.sparkSession
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (8 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
     words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bits)  # FILTER_BITS / 8 bytes, whatever the input
+    shared = spark.sparkContext.broadcast(bits)  # at most 16 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -397,28 +385,25 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (x, y) of which the sets of shingles reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}  # sets by text, as rows that share an id may have different ones
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, min(256, b.num_rows - start))
-                ok = []
-                x_sets = dict(sets(part.column(2)))
-                y_ids = part.column(1).to_pylist()
-                y_text = part.column(3)
-                for i, y in enumerate(y_ids):
-                    other = known.get((y, len(y_text[i].as_buffer() or b"")))
-                    if other is None:
-                        if len(known) > 64:
-                            known.clear()
-                        other = known[y, len(y_text[i].as_buffer() or b"")] = next(s for _, s in sets(y_text.slice(i, 1)))
-                    common = len(np.intersect1d(x_sets[i], other, assume_unique=True))
-                    ok.append(common > 0 and BOTTOM * common >= TOP * (len(x_sets[i]) + len(other) - common))
-                yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            ok = []
+            y_text = b.column(3)
+            for i, own in sets(b.column(2)):
+                key = hashlib.blake2b(y_text[i].as_buffer() or b"", digest_size=16).digest()
+                other = known.get(key)
+                if other is None:
+                    if len(known) > 64:
+                        known.clear()
+                    other = known[key] = next(s for _, s in sets(y_text.slice(i, 1)))
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                ok.append(common > 0 and BOTTOM * common >= TOP * (len(own) + len(other) - common))
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     t = texts.withColumnRenamed("id", "_id")
     full = pairs.select("x", "y").join(t.withColumnRenamed("text", "tx"), F.col("x") == F.col("_id")).drop("_id")
     full = full.join(t.withColumnRenamed("text", "ty"), F.col("y") == F.col("_id")).select("x", "y", "tx", "ty")
-    return full.mapInArrow(run, "x bigint, y bigint").distinct()
+    return full.mapInArrow(lean(run), "x bigint, y bigint").distinct()
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -428,14 +413,14 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def compare_with_components(tests: DataFrame, members: DataFrame, sizes: DataFrame, docs: DataFrame, work: Work) -> DataFrame:
-    """tests (x, to): one link (u, v) for each block of a component in which x reaches the threshold with a member. members: rep, label; sizes: label, n.
+    """tests (x, to): one link (u, v) for each block of a component in which x reaches the threshold with a member. members: rep, label; sizes: label, shingles.
 
-    A component is dealt over blocks of about BLOCK members; what is tested against it goes to each. Counts of common shingles come from an
+    A component is dealt over blocks of about BLOCK_SHINGLES shingles; what is tested against it goes to each. Counts of common shingles come from an
     index of the block, so pairs are never written out."""
-    blocks = sizes.select("label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = sizes.select("label", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = members.join(blocks, "label").select("label", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("id"), F.lit(0).alias("test"))
     asked = tests.join(blocks, tests["to"] == blocks["label"]).select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("x").alias("id"), F.lit(1).alias("test"))
-    texts = work.keep(fetch(docs, own.select("id").union(asked.select("id")).distinct()), "texts")
+    texts = work.keep(fetch(docs, work.keep(own.select("id").union(asked.select("id")).distinct(), "ids")), "texts")
     rows = own.union(asked).join(texts, "id").select("label", "block", "test", "id", "text")
     parts = buckets_for(docs.sparkSession, 0, 1)
 
@@ -470,7 +455,7 @@ def compare_with_components(tests: DataFrame, members: DataFrame, sizes: DataFra
                     v.append(names[hit[0]])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.repartition(parts, "label", "block").sortWithinPartitions("label", "block", "test", "id").mapInArrow(run, "u bigint, v bigint")
+    return rows.repartition(parts, "label", "block").sortWithinPartitions("label", "block", "test", "id").mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -480,7 +465,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     work = Work(spark, "near")
     docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).where("id IS NOT NULL")
 
-    profile = work.keep(docs.mapInArrow(_profile, "kind tinyint, a bigint, n bigint, k1 bigint, k2 bigint"), "profile")
+    profile = work.keep(docs.mapInArrow(lean(_profile), "kind tinyint, a bigint, n bigint, k1 bigint, k2 bigint"), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("id"), "n", "k1", "k2")
     frequent = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY).orderBy(F.desc("n"), "a").limit(MOST_HEAVY).toPandas()
     shingles, often = frequent["a"].to_numpy(np.int64).view(U), frequent["n"].to_numpy(np.int64)
@@ -497,8 +482,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     twice = members.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("u", "v")
 
     buckets = buckets_for(spark, total, 4096)
-    signatures = docs.mapInArrow(_signatures(buckets, small, heavy), "bucket int, sigs binary, ids binary, sizes binary")
-    lists = work.keep(signatures.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _PAIRS), "lists")
+    signatures = docs.mapInArrow(lean(_signatures(buckets, small, heavy)), "bucket int, sigs binary, ids binary, sizes binary")
+    lists = work.keep(signatures.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_lists), _PAIRS), "lists")
 
     # round one: each member of a list with the least
     stands = members.groupBy("id").agg(F.min("rep").alias("rep"))
@@ -537,7 +522,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         by_two = ways.join(at, "rep").join(large.select("label"), "label").groupBy("x", F.col("label").alias("to")).agg(F.sum("two").alias("two"))
         meets = meets.join(by_two, ["x", "to"], "left").withColumn("n", F.col("n") + F.coalesce("two", F.lit(0)))
         tests = work.keep(meets.where(_possible_between(F.col("n"))).select("x", "to").distinct(), "tests")
-        found = work.keep(compare_with_components(tests, at.join(tests.select(F.col("to").alias("label")).distinct(), "label", "left_semi"), large, docs, work), "found")
+        inside = work.keep(at.join(tests.select(F.col("to").alias("label")).distinct(), "label", "left_semi"), "inside")
+        shingles = inside.join(members.select(F.col("id").alias("rep"), "n"), "rep").groupBy("label").agg(F.sum("n").alias("shingles"))
+        found = work.keep(compare_with_components(tests, inside, shingles, docs, work), "found")
         labels = connected_components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found), work)
 
     # round three: members of small components with each other
@@ -545,18 +532,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = work.keep(_mixed(rest), "left")
     if not left.isEmpty():
         # lists of one least member go to one place, where their pairs are counted together
-        own = left.select("leader", "rep", "label", "size").distinct()
-        blocks = work.keep(own.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-        texts = fetch(docs, left.select(F.col("rep").alias("id")).distinct())
-        bits = work.keep(texts.mapInArrow(_bits, "id bigint, size int, bits binary"), "bits")
-        block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        own = left.groupBy("leader", "rep", "label", "size").agg(F.collect_list("list").alias("lists"), F.collect_list("subset").alias("subsets"))  # at most what a text posts
+        own = work.keep(own, "own")
+        blocks = own.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        texts = fetch(docs, own.select(F.col("rep").alias("id")).distinct())
+        bits = texts.mapInArrow(lean(_bits), "id bigint, size int, bits binary").groupBy("id").agg(F.when(F.min("bits") == F.max("bits"), F.min("bits")).alias("bits"))
         others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-        deal = lambda d: d.join(blocks, "leader").withColumn("block", block).withColumn("to", F.explode(others)).select("leader", F.col("to.i").alias("i"), F.col("to.j").alias("j"), "list", "subset", "block", "rep", "label", "size", "bits")
-        null = lambda kind: F.lit(None).cast(kind)
-        about = own.select("leader", "rep").distinct().join(bits, F.col("rep") == F.col("id")).select("leader", null("bigint").alias("list"), null("int").alias("subset"), "rep", null("bigint").alias("label"), "size", "bits")
-        dealt = deal(left.select("leader", "list", "subset", "rep", "label", "size", null("binary").alias("bits"))).union(deal(about))
-        dealt = dealt.repartition(buckets, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "list", "subset")
-        two = dealt.mapInArrow(_across, _PAIRS).groupBy("x", "y").agg(F.max("sx").alias("sx"), F.max("sy").alias("sy"), F.sum("more").alias("more"))
+        dealt = own.join(bits, F.col("rep") == F.col("id")).join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("to", F.explode(others))
+        dealt = dealt.select("leader", F.col("to.i").alias("i"), F.col("to.j").alias("j"), "block", "rep", "label", "size", "bits", "lists", "subsets")
+        dealt = dealt.repartition(buckets, "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+        two = dealt.mapInArrow(lean(_across), _PAIRS).groupBy("x", "y").agg(F.max("sx").alias("sx"), F.max("sy").alias("sy"), F.sum("more").alias("more"))
         two = two.join(one.select("x", "y", "two"), ["x", "y"], "left").where(_possible(F.col("more") + F.coalesce("two", F.lit(0)))).select("x", "y").join(tried, ["x", "y"], "left_anti")
         two = work.keep(two, "two")
         more = work.keep(compare(two, work.keep(fetch(docs, ids(two)), "texts")).select(F.col("x").alias("u"), F.col("y").alias("v")), "links")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +19,25 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine) a folder of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a folder of our own if all runs on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return found.rstrip("/")
 
 
 class Work:
-    """A folder for the intermediate tables of one run. Tables are written once, so a lost executor never costs more than a stage."""
+    """A folder for the intermediate tables of one run. Tables are written once, so a lost executor never costs more than a stage. It is deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -63,6 +71,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+def release() -> None:
+    """Give freed memory of this worker back to the system, which else counts against the executor through all later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, releasing memory after each batch that it puts out and at its end."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return wrapped
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[pa.RecordBatch]]:
     """The rows of each value of column k of a partition that is sorted by it: a task works on one bucket at a time."""
     held: list[pa.RecordBatch] = []

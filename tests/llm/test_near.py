@@ -10,7 +10,7 @@ def test_query_against_brute_force(query, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in query("op2_ngram_jaccard_join")} == brute(texts)
 
 
-@pytest.mark.parametrize("small, large, block", [(None, 64, 256), (9, 3, 4)])
+@pytest.mark.parametrize("small, large, block", [(None, 64, 512), (9, 3, 4), (5, 1000, 4)])
 def test_small_and_large_sets(spark, monkeypatch, small, large, block):
     """Many short texts over few words: subsets, lists, whole components and block pairs all take part."""
     rnd, words, texts = random.Random(5), "a b c d e f g h".split(), {}
@@ -27,6 +27,7 @@ def test_small_and_large_sets(spark, monkeypatch, small, large, block):
         monkeypatch.setattr(near, "boundary", lambda histogram, scanned=4.0: small)
     monkeypatch.setattr(near, "LARGE", large)
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 16 * block)
     monkeypatch.setattr(near, "PART", block)  # with 4, lists of frequent shingles are split
     monkeypatch.setattr(near, "HEAVY", min(8, block))
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
@@ -79,3 +80,28 @@ def test_no_partner_between_the_ends_is_left_out(spark):
     unposted = lambda s: s - near.posted(s)
     possible = {(n, sx, low, high) for n, sx, low, high in rows if any(n + max(unposted(sx), unposted(sy)) >= near.needed(sx, sy) for sy in range(low, high + 1))}
     assert (1, 13, 11, 16) in possible and possible <= kept
+
+
+def test_texts_of_one_length_under_one_id(spark):
+    """Both texts of id 1 are as long; 2 is near one of them only, whichever comes first."""
+    a, b = " ".join("abcdefghijklmnopqrst"), " ".join("uvwxyzuwyvxzuxwvyuzw")
+    c = b[:-1] + "a"
+    for first, second in ((a, b), (b, a)):
+        df = spark.createDataFrame([(1, first), (1, second), (2, c)], "doc_id bigint, text string").coalesce(1)
+        assert {(r.doc_id, r.component_id) for r in near.components(df).collect()} == {(1, 1), (2, 1)}
+
+
+def test_passages_of_thousands_link_the_few_that_hold_little_else(spark):
+    """Frequent shingles that many documents have and post, with lists split over parts."""
+    rnd = random.Random(3)
+    prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passages, texts = [prose(34) for _ in range(2)], {}
+    for k, passage in enumerate(passages):
+        for i in range(4500):
+            texts[100 + 10_000 * k + i] = " ".join(passage + prose(12))
+        for i in range(2):
+            texts[2 * k + i] = " ".join(passage + prose(1))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near.components(df).collect()}
+    assert [got[i] for i in range(4)] == [0, 0, 2, 2]
+    assert sum(got[i] == i for i in texts) == len(texts) - 2
