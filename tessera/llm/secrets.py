@@ -2,10 +2,10 @@
 
 Source and configuration text is lexed into name-literal pairs (``name = "literal"``, ``name: literal`` of YAML and JSON,
 ``NAME=literal`` of shells and .env files, ``"a" + "b"`` and references to earlier names). Constants are propagated in
-the order of the text, and each literal is scored by how sensitive the name it reaches is and how random it looks. Three plain patterns
-(see BASE) are always reported besides; what lexing adds has the kind ``lexed``.
+the order of the text, and each value is scored by how sensitive the name it reaches is and how random it looks; each literal that flows into a
+value so found is a span of its own. Three plain patterns (see BASE) are always reported besides; what lexing adds has the kind ``lexed``.
 
-Defined cases: null and empty texts have no spans; a literal that a plain pattern already covers is not added again;
+Defined cases: null and empty texts have no spans; a literal that a plain span covers is not added again;
 spans are half-open ranges of code points; rows that repeat are scanned as often as they occur; other columns are ignored.
 """
 
@@ -48,19 +48,51 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in {*parts, *joined}))
 
 
-def randomness(literal: str) -> float:
-    """Bits a character, of the most that so long a literal could have, raised by mixed character classes."""
-    n = len(literal)
-    if n < 2:
+class Flow:
+    """What a name stands for: a literal of the text, or two such values put together. Values are shared, never copied, so that s = s + s costs a node."""
+
+    __slots__ = ("length", "shares", "parts", "span", "told")
+
+    def __init__(self, length: float, shares: dict[str, float], parts: tuple[Flow, ...] = (), span: tuple[int, int] | None = None):
+        self.length, self.shares, self.parts, self.span, self.told = length, shares, parts, span, False
+
+    @classmethod
+    def literal(cls, value: str, start: int, end: int) -> Flow:
+        return cls(len(value), {c: k / len(value) for c, k in Counter(value).items()}, (), (start, end))
+
+    def plus(self, other: Flow) -> Flow:
+        if not self.length or not other.length:
+            return other if not self.length else self
+        n = min(self.length + other.length, 1e300)  # doubled a thousand times it is long enough
+        left = self.length / n
+        if self is other:
+            return Flow(n, self.shares, (self,))
+        return Flow(n, {c: left * self.shares.get(c, 0.0) + (1 - left) * other.shares.get(c, 0.0) for c in self.shares | other.shares}, (self, other))
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Spans of all literals in it that were not told before, so that telling costs no more than the text has."""
+        waiting = [self]
+        while waiting:
+            now = waiting.pop()
+            if not now.told:
+                now.told = True
+                waiting += now.parts
+                if now.span:
+                    yield now.span
+
+
+def randomness(value: Flow) -> float:
+    """Bits a character, of the most that so long a value could have, raised by mixed character classes."""
+    if value.length < 2:
         return 0.0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / math.log2(max(4, min(n, 64))) * (0.4 + 0.2 * classes))
+    bits = -sum(f * math.log2(f) for f in value.shares.values() if f > 0)
+    kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "." for c in value.shares}
+    return min(1.0, bits / math.log2(max(4, min(value.length, 64))) * (0.4 + 0.2 * len(kinds)))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of all assignments; a name on the right stands for what it was last given."""
-    known: dict[str, tuple[str, int, int]] = {}
+def pairs(text: str) -> Iterator[tuple[str, Flow]]:
+    """(name, value) of all assignments; a name on the right stands for what it was last given."""
+    known: dict[str, Flow] = {}
     tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
     i = 0
     while i < len(tokens):
@@ -72,8 +104,8 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
             left, _, right = name.partition("=")
             if right and _NAME.match(left):
                 end = tokens[i][3]
-                known[left] = (right, end - len(right), end)
-                yield left, right, end - len(right), end
+                known[left] = Flow.literal(right, end - len(right), end)
+                yield left, known[left]
             i += 1
             continue
         elif op[0] == "op" and op[1] in ("=", ":", ":=", "=>") and (kind == "word" and _NAME.match(name) or kind == "str"):
@@ -81,16 +113,15 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
         else:
             i += 1
             continue
-        value, first, last, j = "", -1, -1, at
+        value, j = Flow(0, {}), at
         while j < len(tokens):
             k, part, s, e = tokens[j]
             if k == "str":
-                value, first, last = value + part[1:-1], s + 1 if first < 0 else first, e - 1
+                value = value.plus(Flow.literal(part[1:-1], s + 1, e - 1)) if e - s > 2 else value
             elif k == "word" and part in known:
-                given = known[part]
-                value, first, last = value + given[0], given[1] if first < 0 else first, given[2] if first < 0 else last
+                value = value.plus(known[part])
             elif k == "word" and j == at:
-                value, first, last = part, s, e
+                value = Flow.literal(part, s, e)
             else:
                 break
             j += 1
@@ -98,12 +129,24 @@ def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
                 j += 1
             else:
                 break
-        if value and 0 <= first < last:
-            known[name] = (value, first, last)
-            yield name, value, first, last
+        if value.length:
+            known[name] = value
+            yield name, value
         i = max(j, i + 1)
 
 
+def _uncovered(spans: list[tuple[int, int]], plain: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans, by start, that no plain one covers: one sweep over both."""
+    waiting, furthest = sorted(plain), -1
+    at = 0
+    for s, e in sorted(set(spans)):
+        while at < len(waiting) and waiting[at][0] <= s:
+            furthest = max(furthest, waiting[at][1])
+            at += 1
+        if furthest < e:
+            yield s, e
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kinds in the order of BASE, then lexed ones."""
     found = []
@@ -114,13 +157,12 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "access") for m in BASE[1][1].finditer(text) if m.end() - m.start() >= BASE[1][3]]
     found += [(m.start(), m.end(), "hex") for m in BASE[2][1].finditer(text)]
     if "=" in text or ":" in text:
-        plain = list(found)
-        seen = set()
-        for name, value, s, e in pairs(text):
+        lexed: list[tuple[int, int]] = []
+        for name, value in pairs(text):
             weight = sensitivity(name)
-            if weight and len(value) >= LEAST_LITERAL and (s, e) not in seen and not any(a <= s and e <= b or s <= a and b <= e for a, b, _ in plain) and weight * randomness(value) >= LEAST_SCORE:
-                seen.add((s, e))
-                found.append((s, e, "lexed"))
+            if weight and not value.told and value.length >= LEAST_LITERAL and weight * randomness(value) >= LEAST_SCORE:
+                lexed += value.spans()
+        found += [(s, e, "lexed") for s, e in _uncovered(lexed, [(s, e) for s, e, _ in found])]
     order = {k: n for n, k in enumerate(("assign", "access", "hex", "lexed"))}
     return sorted(found, key=lambda x: (x[0], order[x[2]], x[1]))
 

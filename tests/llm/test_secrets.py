@@ -1,3 +1,8 @@
+import math
+import random
+import time
+from collections import Counter
+
 import pytest
 from brute import secrets as brute
 from tessera.llm import secrets
@@ -34,7 +39,56 @@ def test_lexing_adds_what_patterns_miss():
 
 def test_constants_are_propagated():
     assert added('a = "Zx8!Qw3@Er5#Ty7"\nb = a\ncredentials = b') == ["Zx8!Qw3@Er5#Ty7"]
-    assert added('credentials = "Zx8!Qw3" + "@Er5#Ty7"') == ['Zx8!Qw3" + "@Er5#Ty7']
+    assert added('credentials = "Zx8!Qw3" + "@Er5#Ty7"') == ["Zx8!Qw3", "@Er5#Ty7"]
+    both = 'a = "Zx8!Qw3@Er5"\nlabel = "in between"\nb = "#Ty7&Mn4(Vb9"\ncredentials = a + b'
+    assert added(both) == ["Zx8!Qw3@Er5", "#Ty7&Mn4(Vb9"]
+    hidden = secrets.masked(both)
+    assert "Zx8" not in hidden and "Ty7" not in hidden and "in between" in hidden
+
+
+def plain_randomness(value):
+    n = len(value)
+    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    classes = {"a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "." for c in value}
+    return min(1.0, bits / math.log2(max(4, min(n, 64))) * (0.4 + 0.2 * len(classes)))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_propagation_against_plain_strings(seed):
+    """Random programs, whose values are put together as strings here."""
+    rnd = random.Random(seed)
+    names = ["host", "credentials", "mode", "passphrase", "dsn", "label", "auth_bearer", "x"]
+    text, known, due = "", {}, set()
+    for _ in range(rnd.randrange(2, 25)):
+        name, parts = rnd.choice(names), []
+        text += f"{name} = "
+        for k in range(rnd.choice((1, 1, 2, 3))):
+            text += " + " if k else ""
+            if known and rnd.random() < 0.5:
+                other = rnd.choice(sorted(known))
+                text += other
+                parts.append(known[other])
+            else:
+                literal = "".join(rnd.choice("abcXYZ!?~&() " if rnd.random() < 0.7 else "aa") for _ in range(rnd.randrange(1, 12)))
+                parts.append((literal, {(len(text) + 1, len(text) + 1 + len(literal))}))
+                text += f'"{literal}"'
+        text += "\n"
+        known[name] = ("".join(v for v, _ in parts), set().union(*(spans for _, spans in parts)))
+        if secrets.sensitivity(name) and len(known[name][0]) >= secrets.LEAST_LITERAL and secrets.sensitivity(name) * plain_randomness(known[name][0]) >= secrets.LEAST_SCORE:
+            due |= known[name][1]
+    covers = [(s, e) for s, e, k in secrets.scan(text) if k != "lexed"]
+    assert {(s, e) for s, e, k in secrets.scan(text) if k == "lexed"} == {(s, e) for s, e in due if not any(a <= s and e <= b for a, b in covers)}
+
+
+def test_work_grows_with_the_text():
+    began = time.time()
+    doubled = 's = "Zx8!Qw3@Er5#"\n' + "s = s + s\n" * 3000 + "credentials = s\n"
+    assert added(doubled) == ["Zx8!Qw3@Er5#"]
+    many = "".join(f'credentials = "Zx8!Qw3@Er5#{i}" token = "{i:032x}"\n' for i in range(10_000))
+    assert len(secrets.scan(many)) == 30_000
+    chain = 'a0 = "Zx8!Qw3@Er5#Ty7"\n' + "".join(f'a{i} = a{i - 1} + "{i}"\ncredentials = a{i}\n' for i in range(1, 5000))
+    assert len(added(chain)) == 5000
+    assert time.time() - began < 6
 
 
 def test_plain_names_and_prose_stay():
