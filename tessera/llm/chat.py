@@ -6,7 +6,7 @@ sequence and folded into final messages:
 * ``message``: the whole text of a message; ``delta``: text added to it; ``edit``: its text anew; ``delete``: it goes;
 * ``regenerate``: the message starts anew, empty, and everything after it in the conversation goes.
 
-The fold is two window passes and two aggregations: for each message only events since its last reset count, and a message is gone if a later regeneration
+The fold is window passes and an aggregation over one shuffle: for each message only events since its last reset count, and a message is gone if a later regeneration
 stands before it in order or its last word is a deletion. Then each conversation is rendered by a template that marks turns; control strings
 inside texts are escaped, reversibly, and the loss mask is the list of half-open code-point ranges of assistant texts in the output.
 
@@ -43,61 +43,83 @@ def unescape_role(role: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """events: conv, seq, kind, msg, role, text -> conv, place, role, text of the messages that are left, place ascending with gaps."""
-    text = F.coalesce("text", F.lit(""))
-    e = events.select("conv", "seq", "kind", "msg", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    """events: conv, seq, kind, msg, role, text -> conv, place, role, text of the messages that are left, place ascending with gaps. One shuffle, by conversation."""
+    text, seq = F.coalesce("text", F.lit("")), F.col("seq").cast("long")
+    e = events.select("conv", seq.alias("seq"), "kind", "msg", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")).repartition("conv")
     order = F.struct("seq", "kind", "role", "text")
     by_message = Window.partitionBy("conv", "msg")
     upto = by_message.orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     resets = F.col("kind").isin("message", "edit", "regenerate", "delete").cast("int")
-    e = e.withColumns({"era": F.sum(resets).over(upto), "first": F.min(order).over(by_message)})
+    again = F.max(F.when(F.col("kind") == "regenerate", F.col("seq")))
+    e = e.withColumns({"era": F.sum(resets).over(upto), "first": F.min(order).over(by_message), "again": again.over(by_message)})
     e = e.withColumn("last_era", F.max("era").over(by_message))
-    # the latest regeneration of a message that stands before this one drops it, if this one began before that
-    cut = F.when(F.col("kind") == "regenerate", F.struct(F.col("first.seq").alias("of"), F.col("seq").alias("at")))
-    cuts = e.select("conv", cut.alias("cut")).where(F.col("cut").isNotNull()).groupBy("conv").agg(F.collect_set("cut").alias("cuts"))
     m = e.where(F.col("era") == F.col("last_era")).groupBy("conv", "msg").agg(
         F.min("first").alias("place"),
+        F.max("again").alias("again"),
         F.min_by("role", order).alias("role"),
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("parts"),
+        F.array_sort(F.collect_list(order)).alias("parts"),
+    )
+    # a message goes if one that stands before it was regenerated after it began
+    before = Window.partitionBy("conv").orderBy(F.col("place.seq")).rangeBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("gone", F.coalesce(F.max("again").over(before) > F.col("place.seq"), F.lit(False)))
+    return m.where(~F.col("gone") & (F.col("parts")[0]["kind"] != "delete")).select(
+        "conv", "place", F.when(F.col("role") == "", F.col("place.role")).otherwise(F.col("role")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text")
     )
-    m = m.join(cuts, "conv", "left")
-    gone = F.exists(F.coalesce("cuts", F.array().cast("array<struct<of:bigint,at:bigint>>")), lambda c: (c["of"] < F.col("place.seq")) & (F.col("place.seq") < c["at"]))
-    alive = ~gone & (F.col("parts")[0]["kind"] != "delete")
-    return m.where(alive).select("conv", "place", F.when(F.col("role") == "", F.col("place.role")).otherwise(F.col("role")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
-    """messages: conv, place, role, text -> conv, formatted, loss ARRAY<STRUCT<start, end>> (code points)."""
-    whole = F.array_sort(F.collect_list(F.struct("place", "role", "text")))
-    c = messages.groupBy("conv").agg(whole.alias("turns"))
-    head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
-    c = c.select("conv", F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("own"))).alias("turns"))
+    """messages: conv, place, role, text -> conv, formatted, loss ARRAY<STRUCT<start, end>> (code points). Places are running sums over rows, so the work is linear in the turns."""
+    head, body, tail = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text")), END + "\n"
+    m = messages.select("conv", "place", head.alias("head"), body.alias("body"), (F.col("role") == learn).alias("own"))
+    upto = Window.partitionBy("conv").orderBy("place", "head", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("head").cast("long") + F.length("body") + len(tail)
+    m = m.withColumn("end", F.sum(size).over(upto) - len(tail))
+    turn = F.struct("end", F.concat("head", "body", F.lit(tail)).alias("whole"), "own", (F.col("end") - F.length("body")).alias("start"))
+    c = m.groupBy("conv").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["own"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return c.select("conv", F.array_join(F.transform("turns", lambda t: t["whole"]), "").alias("formatted"), loss.alias("loss"))
+
+
+def parse(rendered: DataFrame) -> DataFrame:
+    """conv, formatted, loss (a row a conversation) -> conv, n_chars, turns ARRAY<STRUCT<role, text, own>>, by reading formatted and loss alone.
+
+    Turns and ranges of the mask meet as rows in the order of their places, so the work is linear in the turns."""
     tail = END + "\n"
-    c = c.select("conv", "turns", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "").alias("formatted"))
-    sized = F.transform("turns", lambda t: F.struct(F.length(t["head"]).cast("long").alias("h"), F.length(t["body"]).cast("long").alias("b"), t["own"].alias("own")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    parts = rendered.select("conv", F.posexplode(F.split("formatted", r"<\|im_end\|>\n")).alias("pos", "part")).where("part <> ''")
+    upto = Window.partitionBy("conv").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("end", F.sum(F.length("part").cast("long") + len(tail)).over(upto))
+    parts = parts.select("conv", (F.col("end") - len(tail) - F.length("part") + F.instr("part", "\n")).alias("at"), F.lit(1).alias("turn"), "end", "part")
+    marks = rendered.select("conv", F.explode("loss.start").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("part"))
+    by = Window.partitionBy("conv").orderBy("at", "turn")
+    own = F.coalesce((F.lag("turn").over(by) == 0) & (F.lag("at").over(by) == F.col("at")), F.lit(False))
+    rows = parts.unionByName(marks).withColumn("own", own).where("turn = 1")
+    part = F.col("part")
+    turn = F.struct(
+        "at",
+        unescape_role(F.substring_index(F.substring(part, len(START) + 1, 2**31 - 1), "\n", 1)).alias("role"),
+        unescape(part.substr(F.instr(part, "\n") + 1, F.length(part))).alias("text"),
+        "own",
+    )
+    found = rows.groupBy("conv").agg(F.max("end").alias("n_chars"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    return found.select("conv", "n_chars", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["own"].alias("own"))).alias("turns"))
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + t["h"]
-        end = start + t["b"]
-        here = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + len(tail)).alias("at"), F.when(t["own"], F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    return c.select("conv", "formatted", F.aggregate(sized, zero, step, lambda a: a["out"]).alias("loss"))
+def log_of(rows: DataFrame) -> DataFrame:
+    """rows: conv, msg (number in the conversation), role, text -> a log of events that folds back to them.
 
+    Odd messages are drafted, answered by a stray message, then regenerated in two deltas, which drops the draft and the stray; even ones begin with their second half, get more, and are edited to
+    their whole text; every third is followed by a message that is deleted."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text") - half)
+    none = F.lit("")
 
-def parse(rendered: DataFrame) -> DataFrame:
-    """conv, formatted, loss -> conv, formatted, turns ARRAY<STRUCT<role, text, own>>, by reading formatted and loss alone."""
-    parts = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
-    r = rendered.select("conv", "formatted", "loss", parts.alias("parts"))
-    # places of texts in formatted: running sums of the parts' lengths; a text is under the mask if its range is in the mask
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + len(END) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.instr(p, "\n"))).alias("out"))
-    r = r.withColumn("starts", F.aggregate("parts", zero, step, lambda a: a["out"]))
-    masked = F.transform("loss", lambda s: s["start"])
-    turn = lambda p, at: F.struct(
-        unescape_role(F.substring_index(F.substring(p, len(START) + 1, 2**31 - 1), "\n", 1)).alias("role"),
-        unescape(p.substr(F.instr(p, "\n") + 1, F.length(p))).alias("text"),
-        F.array_contains(F.col("masked"), at).alias("own"),
-    )
-    return r.withColumn("masked", masked).select("conv", "formatted", F.zip_with("parts", "starts", turn).alias("turns"))
+    def event(step: int, kind: str, role, text, msg=None):
+        return F.struct((8 * F.col("msg") + step).cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.col("msg") if msg is None else msg).cast("long").alias("msg"), role.alias("role"), text.alias("text"))
+
+    role, stray, dropped = F.col("role"), -2 * F.col("msg"), -2 * F.col("msg") - 1
+    odd = F.array(event(0, "message", role, second), event(1, "message", F.lit("user"), first, stray), event(2, "delta", none, first, stray), event(3, "regenerate", none, none), event(4, "delta", none, first), event(5, "delta", none, second))
+    even = F.array(event(0, "message", role, second), event(1, "delta", none, first), event(2, "edit", none, F.col("text")))
+    gone = F.array(event(6, "message", F.lit("user"), first, dropped), event(7, "delete", none, none, dropped))
+    given = rows.select("conv", "msg", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("text"))
+    events = F.concat(F.when(F.col("msg") % 2 == 1, odd).otherwise(even), F.when(F.col("msg") % 3 == 0, gone).otherwise(F.slice(gone, 1, 0)))
+    return given.select("conv", F.inline(events))
