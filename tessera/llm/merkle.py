@@ -1,10 +1,10 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and phrases, with DataFrame functions alone.
 
-A text is cut into sections (after blank lines), these into paragraphs (after line breaks), these into phrases (after a mark, or
-one of two frequent letters, and a space); no
-character is lost. Leaves are SHA-1 of phrases, inner nodes SHA-1 of their children's digests, the root SHA-256 of the sections'. A fingerprint is the root, a
-colon, and the tree's leaves, eight hex digits each: ``,`` between phrases, ``;`` between paragraphs, ``/`` between sections. Equal roots mean equal
-texts; unequal ones are compared from the top, and the branches that differ locate the edits.
+A text is cut into sections (after blank lines), these into paragraphs (after line breaks), these into phrases (after a mark, or one of two frequent letters, and a space; in
+very long texts at rarer places, see _PHRASE); no character is lost. Leaves are SHA-1 of phrases, inner nodes SHA-1 of their children's digests, the root SHA-256 of the
+sections'. A fingerprint is the root, a colon, and the tree below it: sections joined by ``/``, each its digest, ``=`` and its paragraphs joined by ``;``, each its digest, ``-`` and
+its leaves joined by ``,`` (eight hex digits a node). Equal roots mean equal texts. Unequal ones are compared from the top: branches that are equal count whole, and only
+those that differ are descended, which locates the edits. All comparisons are set operations on nodes of one level, linear in their number.
 
 Defined cases: null and empty texts have one empty leaf; texts of any length are taken whole; rows that repeat are
 neighbours in the order of ids (ties by a hash of the text); a single document is its own next one; an empty table gives no rows; other columns are ignored.
@@ -12,75 +12,129 @@ neighbours in the order of ids (ties by a hash of the text); a single document i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROOT_CHARS = 64
-_SECTION, _PARAGRAPH, _PHRASE = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)", r"(?<=[.!?,;:|*%&$#eo] )"
+_SECTION, _PARAGRAPH = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)"
+#: Where phrases end, by the most characters of a text: places depend on nearby characters only, and a fingerprint has a few thousand leaves up to 4 MB of text.
+_PHRASE = ((1 << 16, r"(?<=[.!?,;:|*%&$#eo] )"), (1 << 19, r"(?<=[eo] )(?=[aAbB])"), (1 << 31, r"(?<=[eo] )(?=[aA][a-f])"))
 
 
 def tree(text: Column) -> Column:
     """ARRAY (sections) OF ARRAY (paragraphs) OF ARRAY (phrases) of SHA-1."""
-    phrases = lambda p: F.transform(F.split(p, _PHRASE), lambda x: F.sha1(x))
-    paragraphs = lambda s: F.transform(F.split(s, _PARAGRAPH), phrases)
-    return F.transform(F.split(F.coalesce(text, F.lit("")), _SECTION), paragraphs)
+
+    def cut(at: str) -> Column:
+        phrases = lambda p: F.transform(F.split(p, at), lambda x: F.sha1(x))
+        return F.transform(F.split(given, _SECTION), lambda s: F.transform(F.split(s, _PARAGRAPH), phrases))
+
+    given = F.coalesce(text, F.lit(""))
+    out = F.when(F.length(given) <= _PHRASE[0][0], cut(_PHRASE[0][1]))
+    for most, at in _PHRASE[1:]:
+        out = out.when(F.length(given) <= most, cut(at))
+    return out
 
 
 def fingerprint(tree_: Column) -> Column:
     node = lambda children: F.sha1(F.array_join(children, ""))
-    root = F.sha2(F.array_join(F.transform(tree_, lambda s: node(F.transform(s, node))), ""), 256)
-    short = lambda p: F.array_join(F.transform(p, lambda x: F.left(x, F.lit(8))), ",")
-    leaves = F.array_join(F.transform(tree_, lambda s: F.array_join(F.transform(s, short), ";")), "/")
-    return F.concat(root, F.lit(":"), leaves)
+    short = lambda digest: F.left(digest, F.lit(8))
+    paragraph = lambda p: F.struct(node(p).alias("d"), F.concat(short(node(p)), F.lit("-"), F.array_join(F.transform(p, short), ",")).alias("t"))
+    section = lambda ps: F.struct(node(F.transform(ps, lambda x: x["d"])).alias("d"), F.array_join(F.transform(ps, lambda x: x["t"]), ";").alias("t"))
+    sections = F.transform(F.transform(tree_, lambda s: F.transform(s, paragraph)), section)
+    whole = lambda x: F.concat(short(x["d"]), F.lit("="), x["t"])
+    # one pass over the sections gives the root and the text of the tree
+    both = lambda t: F.concat(F.sha2(F.array_join(F.transform(t, lambda x: x["d"]), ""), 256), F.lit(":"), F.array_join(F.transform(t, whole), "/"))
+    return F.transform(F.array(sections), both)[0]
 
 
 def root(fp: Column) -> Column:
     return F.substring(fp, 1, ROOT_CHARS)
 
 
-def leaves(fp: Column) -> Column:
-    return F.split(F.substring(fp, ROOT_CHARS + 2, 2**31 - 1), "[,;/]")
+def sections(fp: Column) -> Column:
+    return F.split(F.substring(fp, ROOT_CHARS + 2, 2**31 - 1), "/")
+
+
+def _paragraphs(nodes: Column) -> Column:
+    """Paragraphs of sections."""
+    return F.flatten(F.transform(nodes, lambda s: F.split(F.substring(s, 10, 2**31 - 1), ";")))
+
+
+def _leaves(nodes: Column) -> Column:
+    """Leaves of paragraphs."""
+    return F.flatten(F.transform(nodes, lambda p: F.split(F.substring(p, 10, 2**31 - 1), ",")))
+
 
+def _weight(nodes: Column) -> Column:
+    """Leaves under nodes."""
+    return F.aggregate(nodes, F.lit(0).cast("long"), lambda n, x: n + F.size(F.split(x, "[,;]")))
 
-def likeness(a: Column, b: Column, leaves_a: Column | None = None, leaves_b: Column | None = None) -> Column:
-    """1 for equal roots; else below 1: the share of leaves that stand at the same place in both, or twice the distinct leaves in both over those of each, whichever is more."""
-    x, y = leaves(a) if leaves_a is None else leaves_a, leaves(b) if leaves_b is None else leaves_b
-    placed = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), lambda same: same)) / F.greatest(F.size(x), F.size(y))
-    dice = 2 * F.size(F.array_intersect(x, y)) / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(F.greatest(dice, placed), F.lit(0.999999)))
+
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal roots; else below 1: twice the leaves under what both have over the leaves of each, where equal sections count whole, of the others equal paragraphs, of the others equal
+    leaves (what repeats inside one level counts once); or the share of leaves at the same place in both, if that is more."""
+
+    def compare(t: Column) -> Column:
+        x, y = t["x"], t["y"]  # sections
+        p, q = _paragraphs(F.array_except(x, y)), _paragraphs(F.array_except(y, x))
+        return F.struct(F.array_intersect(x, y).alias("s"), p.alias("p"), q.alias("q"), x.alias("x"), y.alias("y"))
+
+    def deeper(t: Column) -> Column:
+        u, v = _leaves(F.array_except(t["p"], t["q"])), _leaves(F.array_except(t["q"], t["p"]))
+        same = _weight(t["s"]) + _weight(F.array_intersect(t["p"], t["q"]))
+        return F.struct(same.alias("n"), F.array_distinct(u).alias("u"), F.array_distinct(v).alias("v"), _leaves(_paragraphs(t["x"])).alias("x"), _leaves(_paragraphs(t["y"])).alias("y"))
+
+    def share(t: Column) -> Column:
+        placed = F.size(F.filter(F.zip_with(t["x"], t["y"], lambda p, q: p.eqNullSafe(q)), lambda same: same)) / F.greatest(F.size(t["x"]), F.size(t["y"]))
+        dice = 2 * (t["n"] + F.size(F.array_intersect(t["u"], t["v"]))) / (2 * t["n"] + F.size(t["u"]) + F.size(t["v"]))
+        return F.least(F.greatest(dice, placed), F.lit(0.999999))
+
+    start = F.array(F.struct(sections(a).alias("x"), sections(b).alias("y")))
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.transform(F.transform(F.transform(start, compare), deeper), share)[0])
 
 
 def edits(a: Column, b: Column) -> Column:
     """Numbers (from 0) of paragraphs of b that a has nowhere: where b was edited. Empty for equal roots."""
-    cut = lambda fp: F.split(F.substring(fp, ROOT_CHARS + 2, 2**31 - 1), "[;/]")
-    place = F.transform(cut(b), lambda p, i: F.when(F.array_contains(cut(a), p), F.lit(None)).otherwise(i))
+    new = F.array_except(_paragraphs(sections(b)), _paragraphs(F.array_intersect(sections(a), sections(b))))
+    new = F.array_except(new, _paragraphs(F.array_except(sections(a), sections(b))))
+    place = F.transform(_paragraphs(sections(b)), lambda p, i: F.when(F.array_contains(new, p), i))
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.array_compact(place))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, next_text: the text of the next row by id, after the last one the first.
+def _parted(d: DataFrame, bounds: list[int]) -> DataFrame:
+    """d with part: how many of the sorted bounds are at most id (-1 for null ids), by binary search in an array, a projection a step."""
+    held = F.array(*(F.lit(x).cast("long") for x in bounds)) if bounds else F.array().cast("array<bigint>")
+    d = d.withColumn("part", F.lit(0))
+    for k in reversed(range(len(bounds).bit_length())):
+        d = d.withColumn("part", F.col("part") + F.when(F.get(held, F.col("part") + (2**k - 1)) <= F.col("id"), F.lit(2**k)).otherwise(0))
+    return d.withColumn("part", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("part")))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **derived: Callable[[Column], Column]) -> DataFrame:
+    """id, text, next_text: the text of the next row by id, after the last one the first. For each derived name=function of the text also name and next_name, worked out once a text.
 
-    Ids are cut into even ranges; a window runs within each, and the last row of a range takes the first text of the next
-    range that has rows. So texts are shuffled once, and only a row a range is ordered in one task.
+    Ids are cut into ranges of about as many rows (at quantiles, so far apart ids do not matter); a window runs within each, and the last row of a range takes the first
+    text of the next range that has rows. So texts are shuffled once, and only a row a range is ordered in one task.
     """
     spark = docs.sparkSession
-    d = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    ends = d.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-    if ends.low is None:
-        return d.withColumn("next_text", F.col("text")).withColumnRenamed("id", id_col)
-    ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    part = F.floor((F.col("id").cast("double") - float(ends.low)) / (float(ends.high) - float(ends.low) + 1.0) * ranges).cast("int")
-    d = d.withColumn("part", F.coalesce(part, F.lit(-1)))  # null ids come first
-    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    d = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    ranges = min(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 8192)
+    found = d.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).first().q
+    d = _parted(d, sorted(set(found or [])))  # null ids come first
     first_ids = d.groupBy("part").agg(F.min("id").alias("id"))
     every = Window.orderBy("part")
     # a row a range: its first id, and the range before it (before the first one the last)
     linked = first_ids.withColumn("back", F.coalesce(F.lag("part").over(every), F.max("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     heads = d.drop("part").join(F.broadcast(linked.select(F.col("id").alias("head"), "back")), F.col("id").eqNullSafe(F.col("head")))  # at most a row a range
-    heads = heads.groupBy("back").agg(F.min_by("text", F.xxhash64("text")).alias("head_text"))
-    within = Window.partitionBy("part").orderBy(*order)
-    d = d.withColumns({"lead_text": F.lead("text").over(within)}).join(heads, F.col("part") == F.col("back"), "left")
-    return d.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.coalesce("lead_text", "head_text").alias("next_text"))
+    heads = heads.groupBy("back").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # the first row of the next range stands after the last one of its own
+    rows = d.withColumn("guest", F.lit(0)).unionByName(heads.select(F.lit(None).cast("long").alias("id"), "text", F.col("back").alias("part"), F.lit(1).alias("guest"))).repartition("part")
+    rows = rows.withColumns({name: f(F.col("text")) for name, f in derived.items()})  # after the shuffle, which carries texts alone
+    within = Window.partitionBy("part").orderBy("guest", F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(within) for c in ("text", *derived)}).where("guest = 0")
+    return rows.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *derived, *(f"next_{c}" for c in ("text", *derived)))
 
 
 def edited(text: Column, following: Column) -> Column:

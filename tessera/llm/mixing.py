@@ -81,12 +81,14 @@ def solve(histogram: DataFrame, state: dict[int, dict], cap: float) -> dict[int,
     for s, v in state.items():
         if s not in open_:
             tilt[s] = math.inf if v["target"] > 0 else -math.inf
+    # sums of decimals do not depend on the order in which tasks end, so reruns take the same steps
+    exact = lambda x: F.sum(x.cast("decimal(28,9)")).cast("double")
     for _ in range(MOST_ROUNDS):
         if not open_:
             break
         now = spark.createDataFrame([(s, tilt[s], state[s]["mean"]) for s in open_], "s int, tilt double, mean double")
         r = _rate(F.col("tilt"), F.col("size"), F.col("mean"), cap)
-        sums = histogram.join(F.broadcast(now), "s").withColumn("r", r).groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.col("r")).alias("words"), F.sum(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * F.col("r") * (1 - F.col("r") / cap)).alias("slope")).collect()
+        sums = histogram.join(F.broadcast(now), "s").withColumn("r", r).groupBy("s").agg(exact(F.col("n") * F.col("size") * F.col("r")).alias("words"), exact(F.col("n") * F.col("size") * F.col("size") / F.col("mean") * F.col("r") * (1 - F.col("r") / cap)).alias("slope")).collect()
         for row in sums:
             s, gap = row.s, state[row.s]["target"] - row.words
             if abs(gap) <= NEAR * state[s]["target"]:

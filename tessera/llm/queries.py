@@ -111,15 +111,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = merkle.with_next(table(spark, sf_dir, "documents"))
+    d = merkle.with_next(table(spark, sf_dir, "documents"), fingerprint=lambda t: merkle.fingerprint(merkle.tree(t)))
     d = d.withColumn("edited", merkle.edited(F.col("text"), F.col("next_text")))
-    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(merkle.tree(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
-    d = d.withColumns({c: merkle.fingerprint(F.col(c)) for c in ("text", "edited", "next_text")})
-    d = d.withColumns({f"{c}_leaves": merkle.leaves(F.col(c)) for c in ("text", "edited", "next_text")})
-    near = lambda c: merkle.likeness(F.col("text"), F.col(c), F.col("text_leaves"), F.col(f"{c}_leaves"))
-    return d.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next_text").alias("near_next"),
-    )
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", merkle.fingerprint(merkle.tree(F.col("edited"))).alias("edited_fingerprint"))
+    near = lambda c: merkle.likeness(F.col("fingerprint"), F.col(c))
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 from tessera.llm import merkle
 
@@ -17,12 +18,47 @@ def test_query_against_plain_python(query, texts):
         assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
         assert prints.setdefault(own, r.fingerprint) == r.fingerprint and prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
         assert 0 <= r.near_edited <= 1 and (r.near_next == 1) == (own == following)
+        assert r.near_edited == pytest.approx(plain_likeness(r.fingerprint, r.edited_fingerprint)) and r.near_next == pytest.approx(plain_likeness(r.fingerprint, rows[ids[(n + 1) % len(ids)]].fingerprint))
     assert len(set(prints.values())) == len(prints)
     long = [r for r in rows.values() if r.n_chars > 500]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.97 * len(long)
     assert sum(0.2 < r.near_edited for r in long) >= 0.97 * len(long)
 
 
+def plain_likeness(a, b):
+    """By descent: sets of equal sections, then of equal paragraphs of the others, then of equal leaves of the others."""
+    if a[:64] == b[:64]:
+        return 1.0
+    paragraphs = lambda nodes: {p for s in nodes for p in s[9:].split(";")}
+    leaves = lambda nodes: [x for p in nodes for x in p[9:].split(",")]
+    x, y = a[65:].split("/"), b[65:].split("/")
+    p, q = paragraphs(set(x) - set(y)), paragraphs(set(y) - set(x))
+    u, v = set(leaves(p - q)), set(leaves(q - p))
+    same = sum(len(p.split(",")) for s in set(x) & set(y) for p in s.split(";")) + sum(len(s.split(",")) for s in p & q)
+    own, other = (leaves(p for s in t for p in s[9:].split(";")) for t in (x, y))
+    placed = sum(m == n for m, n in zip(own, other)) / max(len(own), len(other))
+    return min(0.999999, max(placed, 2 * (same + len(u & v)) / (2 * same + len(u) + len(v))))
+
+
+def test_likeness_descends(spark):
+    a = "one. two.\nthree. four.\n\nfive. six.\n\nseven"
+    texts = [a, a.replace("four", "4"), "five. six.\n\n" + a, "other", "", a + " x", "three. four.\nseven"]
+    d = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    fp = lambda c: merkle.fingerprint(merkle.tree(F.col(c)))
+    for r in d.select("a", "b", fp("a").alias("x"), fp("b").alias("y"), merkle.likeness(fp("a"), fp("b")).alias("near")).collect():
+        assert r.near == pytest.approx(plain_likeness(r.x, r.y)) and (r.near == 1) == (r.a == r.b)
+
+
+def test_very_long_texts_have_few_leaves(spark):
+    words = "the olive grove above a bay and other acres before dawn ".split()
+    import random
+
+    rnd = random.Random(2)
+    long = " ".join(rnd.choice(words) for _ in range(200_000))
+    fp = spark.createDataFrame([(long,), (long[:900_000] + "changed" + long[900_007:],)], "t string").select(merkle.fingerprint(merkle.tree(F.col("t"))).alias("f")).collect()
+    assert len(fp[0].f) < 0.2 * len(long) and 0.9 < plain_likeness(fp[0].f, fp[1].f) < 1
+
+
 def plain(text):
     import re
 
@@ -54,5 +90,8 @@ def test_edges(edge, empty, spark):
     assert merkle.with_next(empty).count() == 0
     (one,) = merkle.with_next(edge.where("doc_id = 3")).collect()
     assert one.next_text == "word"
+    skewed = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(2**62, "end")], "doc_id bigint, text string")
+    parts = merkle.with_next(skewed)
+    assert [r.next_text for r in parts.orderBy("doc_id").collect()] == [*(f"t{i}" for i in range(1, 500)), "end", "t0"]
     far = spark.createDataFrame([(-(2**62), "a"), (0, "b"), (2**62, "c"), (None, "n")], "doc_id bigint, text string")
     assert [(r.text, r.next_text) for r in merkle.with_next(far).orderBy("text").collect()] == [("a", "b"), ("b", "c"), ("c", "n"), ("n", "a")]

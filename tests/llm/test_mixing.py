@@ -53,3 +53,25 @@ def test_edges(edge, empty):
     with pytest.MonkeyPatch.context() as m, pytest.raises(ValueError, match="sources"):
         m.setattr(mixing, "MAX_SOURCES", 1)
         mixing.mix(edge)
+
+
+def test_tilts_against_bisection(query):
+    """An independent solver: the tilt of each source by bisection over its documents, in plain floats."""
+    import math
+
+    by = defaultdict(list)
+    for r in query("op3_source_mixing"):
+        by[r.source].append(r)
+    for rows in by.values():
+        total, target = rows[0].source_size, rows[0].target
+        mean = max(total / len(rows), 1e-9)
+        rate = lambda tilt, size: 2 / (1 + math.exp(-max(-700.0, min(700.0, tilt * size / mean))))
+        if target >= 2 * total * (1 - mixing.NEAR):
+            assert all(r.rate == 2 for r in rows if r.size)
+            continue
+        low, high = -1000.0, 1000.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if sum(r.size * rate(tilt, r.size) for r in rows) < target else (low, tilt)
+        assert all(r.rate == pytest.approx(rate(tilt, r.size), abs=1e-6) for r in rows)
+        assert abs(sum(r.taken for r in rows) - target) <= max(r.size for r in rows)
