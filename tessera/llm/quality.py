@@ -11,6 +11,7 @@ Defined cases: null and empty texts have zero for every statistic and fail the b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -186,10 +187,11 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if not sample:
         return []
     y = {r.id: r.y for r in sample}
-    ids = spark.createDataFrame([(k,) for k in y], f"{id_col} bigint")
+    ids = spark.createDataFrame([(k,) for k in y], f"{id_col} {labels.schema[id_col].dataType.simpleString()}")
     rows = stats(docs.join(F.broadcast(ids), id_col, "left_semi"), id_col, text_col).where(~base_failed()).distinct().orderBy(id_col, *STATS).toPandas()  # at most `most` rows, of ten numbers
     columns = {k: rows[k].to_numpy() for k in STATS}
-    third = mix(rows[id_col].to_numpy().astype(np.uint64)) % np.uint64(3) == 0
+    own = rows[id_col].to_numpy()
+    third = mix(own.astype(np.uint64) if own.dtype.kind in "iu" else np.array([zlib.crc32(str(i).encode()) for i in own], np.uint64)) % np.uint64(3) == 0
     return learn(columns, np.array([y[i] == 0 for i in rows[id_col]], bool), third)
 
 

@@ -158,7 +158,7 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Col
     spark = docs.sparkSession
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(~held_out(F.col("id")))
     rows = chosen.groupBy("id").agg(F.max("y").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    return docs.join(F.broadcast(spark.createDataFrame([(r.id, r.y) for r in rows], "id bigint, y int")), "id")
+    return docs.join(F.broadcast(spark.createDataFrame([(r.id, r.y) for r in rows], f"id {labels.schema[id_col].dataType.simpleString()}, y int")), "id")
 
 
 class Model:
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column]
     rows = [r.f for r in sample.where("y = 1").select("text").mapInArrow(own, "f array<int>").collect()] if candidates else []
     clean_rows = sample.where("y = 0").count()
     model = Model(_cover(rows, candidates, clean_rows), np.zeros(4), channel)
-    seen = counts(sample.withColumn("id", F.lit(0)), model, keep=("y",)).select("y", "tokens", "hits", "odds").orderBy("y", "tokens", "hits", "odds").toPandas()  # four numbers a sampled row
+    seen = counts(sample.withColumn("id", F.lit(0)), model, keep=("y",)).select("y", "tokens", "hits", "odds").toPandas().sort_values(["y", "tokens", "hits", "odds"])  # four numbers a sampled row, in an order that does not depend on tasks
     model.weights = _logistic(Model.inputs(*(seen[c].to_numpy(float) for c in ("tokens", "hits", "odds"))), seen["y"].to_numpy(float)) if len(seen) else np.array([-50.0, 0, 0, 0])
     return model
 

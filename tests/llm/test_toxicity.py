@@ -1,3 +1,6 @@
+import itertools
+import random
+import re
 import zlib
 
 import numpy as np
@@ -74,3 +77,52 @@ def test_rare_precise_words_are_found_among_many_common_ones(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 20)) for i, _ in rows], "doc_id bigint, toxic int"))
     found = {toxicity._stem(f) for f in model.lexicon}
     assert any("zorgle".startswith(f) for f in found) and any("quxate".startswith(f) for f in found)
+
+
+def plain_decode(word, channel):
+    """The cheapest of all spellings that the lattice allows, each priced letter by letter."""
+    found = []
+    for choice in itertools.product(*channel.lattice(word)):
+        text, cost = "".join(put for put, _ in choice), sum(price for _, price in choice)
+        symbols = [0, 0, *map(channel.symbol, text)]
+        cost += sum(channel.cost[symbols[i], symbols[i + 1], symbols[i + 2]] if i else 1.0 for i in range(len(text)))
+        found.append((cost + channel.cost[symbols[-2], symbols[-1], 0], text))
+    return sorted(found)
+
+
+def disguise(rnd, word):
+    marks = {"i": "1!", "o": "0", "e": "3", "a": "@4", "s": "$5", "t": "7+"}
+    out = "".join(rnd.choice(marks[c]) if c in marks and rnd.random() < 0.4 else c * rnd.choice((1, 1, 1, 3)) for c in word)
+    return ".".join(out) if rnd.random() < 0.2 else out
+
+
+def test_viterbi_against_all_spellings(channel):
+    rnd = random.Random(1)
+    for _ in range(400):
+        word = disguise(rnd, rnd.choice(["idiot", "loser", "clown", "trash", "ass", "stone", "table", "oats"]))
+        found = plain_decode(word, channel)
+        got = channel.decode(word)
+        assert got in {text for cost, text in found if cost <= found[0][0] + 1e-9}
+
+
+def test_scores_against_a_plain_scorer(spark, channel):
+    lexicon = {"idiot$": 4.0, "^los": 2.5, "trash$": 3.0}
+    model, rnd = toxicity.Model(lexicon, np.array([-4.0, 1.0, 4.0, 1.0]), channel), random.Random(2)
+    texts = [" ".join(disguise(rnd, w) if rnd.random() < 0.3 else w for w in rnd.choices(["idiot", "loser", "trash", "stone", "table", "lost,", "oats"], k=rnd.randrange(12))) for _ in range(60)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        odds = []
+        for token in text.split():
+            readings = re.findall(r"[a-z]+", token)
+            if not re.fullmatch(r"[a-z]+,?", token) or re.search(r"(.)\1\1", token):
+                readings += [plain_decode(x, channel)[0][1] for x in {re.sub(r"^[\W_]+|[\W_]+$", "", token), token.strip(".,;:'\"()[]")} if re.search("[a-z]", x) and toxicity._ODD.search(x)]
+            weights = [w for f, w in lexicon.items() for r in readings if (r == f[:-1] if f.endswith("$") else r.startswith(f[1:]))]
+            odds += [max(weights)] if weights else []
+        z = -4 + np.log1p(len(odds)) + 4 * np.log1p(sum(odds)) + min(1.0, 20 * len(odds) / max(1, len(text.split())))
+        assert (got[i].tokens, got[i].hits) == (len(text.split()), len(odds)) and got[i].score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "zorgle here"), ("b", "kind words")] * 3, "doc_id string, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int"))
+    assert toxicity.score(docs, model).count() == 6
