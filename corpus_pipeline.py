@@ -1,6 +1,11 @@
 """From raw documents to packed sequences: quality rules, near duplicates, secrets, source mix, packing.
 
 Each stage takes what the one before it kept and returns the columns of documents; the last one returns packed pieces.
+
+Defined cases: documents with a null, empty or word-less text fail the base quality rule and go; rows without an id are judged by their text, are never
+duplicates, and are mixed and packed as one more document each; of rows that share an id one stays after near duplicates, so ids are unique from there on but for
+copies that the mix makes; of ties (equal texts) the least id stays; a null source is a source of its own; other columns, whatever their names, are carried along to
+the mix; empty tables give no rows.
 """
 
 from __future__ import annotations
