@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.llm.words import slices
-from tessera.llm.work import Work, buckets_for, small_batches
+from tessera.llm.work import Work, buckets_for, lean, small_batches
 
 MAX_SOURCES = 100_000
 #: Weights of the sources in order, repeating.
@@ -45,7 +45,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), pa.array(first[1:] - first[:-1])], ["id", "source", "size"])
 
     small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, size bigint")
+    return docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text")).mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}, source string, size bigint")
 
 
 def targets(totals: dict[str | None, int], budget: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> dict[str | None, float]:

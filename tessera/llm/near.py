@@ -377,7 +377,7 @@ def fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hit = (table[p >> U(6)] >> (p & U(63))) & U(1)
             yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
 
-    some = docs.select("id", "text", place("id").alias("p")).mapInArrow(run, "id bigint, text string")
+    some = docs.select("id", "text", place("id").alias("p")).mapInArrow(lean(run), "id bigint, text string")
     return some.join(ids, "id", "left_semi")
 
 

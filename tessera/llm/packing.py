@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import encoder
-from tessera.llm.work import Work, buckets_for, small_batches
+from tessera.llm.work import Work, buckets_for, lean, small_batches
 
 CAPACITY, END_ID = 1024, 2
 
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays([*(b.column(i).take(index) for i in range(b.num_columns - 1)), *made], names)
 
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(taken)] + ["piece int, start bigint, length bigint, ids_crc32 bigint"] + ["ids binary"] * with_ids)
-    out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(taken)), docs[text_col].alias("t")).mapInArrow(run, schema)
+    out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(taken)), docs[text_col].alias("t")).mapInArrow(lean(run), schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(taken)})
 
 

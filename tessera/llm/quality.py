@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import Slice, mix, slices, span_hash, windows
-from tessera.llm.work import small_batches
+from tessera.llm.work import lean, small_batches
 
 MAX_LABELLED = 20_000
 #: A rule's least precision among rows that it was not grown on, and the most rules and conditions.
@@ -102,7 +102,7 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     taken = [id_col, *keep]
     names = [f"c{i}" for i in range(len(taken))] + list(STATS)
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(taken)] + [f"{x} bigint" for x in STATS])
-    out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(taken)), docs[text_col].alias("t")).mapInArrow(run, schema)
+    out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(taken)), docs[text_col].alias("t")).mapInArrow(lean(run), schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(taken)})
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.work import small_batches
+from tessera.llm.work import lean, small_batches
 
 # The plain patterns, in the order in which kinds are listed, with the length each needs.
 BASE = (
@@ -178,7 +178,7 @@ def scan_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(run), f"id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumnRenamed("id", id_col)
 
 
 def masked(text: str, by: str = "*") -> str:
@@ -200,7 +200,7 @@ def mask_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield b.set_column(k, b.schema.field(k), pa.array([t if t is None else masked(t) for t in b.column(k).to_pylist()], b.schema.field(k).type))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(spans: list[tuple[int, int, str]]) -> tuple[int, int, int, str, str]:

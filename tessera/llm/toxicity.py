@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import slices
-from tessera.llm.work import Work, small_batches
+from tessera.llm.work import Work, lean, small_batches
 
 MAX_LABELLED = 20_000
 LEAST_SCORE = 0.3
@@ -62,7 +62,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     small_batches(docs.sparkSession)
     out = np.zeros(_SYMBOLS**3, np.int64)
-    for r in docs.select(docs[text_col]).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(docs[text_col]).mapInArrow(lean(run), "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[r.code] = r.n
     return out.reshape((_SYMBOLS,) * 3)
 
@@ -294,7 +294,7 @@ def counts(docs: DataFrame, model: Model, id_col: str = "id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64())))], names)
 
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(taken)] + ["tokens bigint, hits bigint, odds double"])
-    out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(taken)), docs[text_col].alias("t")).mapInArrow(run, schema)
+    out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(taken)), docs[text_col].alias("t")).mapInArrow(lean(run), schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(taken)})
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.work import Work, small_batches
+from tessera.llm.work import Work, lean, small_batches
 
 CHUNK = 1 << 18
 #: Bytes after which a task starts another archive.
@@ -111,7 +111,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id"
             done.append(archive)
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{a.path.rsplit('/', 1)[1]}" for a in done], pa.string()), pa.array([a.records for a in done], pa.int64()), pa.array([a.size for a in done], pa.int64())], ["path", "records", "bytes"])
 
-    return p.mapInArrow(run, "path string, records bigint, bytes bigint")
+    return p.mapInArrow(lean(run), "path string, records bigint, bytes bigint")
 
 
 class _Stream:
