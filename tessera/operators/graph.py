@@ -5,14 +5,18 @@ nodes: node_id, type, name, vec_id (and any properties); edges: src, dst, type,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import term_overlap
+from tessera.operators.vectors import in_groups
 from tessera.sources.tables import cut
 
 DECAY = 0.7
+#: Texts that are scored against all nodes in one pass.
+MOST_TEXTS = 1000
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -34,20 +38,20 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: floa
     """query_id, node_id, hop_distance, relevance_score of all nodes within hops, seeds at 0.
 
     A node is visited on the level that reaches it first, from the parent that was visited first there; a level h costs decay ** h on top of its parent's
-    score. Levels are a loop of equi-joins; each is cut, so the plan does not grow with depth. The visit order is (order of the parent, node id).
+    score. Levels are a loop of equi-joins; each is written once (and the next stops at one without rows), so the plan does not grow with depth. The visit order is (order of the parent, node id).
     """
     best = seeds.groupBy("query_id", "node_id").agg(F.max("score").alias("relevance_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "node_id")
     front = cut(best.withColumns({"hop_distance": F.lit(0), "visit": F.row_number().over(order)}).select("query_id", "node_id", "hop_distance", "relevance_score", "visit"))
     seen, out_edges = front, edges.select("src", "dst")  # repeats fall to the minimum below
     for h in range(1, hops + 1):
-        reached = front.join(out_edges, front.node_id == out_edges.src).select("query_id", F.col("dst").alias("node_id"), F.col("visit").alias("parent"), "relevance_score")
-        fresh = reached.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-        first = fresh.groupBy("query_id", "node_id").agg(F.min("parent").alias("parent"), F.min_by("relevance_score", "parent").alias("base"))
+        reached = out_edges.join(front, front.node_id == out_edges.src).select("query_id", F.col("dst").alias("node_id"), F.col("visit").alias("parent"), "relevance_score")
+        first = reached.groupBy("query_id", "node_id").agg(F.min("parent").alias("parent"), F.min_by("relevance_score", "parent").alias("base"))
+        fresh = first.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
         by = Window.partitionBy("query_id").orderBy("parent", "node_id")
-        front = cut(first.select("query_id", "node_id", F.lit(h).alias("hop_distance"), (F.col("base") * F.lit(decay**h)).alias("relevance_score"), F.row_number().over(by).alias("visit")))
+        front = cut(fresh.select("query_id", "node_id", F.lit(h).alias("hop_distance"), (F.col("base") * F.lit(decay**h)).alias("relevance_score"), F.row_number().over(by).alias("visit")))
         seen = seen.unionByName(front)
-        if front.isEmpty():
+        if h < hops and front.isEmpty():
             break
     return seen.drop("visit")
 
@@ -55,7 +59,9 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: floa
 def depth_first(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = DECAY, most_nodes: int = 10_000) -> DataFrame:
     """Depth-first visits: query_id, node_id, hop_distance, relevance_score, visit. Order matters, so each query's reachable part is walked in one
     task; it is found breadth-first before, and more than most_nodes nodes of one query raise."""
-    region = breadth_first(seeds, edges, hops).select("query_id", "node_id")
+    region = cut(breadth_first(seeds, edges, hops).select("query_id", "node_id"))
+    if not region.groupBy("query_id").count().where(F.col("count") > most_nodes).isEmpty():
+        raise ValueError(f"more than {most_nodes} nodes to walk")
     inner = region.join(edges.select("src", "dst").distinct(), region.node_id == F.col("src")).select("query_id", "src", "dst")
     starts = seeds.select("query_id", F.lit(None).cast("string").alias("src"), F.col("node_id").alias("dst"), "score")
     rows = inner.withColumn("score", F.lit(None).cast("double")).unionByName(starts)
@@ -64,8 +70,6 @@ def depth_first(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float
         links: dict[str, list[str]] = {}
         for s, d in sorted(pdf[pdf.src.notna()][["src", "dst"]].itertuples(index=False)):
             links.setdefault(s, []).append(d)
-        if len(links) > most_nodes:
-            raise ValueError(f"more than {most_nodes} nodes to walk")
         first = pdf[pdf.src.isna()].sort_values(["score", "dst"], ascending=[False, True])
         seen, out = set(), []
         for node, score in first[["dst", "score"]].itertuples(index=False):
@@ -87,36 +91,60 @@ def incident(visited: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """The first edges (by type, then ends) of each visited node among visited nodes, in or out: two equi-joins, no OR."""
     v = visited.select("query_id", "node_id")
     w = v.select(F.col("query_id").alias("q"), F.col("node_id").alias("n"))
-    inner = v.join(edges, v.node_id == edges.src).join(w, (F.col("query_id") == F.col("q")) & (F.col("dst") == F.col("n"))).select("query_id", "src", "type", "dst").distinct()
+    near = edges.select("src", "type", "dst").join(v.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")  # before the joins, which multiply by queries
+    inner = v.join(near, v.node_id == near.src).join(w, (F.col("query_id") == F.col("q")) & (F.col("dst") == F.col("n"))).select("query_id", "src", "type", "dst").distinct()
     both = inner.select("query_id", F.col("src").alias("node_id"), "src", "type", "dst").union(inner.where("src <> dst").select("query_id", F.col("dst").alias("node_id"), "src", "type", "dst"))
     place = F.row_number().over(Window.partitionBy("query_id", "node_id").orderBy("type", "src", "dst"))
     return both.withColumn("edge_rank", place).where(F.col("edge_rank") <= most)
 
 
-def node_documents(visited: DataFrame, nodes: DataFrame, edges: DataFrame, passages: DataFrame, most: int = 5) -> DataFrame:
-    """A document a visited node: its source passage (passages: vec_id, page_content) if it has one, else "Type: name" and its edges as lines."""
+def property_lines(nodes: DataFrame, properties: list[str]) -> Column:
+    """``  key: value`` lines of the properties that a node has, in the order given."""
+    return F.concat_ws("\n", *(F.concat(F.lit(f"  {p}: "), nodes[p].cast("string")) for p in properties))
+
+
+def node_documents(visited: DataFrame, nodes: DataFrame, edges: DataFrame, passages: DataFrame, most: int = 5, properties: list[str] | None = None) -> DataFrame:
+    """A document a visited node: its source passage (passages: vec_id, page_content) if it has one, else "Type: name", its properties (columns of nodes) and its edges as lines."""
     lines = incident(visited, edges, most).groupBy("query_id", "node_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_rank", F.concat_ws(" ", "src", "type", "dst").alias("line")))), lambda x: x["line"]), "\n").alias("lines")
     )
-    d = visited.join(nodes.select("node_id", "type", "name", "vec_id"), "node_id", "left").join(passages.select("vec_id", "page_content"), "vec_id", "left").join(lines, ["query_id", "node_id"], "left")
-    rendered = F.concat_ws("\n", F.concat_ws(": ", F.coalesce("type", F.lit("Unknown")), F.coalesce("name", "node_id")), "lines")
+    shown = F.nullif(property_lines(nodes, properties), F.lit("")) if properties else F.lit(None).cast("string")
+    about = nodes.select("node_id", "type", "name", "vec_id", shown.alias("shown"))
+    d = visited.join(about, "node_id", "left").join(passages.select("vec_id", "page_content"), "vec_id", "left").join(lines, ["query_id", "node_id"], "left")
+    rendered = F.concat_ws("\n", F.concat_ws(": ", F.coalesce("type", F.lit("Unknown")), F.coalesce("name", "node_id")), "shown", "lines")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_score"), "hop_distance", "node_id"))
     return d.select("query_id", "node_id", F.coalesce("page_content", rendered).alias("page_content"), F.col("page_content").isNotNull().alias("from_source"), "relevance_score", "hop_distance", rank.alias("rank"))
 
 
-def keyword_score(query: Column, name: Column, kind: Column) -> Column:
-    """Names and types against a query without fuzzy matching: a name in which the query stands scores 3, else 1.5 for the share of query terms it has; a type 1."""
-    by_name = F.when(F.contains(F.lower(name), F.lower(query)), F.lit(3.0)).otherwise(1.5 * term_overlap(query, name))
-    return by_name + F.when(F.contains(F.lower(kind), F.lower(query)), F.lit(1.0)).otherwise(F.lit(0.0))
+#: Properties that say nothing about a node's meaning (fixed names).
+TECHNICAL = ("name", "vector_id", "chunk_id", "embedding_timestamp", "embedding_source")
+
+
+def text_properties(nodes: DataFrame) -> list[str]:
+    """String columns of nodes beside its own ones and technical ones."""
+    return [f.name for f in nodes.schema if f.dataType.simpleString() == "string" and f.name not in ("node_id", "type", "vec_id", *TECHNICAL)]
+
 
+def keyword_score(query: Column, name: Column, kind: Column, *properties: Column) -> Column:
+    """Names, types and other properties against a query without fuzzy matching: a name in which the query stands scores 3, else 1.5 for the share of query terms it has; a type
+    1; each other property 0.5, else 0.3 for the share."""
+    has = lambda c: F.contains(F.lower(c), F.lower(query))
+    score = F.when(has(name), F.lit(3.0)).otherwise(1.5 * term_overlap(query, name)) + F.when(has(kind), F.lit(1.0)).otherwise(F.lit(0.0))
+    for p in properties:
+        score = score + F.coalesce(F.when(has(p), F.lit(0.5)).otherwise(0.3 * term_overlap(query, p)), F.lit(0.0))
+    return score
 
-def keyword_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 1e-9) -> DataFrame:
-    """Best nodes of each query by keyword_score; queries (query_id, text) are few (broadcast, bounded by a limit check)."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 keyword queries; split them")
-    scored = nodes.join(F.broadcast(queries)).withColumn("score", keyword_score(F.col("text"), F.col("name"), F.col("type"))).where(F.col("score") >= min_score)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+
+def keyword_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 1e-9, properties: list[str] | None = None) -> DataFrame:
+    """Best nodes of each query (query_id, text) by keyword_score: a stated set of queries, in groups of at most MOST_TEXTS, against all nodes in one pass each."""
+
+    def search(some: DataFrame) -> DataFrame:
+        score = keyword_score(F.col("text"), F.col("name"), F.col("type"), *(F.col(p) for p in properties or []))
+        scored = nodes.join(F.broadcast(some.select("query_id", "text"))).withColumn("score", score).where(F.col("score") >= min_score)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
+        return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+
+    return in_groups(queries, MOST_TEXTS, search)
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -138,22 +166,29 @@ def partial_ratio(a: str, b: str) -> float:
     return 100.0 * most / len(short)
 
 
-def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 0.0) -> DataFrame:
-    """Seeds by partial ratios of name (0.03) and type (0.01), over 4.5 and at most 1; few queries, one pass over the nodes."""
-    given = [(r.query_id, r.text.lower()) for r in queries.limit(1001).collect()]
-    if len(given) > 1000:
-        raise ValueError("more than 1000 fuzzy queries; split them")
+def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 0.0, properties: list[str] | None = None) -> DataFrame:
+    """Seeds by partial ratios of name (0.03), type (0.01) and other string properties (0.005 each), over 4.5 and at most 1; a stated set of queries, in groups of at most MOST_TEXTS, one pass over
+    all nodes each. Each batch sends a query's best k only."""
+    more = properties or []
+
+    def search(some: DataFrame) -> DataFrame:
+        given = [(r.query_id, r.text.lower()) for r in some.select("query_id", "text").collect()]
 
-    def run(batches):
-        for pdf in batches:
-            for query_id, text in given:
-                by_type = {t: partial_ratio(text, str(t).lower()) for t in pdf["type"].unique()}
-                score = [min(1.0, (partial_ratio(text, str(n).lower()) * 0.03 + by_type[t] * 0.01) / 4.5) for n, t in zip(pdf["name"], pdf["type"], strict=True)]
-                yield pd.DataFrame({"query_id": query_id, "node_id": pdf["node_id"], "score": score})
+        def run(batches):
+            for pdf in batches:
+                for query_id, text in given:
+                    by_type = {t: partial_ratio(text, str(t).lower()) for t in pdf["type"].unique()}
+                    score = np.array([partial_ratio(text, str(n).lower()) * 0.03 + by_type[t] * 0.01 for n, t in zip(pdf["name"], pdf["type"], strict=True)], float)
+                    for p in more:
+                        score += [0.005 * partial_ratio(text, x.lower()) if isinstance(x, str) else 0.0 for x in pdf[p]]
+                    found = pd.DataFrame({"query_id": query_id, "node_id": pdf["node_id"], "score": np.minimum(1.0, score / 4.5)})
+                    yield found[found.score >= min_score].sort_values(["score", "node_id"], ascending=[False, True]).head(k)
 
-    scored = nodes.select("node_id", "name", "type").mapInPandas(run, "query_id bigint, node_id string, score double").where(F.col("score") >= min_score)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+        scored = nodes.select("node_id", "name", "type", *more).mapInPandas(run, "query_id bigint, node_id string, score double")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
+        return scored.withColumn("rank", place).where(F.col("rank") <= k)
+
+    return in_groups(queries, MOST_TEXTS, search)
 
 
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -163,3 +198,23 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, node_ids: list[str]) -> DataFrame:
     return edges.where(F.col("src").isin(node_ids)).select("src", "dst", "type").distinct()
+
+
+def edge_data(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    return edges.where((F.col("src") == src) & (F.col("dst") == dst))
+
+
+def contains(nodes: DataFrame, node_id: str) -> bool:
+    return not nodes.where(F.col("node_id") == node_id).isEmpty()
+
+
+def index(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Nodes with their embedding (vectors: vec_id, embedding), cut so that many searches read one table."""
+    return cut(nodes.join(vectors.select("vec_id", "embedding"), "vec_id"))
+
+
+def stats(nodes: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: nodes, edges, density, nodes that have a vector id, those whose vector is there, and orphans."""
+    held = vectors.select("vec_id").distinct().withColumn("held", F.lit(1))
+    n = nodes.join(held, "vec_id", "left").agg(F.count("vec_id").alias("with_vector"), F.count("held").alias("indexed"), F.count(F.when(F.col("vec_id").isNotNull() & F.col("held").isNull(), 1)).alias("orphans"))
+    return density(nodes, edges).join(n)

@@ -1,12 +1,13 @@
 """Vector search over a table of embeddings: exact top-k, thresholds, diversity, and seeds of a graph search.
 
-Queries are rows. They are held by every task (checked: MOST_QUERIES), vectors stream past them in Arrow blocks, and each task keeps its own
+Queries are rows. They are held by every task (in groups of MOST_QUERIES), vectors stream past them in Arrow blocks, and each task keeps its own
 best k a query; one small window merges these. No cross join and no shuffle of vectors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,17 +26,28 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return taken.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), ok
 
 
+def in_groups(queries: DataFrame, most: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search of all queries, in groups (by a hash of their ids) of at most about half of most where there are more than that."""
+    n = queries.count()
+    groups = 1 if n <= most else 2 * -(-n // most)
+    parts = [search(queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)) for g in range(groups)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """queries (query_id, embedding), vectors (vec_id, embedding) -> query_id, vec_id, distance, score, rank; ties by vec_id.
 
-    l2: squared distance, score exp(-distance). cosine: 1 - cosine, score the cosine clamped to 0..1.
+    l2: squared distance, score exp(-distance). cosine: 1 - cosine, score the cosine clamped to 0..1. A block is ranked by distances from a matrix product; all
+    that are within its rounding error of the k-th are then compared exactly, so ties go by id. More than MOST_QUERIES queries are searched in groups.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
+    return in_groups(queries.select("query_id", "embedding"), MOST_QUERIES, lambda some: _nearest(some, vectors, k, metric))
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
     spark = vectors.sparkSession
-    given = queries.select("query_id", "embedding").limit(MOST_QUERIES + 1).collect()
-    if len(given) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; split them")
+    given = queries.collect()  # about MOST_QUERIES at most, see nearest
     ids = np.array([r.query_id for r in given], np.int64)
     q = np.array([r.embedding for r in given], np.float64).reshape(len(given), -1)
     shared = spark.sparkContext.broadcast((ids, q))
@@ -50,16 +62,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2")
             keys = b.column(0).to_numpy(zero_copy_only=False)[rows]
             if not len(keys):
                 continue
+            norms = (e * e).sum(1)
             for at in range(0, len(ids), 256):
-                dots = q[at : at + 256] @ e.T
-                if metric == "cosine":
-                    rough = -dots / np.maximum(np.linalg.norm(e, axis=1), 1e-300)
-                else:
-                    rough = (e * e).sum(1) - 2 * dots
-                m = min(k + 8, e.shape[0])
-                for i, row in enumerate(np.argpartition(rough, m - 1, axis=1)[:, :m]):
-                    v, own = e[row], q[at + i]
-                    exact = ((v - own) ** 2).sum(1) if metric == "l2" else 1 - (v @ own) / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(own), 1e-300)
+                part = q[at : at + 256]
+                dots = part @ e.T
+                # an upper bound of the rounding error of both forms
+                error = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (np.maximum(norms.max(), (part * part).sum(1)) + 1 if metric == "l2" else np.linalg.norm(part, axis=1) + 1)
+                rough = norms - 2 * dots if metric == "l2" else -dots / np.maximum(np.sqrt(norms), 1e-300)
+                last = min(k, e.shape[0]) - 1
+                least = np.partition(rough, last, axis=1)[:, last] + error
+                for i in range(len(part)):
+                    row = np.flatnonzero(rough[i] <= least[i])
+                    v, own = e[row], part[i]
+                    exact = ((v - own) ** 2).sum(1) if metric == "l2" else 1 - (v * own).sum(1) / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(own), 1e-300)
                     order = np.lexsort((keys[row], exact))[:k]
                     best.append([np.full(len(order), ids[at + i]), keys[row][order], exact[order]])
             if len(best) > 4 * len(ids):
@@ -120,3 +135,17 @@ def mmr(queries: DataFrame, vectors: DataFrame, k: int, fetch_k: int | None = No
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "vec_id": pdf["vec_id"].iloc[chosen].to_numpy(), "rank": range(1, len(chosen) + 1), "relevance": relevance[chosen]})
 
     return near.groupBy("query_id").applyInPandas(pick, "query_id bigint, vec_id bigint, rank int, relevance double")
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int = 3, kind: str = "similarity", fetch_k: int | None = None, least: float = 0.5) -> DataFrame:
+    """query_id, vec_id, rank, score by a named kind of search: similarity (L2), mmr, similarity_score_threshold (cosine of at least `least`); any other name is similarity."""
+    if kind == "mmr":
+        return mmr(queries, vectors, k, fetch_k).withColumnRenamed("relevance", "score").select("query_id", "vec_id", "rank", "score")
+    if kind == "similarity_score_threshold":
+        return above(nearest(queries, vectors, k, "cosine"), least).select("query_id", "vec_id", "rank", "score")
+    return nearest(queries, vectors, k).select("query_id", "vec_id", "rank", "score")
+
+
+def stats(vectors: DataFrame) -> DataFrame:
+    """Vectors, those without an embedding, and how many dimensions there are (one row a dimension, null for none)."""
+    return vectors.groupBy(F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim")).agg(F.count("*").alias("n_vectors"))

@@ -16,8 +16,9 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _customer_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Each of five customers is a query (a stated query set)."""
-    return spark.createDataFrame([(i, f"c{i}", 1.0) for i in range(1, 6)], "query_id bigint, node_id string, score double")
+    """Each customer whose key is divisible by 50 is a query (a stated query set that grows with the table)."""
+    c = table(spark, folder, "customer").where("c_custkey % 50 = 0")
+    return c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit(1.0).alias("score"))
 
 
 def _region_seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,12 +26,8 @@ def _region_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return r.select(F.col("r_regionkey").cast("bigint").alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node_id"), F.lit(1.0).alias("score"))
 
 
-def _visited(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.breadth_first(_customer_seeds(spark, folder), _edges(spark, folder), 2)
-
-
 def bfs_2hop(spark: SparkSession, folder: str) -> DataFrame:
-    return _visited(spark, folder).groupBy("query_id", "hop_distance").agg(F.count("*").alias("n"))
+    return graph.breadth_first(_customer_seeds(spark, folder), _edges(spark, folder), 2).groupBy("query_id", "hop_distance").agg(F.count("*").alias("n"))
 
 
 def bfs_decay_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,12 +41,15 @@ def dfs_visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def subgraph_edges_top5(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.incident(_visited(spark, folder), graphs.edges(spark, folder)).select("query_id", "node_id", "src", "type", "dst", "edge_rank")
+    edges = _edges(spark, folder)
+    return graph.incident(graph.breadth_first(_customer_seeds(spark, folder), edges, 2), edges).select("query_id", "node_id", "src", "type", "dst", "edge_rank")
 
 
 def graph_docs_with_source(spark: SparkSession, folder: str) -> DataFrame:
     passages = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("page_content"))
-    d = graph.node_documents(_visited(spark, folder), graphs.nodes(spark, folder), graphs.edges(spark, folder), passages)
+    edges = _edges(spark, folder)
+    visited = graph.breadth_first(_customer_seeds(spark, folder), edges, 2)
+    d = graph.node_documents(visited, graphs.nodes(spark, folder), edges, passages)
     return d.select("query_id", "node_id", "rank", "from_source", "hop_distance", F.round("relevance_score", 6).alias("relevance_score"), F.md5("page_content").alias("content_md5"))
 
 
@@ -101,7 +101,7 @@ def type_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return n.withColumn("kind", F.lit("node")).unionByName(e.withColumn("kind", F.lit("edge")))
 
 
-_CUSTOMERS = "seeds AS (SELECT i AS query_id, 'c' || i AS node_id FROM range(1, 6) t(i))"
+_CUSTOMERS = "seeds AS (SELECT c_custkey AS query_id, 'c' || c_custkey AS node_id FROM customer WHERE c_custkey % 50 = 0)"
 _REGIONS = "seeds AS (SELECT CAST(r_regionkey AS BIGINT) AS query_id, 'r' || r_regionkey AS node_id FROM region)"
 
 

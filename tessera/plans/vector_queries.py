@@ -1,4 +1,4 @@
-"""Registered vector searches. Queries are vectors 0 to 19 (a stated query set), searched against the whole table."""
+"""Registered vector searches. Queries are the vectors whose id is divisible by 50 (a stated query set that grows with the table), searched against the whole table."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
-    return _vectors(spark, folder).where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _vectors(spark, folder).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _near(spark: SparkSession, folder: str, k: int = K, metric: str = "l2") -> DataFrame:
@@ -109,11 +109,11 @@ def prompt_build(spark: SparkSession, folder: str) -> DataFrame:
 
 _L2 = """near AS (
     SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS distance
-    FROM embeddings q, embeddings e WHERE q.vec_id < 20
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0
 ), l2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM near)"""
 _COSINE = """cos_near AS (
     SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS distance
-    FROM embeddings q, embeddings e WHERE q.vec_id < 20
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0
 ), cosine AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, greatest(0, least(1, 1 - distance)) AS score FROM cos_near)"""
 _LISTS = f"""WITH {_L2}, {_COSINE}, v AS (
     SELECT query_id, l2.vec_id AS id, rank AS own_rank, coalesce(text, '') AS page_content, 'vector' AS retrieval_source, 0 AS source_order, CAST(NULL AS DOUBLE) AS hop, CAST(NULL AS DOUBLE) AS relevance
