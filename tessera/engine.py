@@ -2,82 +2,145 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import asyncio
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import prompts
 from tessera.functions.settings import MODES, Settings
 from tessera.operators import chunking, extraction, fusion, graph, pagerank, rerank, vectors
 from tessera.sources import registry, stores
 from tessera.sources.tables import cut
 
 Embedder = Callable[[list[str]], list[list[float] | None]]
+Generator = Callable[[list[str]], list[str]]
 
 
 class Engine:
-    """path holds chunks (with vectors), nodes and edges. embedder: texts to vectors; a hashing one by default."""
+    """path holds chunks (with vectors and the number of the ingest that brought them) and versions of the graph.
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, embedder: Embedder | None = None):
+    embedder: texts to vectors; a hashing one by default. generator: prompts to answers, for relations between entities (none: names that stand side by side are
+    related), with the prompt that overrides name for its provider, and a parser of its answers if the common forms do not do."""
+
+    def __init__(
+        self, spark: SparkSession, path: str, settings: Settings | None = None, embedder: Embedder | None = None, generator: Generator | None = None, provider: str | None = None,
+        overrides: dict[str, str] | None = None, parser: Callable[[Column], Column] | None = None,
+    ):
         self.spark, self.path, self.settings, self.embedder = spark, path, settings or Settings(), embedder
+        self.generator, self.parser = generator, parser
+        self.template = prompts.get(prompts.choose(provider, overrides))
         self.chunks_store = stores.VectorStore(spark, f"{path}/chunks")
-        self.graph_store = stores.GraphStore(spark, f"{path}/graph")
+
+    @property
+    def graph_store(self) -> stores.GraphStore:
+        return stores.GraphStore(self.spark, f"{self.path}/graph/{self._version():09d}")
+
+    def _folder(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _version(self) -> int:
+        """Number of the last ingest whose graph is whole; 0 before the first."""
+        store, place = self._folder(f"{self.path}/graph")
+        if not store.exists(place):
+            return 0
+        whole = [s.getPath() for s in store.listStatus(place) if store.exists(self._folder(f"{s.getPath()}/edges/_SUCCESS")[1])]
+        return max((int(p.getName()) for p in whole), default=0)
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """docs: doc_id and page_content or text. Chunks that the store has are not added again; the graph is built anew from all chunks. Returns one row of counters."""
+        """docs: doc_id and page_content or text. Chunks that the store has are not added again, and the graph grows by what new chunks say. An ingest that broke off is caught up with by the next one. Returns one row of counters."""
         s = self.settings
         options = chunking.Options(s.chunk_kind, s.chunk_size, s.chunk_overlap)
         given = registry.as_documents(docs).where(F.length("page_content") > 0)
         found = chunking.chunk(given, options, "doc_id", "page_content").withColumn("vec_id", F.xxhash64("chunk_id")).dropDuplicates(["vec_id"])
+        number = 1
         if self._exists():
             found = found.join(self.chunks_store.scan().select("vec_id"), "vec_id", "left_anti")
-        embedded = cut(stores.embed(found, self.embedder, s.dim))
+            number = 1 + max(self.chunks_store.scan().agg(F.max("ingest")).first()[0] or 0, self._version())
+        embedded = cut(stores.embed(found, self.embedder, s.dim).withColumn("ingest", F.lit(number).cast("long")))
         self.chunks_store.add(embedded)
-        self._build_graph()
+        failed = self._grow_graph(number)
         totals = embedded.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.count("embedding").alias("embedded"), F.count("error").alias("failed"))
-        return totals.withColumns({"nodes": F.lit(self.graph_store.nodes().count()), "edges": F.lit(self.graph_store.edges().count())})
+        return totals.withColumns({"nodes": F.lit(self.graph_store.nodes().count()), "edges": F.lit(self.graph_store.edges().count()), "unread": F.lit(failed)})
 
     def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.chunks_store.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _build_graph(self) -> None:
-        """Names as nodes (each with the first chunk that has it), neighbouring names of a chunk as edges, both ways."""
-        found = extraction.mentions(self.chunks_store.scan(), "vec_id", "page_content")
-        key = extraction.canonical(F.col("name"))
-        nodes = found.groupBy(key.alias("node_id")).agg(F.lit("ENTITY").alias("type"), F.min("name").alias("name"), F.min("doc_id").alias("vec_id"))
-        pairs = extraction.cooccurrence(found).select("src", "dst", F.lit("NEAR").alias("type"), F.col("weight").cast("double"))
-        self.graph_store.save(nodes, pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight")))
+        store, place = self._folder(self.chunks_store.path)
+        return store.exists(place)
+
+    def _grow_graph(self, number: int) -> int:
+        """The next version: the last one and what chunks after it add. Returns chunks of which the generator could not be asked."""
+        last, failed = self._version(), 0
+        new = self.chunks_store.scan().where(F.col("ingest") > last)
+        found = extraction.mentions(new, "vec_id", "page_content")
+        named = found.groupBy(extraction.canonical(F.col("name")).alias("node_id")).agg(F.lit("ENTITY").alias("type"), F.min("name").alias("name"), F.min("doc_id").alias("vec_id"))
+        if self.generator:
+            answered = cut(extraction.ask_each(new.select("vec_id", "page_content"), self.generator, self.template))
+            failed = answered.where("error IS NOT NULL").count()
+            stated, pairs = extraction.ensure_nodes(extraction.relations(answered, custom=self.parser), named)
+            named = named.unionByName(stated.where("created").select("node_id", "type", "name", "vec_id"))
+            pairs = pairs.select("src", "dst", "type", "weight")
+        else:
+            near = extraction.cooccurrence(found).select("src", "dst", F.lit("NEAR").alias("type"), F.col("weight").cast("double"))
+            pairs = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight"))
+        if last:
+            old = self.graph_store
+            named, pairs = old.nodes().unionByName(named), old.edges().unionByName(pairs)
+        nodes = named.groupBy("node_id").agg(F.min("type").alias("type"), F.min("name").alias("name"), F.min("vec_id").alias("vec_id"))
+        stores.GraphStore(self.spark, f"{self.path}/graph/{number:09d}").save(nodes, pairs.groupBy("src", "dst", "type").agg(F.sum("weight").alias("weight")))
+        return failed
 
     def _embedded(self, questions: DataFrame) -> DataFrame:
         return stores.embed(questions.select("query_id", F.col("text").alias("page_content")), self.embedder, self.settings.dim).where("embedding IS NOT NULL").select("query_id", "embedding")
 
+    def _vectors(self) -> DataFrame:
+        return self.chunks_store.scan().where("embedding IS NOT NULL")
+
     def _passages(self) -> DataFrame:
         return self.chunks_store.scan().select("vec_id", "page_content")
 
-    def vector(self, questions: DataFrame, k: int | None = None) -> DataFrame:
-        near = vectors.nearest(self._embedded(questions), self.chunks_store.scan().where("embedding IS NOT NULL"), k or self.settings.top_k)
+    def vector(self, questions: DataFrame, k: int | None = None, kind: str | None = None) -> DataFrame:
+        near = vectors.search(self._embedded(questions), self._vectors(), k or self.settings.top_k, kind or self.settings.search_kind, least=self.settings.least_relevance)
         return near.join(self._passages(), "vec_id").select("query_id", F.col("vec_id").alias("id"), "rank", "page_content", "score")
 
+    def _without(self, questions: DataFrame, found: DataFrame) -> DataFrame:
+        return questions.join(found.select("query_id").distinct(), "query_id", "left_anti")
+
     def seeds(self, questions: DataFrame) -> DataFrame:
-        """Nodes of the nearest chunks; a question that has none takes nodes by its terms (strategy says which)."""
-        near = vectors.nearest(self._embedded(questions), self.chunks_store.scan().where("embedding IS NOT NULL"), 2 * self.settings.seeds)
-        nodes = self.graph_store.nodes()
-        by_vector = vectors.seed_nodes(near, nodes, self.settings.seeds, self.settings.min_score).select("query_id", "node_id", "score", F.lit("vector").alias("strategy"))
-        left = questions.join(by_vector.select("query_id").distinct(), "query_id", "left_anti")
-        by_terms = graph.keyword_seeds(left, nodes, self.settings.seeds).select("query_id", "node_id", "score", F.lit("terms").alias("strategy"))
-        return cut(by_vector.unionByName(by_terms))
-
-    def graph(self, questions: DataFrame) -> DataFrame:
-        visited = graph.breadth_first(self.seeds(questions), self.graph_store.edges(), self.settings.max_hops)
-        d = graph.node_documents(visited, self.graph_store.nodes(), self.graph_store.edges(), self._passages())
+        """Nodes of the nearest chunks; a question that has none (or any, by the setting) takes nodes by fuzzy matching. strategy says which."""
+        s, nodes = self.settings, self.graph_store.nodes()
+        fuzzy = lambda left: graph.fuzzy_seeds(left, nodes, s.seeds, s.min_score, graph.text_properties(nodes)).select("query_id", "node_id", "score", F.lit("fuzzy").alias("strategy"))
+        if s.seed_strategy == "fuzzy":
+            return cut(fuzzy(questions))
+        near = vectors.nearest(self._embedded(questions), self._vectors(), 2 * s.seeds)
+        by_vector = cut(vectors.seed_nodes(near, nodes, s.seeds, s.min_score).select("query_id", "node_id", "score", F.lit("vector").alias("strategy")))
+        return cut(by_vector.unionByName(fuzzy(self._without(questions, by_vector)))) if s.fallback else by_vector
+
+    def graph(self, questions: DataFrame, k: int | None = None) -> DataFrame:
+        """All nodes within reach of the seeds; k, if given, limits the documents of a question."""
+        store = self.graph_store
+        nodes, edges = store.nodes(), store.edges()
+        visited = graph.breadth_first(self.seeds(questions), edges, self.settings.max_hops)
+        d = graph.node_documents(visited, nodes, edges, self._passages(), properties=graph.text_properties(nodes))
+        d = d.where(F.col("rank") <= k) if k else d
         return d.select("query_id", F.col("node_id").alias("id"), "rank", "page_content", F.col("hop_distance").cast("double").alias("hop_distance"), "relevance_score", F.col("relevance_score").alias("score"))
 
     def pagerank(self, questions: DataFrame, k: int | None = None) -> DataFrame:
-        s = self.settings
-        ranks = pagerank.personalised_pagerank(self.seeds(questions), self.graph_store.edges(), s.alpha, s.iterations, s.tolerance, s.max_hops, s.max_nodes)
-        best = pagerank.best_vectors(ranks, self.graph_store.nodes(), k or s.top_k, s.min_score)
-        return best.join(self._passages(), "vec_id").select("query_id", F.col("vec_id").cast("string").alias("id"), "rank", "page_content", "score")
+        """Seeds are nodes of the nearest chunks, else of matching names; a question without any result takes its nearest chunks instead (retrieval_source says so)."""
+        s, nodes = self.settings, self.graph_store.nodes()
+        near = vectors.nearest(self._embedded(questions), self._vectors(), s.seeds)
+        seeds = cut(pagerank.chunk_seeds(near, nodes))
+        names = pagerank.keyword_seeds(self._without(questions, seeds), nodes, s.seeds, s.min_score).select("query_id", "node_id", "score")
+        ranks = pagerank.personalised_pagerank(cut(seeds.unionByName(names)), self.graph_store.edges(), s.alpha, s.iterations, s.tolerance, s.max_hops, s.max_nodes)
+        best = pagerank.best_vectors(ranks, nodes, k or s.top_k, s.min_score)
+        found = best.join(self._passages(), "vec_id").select("query_id", F.col("vec_id").cast("string").alias("id"), "rank", "page_content", "score", "retrieval_source")
+        if not s.fallback:
+            return found
+        found = cut(found)
+        rest = self.vector(self._without(questions, found), k).withColumns({"id": F.col("id").cast("string"), "retrieval_source": F.lit("vector_fallback")})
+        return found.unionByName(rest)
 
     def hybrid(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         s = self.settings
@@ -89,20 +152,33 @@ class Engine:
         """questions: query_id, text -> query_id, id, rank, page_content, score."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode}; one of {MODES}")
-        return self.graph(questions) if mode == "graph" else getattr(self, mode)(questions, k)
+        return getattr(self, mode)(questions, k)
+
+    def reranked(self, questions: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], mode: str = "vector", k: int = 5, fetch: int = 2, threshold: float = 0.0) -> DataFrame:
+        """The best k of fetch * k results by a scorer of (queries, documents) in 0..1. A batch whose scoring fails keeps its order."""
+        return rerank.by_scorer(self.retrieve(questions, mode, k * fetch).join(questions.select("query_id", "text"), "query_id"), scorer, k, threshold)
 
     def prompts(self, questions: DataFrame, mode: str = "vector", k: int | None = None) -> DataFrame:
         """query_id, text, context: what a generator is given; a question without results has an empty context."""
         context = fusion.format_context(self.retrieve(questions, mode, k), self.settings.context_chars)
         return questions.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
-    def answer(self, questions: DataFrame, generator: Callable[[list[str]], list[str]], mode: str = "vector", k: int | None = None) -> DataFrame:
+    def answer(self, questions: DataFrame, generator: Generator, mode: str = "vector", k: int | None = None) -> DataFrame:
         """query_id, text, context, answer."""
         asked = self.prompts(questions, mode, k).withColumnRenamed("context", "page_content")
         return rerank.ask(asked, generator, "{document}\n\nQuestion: {query}").withColumnRenamed("page_content", "context")
 
-    def stats(self) -> DataFrame:
-        c = self.chunks_store.scan().agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
-        return c.join(graph.density(self.graph_store.nodes(), self.graph_store.edges()))
+    def stream_answer(self, question: str, tokens: Callable[[str], Iterator[str]], mode: str = "vector", k: int | None = None) -> Iterator[str]:
+        """One question's answer as a generator says it, token by token."""
+        (row,) = self.prompts(self.spark.createDataFrame([(0, question)], "query_id bigint, text string"), mode, k).collect()
+        yield from tokens(prompts.fill(prompts.get("rag_template"), context=row.context, question=question))
 
+    async def later(self, method: str, *args, **kwargs):
+        """Any of the methods above without waiting for it: await engine.later("retrieve", questions, "hybrid")."""
+        return await asyncio.to_thread(getattr(self, method), *args, **kwargs)
 
+    def stats(self) -> DataFrame:
+        """One row: chunks, those embedded, and the graph's nodes, edges, density, nodes with a vector, indexed ones and orphans."""
+        store = self.graph_store
+        c = self.chunks_store.scan().agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
+        return reduce(DataFrame.join, [c, graph.stats(store.nodes(), store.edges(), self._vectors())])

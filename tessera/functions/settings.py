@@ -28,6 +28,10 @@ class Settings:
     chunk_overlap: int = 200
     dim: int = 64
     top_k: int = 4
+    search_kind: str = "similarity"
+    least_relevance: float = 0.5
+    seed_strategy: str = "vector"
+    fallback: bool = True
     max_hops: int = 2
     seeds: int = 5
     min_score: float = 0.0
@@ -42,10 +46,13 @@ class Settings:
 
     def __post_init__(self) -> None:
         for f in fields(self):
-            kind = type(f.default)
-            object.__setattr__(self, f.name, kind(resolve(getattr(self, f.name)) if isinstance(getattr(self, f.name), str) else getattr(self, f.name)))
+            kind, value = type(f.default), getattr(self, f.name)
+            value = resolve(value) if isinstance(value, str) else value
+            object.__setattr__(self, f.name, value.lower() in ("1", "true", "yes") if kind is bool and isinstance(value, str) else kind(value))
         if not 0 < self.alpha < 1 or self.top_k < 1 or self.max_hops < 0 or self.chunk_size < 1:
             raise ValueError("alpha must be between 0 and 1, top_k and chunk_size positive, max_hops not negative")
+        if self.seed_strategy not in ("vector", "fuzzy"):
+            raise ValueError("seed_strategy is vector or fuzzy")
 
     @classmethod
     def of(cls, given: Mapping[str, Any]) -> Settings:

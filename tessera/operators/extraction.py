@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions import prompts as prompts_
 
 #: Two capitalised words of ASCII letters; word boundaries differ between engines and are not used.
 NAME_PATTERN = "[A-Z][a-z]+ [A-Z][a-z]+"
@@ -62,12 +68,14 @@ def _lines(text: Column) -> Column:
 
 
 def parse_json(text: Column) -> Column:
-    """Triples of a JSON list, or of the list under "relationships", once code fences and prose around it are gone."""
-    bare = F.regexp_replace(text, "```[a-z]*", "")
-    as_list = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
-    parsed = F.from_json(as_list, f"array<{_TRIPLE}>")
-    clean = F.transform(parsed, lambda t: F.struct(*(F.coalesce(t[k], F.lit("")).alias(k) for k in ("subject", "relationship", "object"))))
-    return F.coalesce(F.filter(clean, lambda t: (t["subject"] != "") | (t["object"] != "")), _none())
+    """Triples of JSON as generators write it: a list, the list under "relationships" or one object, among code fences and prose, with names in any or no quotes and commas too many."""
+    bare = F.regexp_replace(F.regexp_replace(text, "```[A-Za-z]*", ""), r",(\s*[}\]])", "$1")
+    lenient = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    listed = F.from_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), f"array<{_TRIPLE}>", lenient)
+    single = F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), _TRIPLE, lenient)
+    clean = lambda found: F.filter(F.transform(found, lambda t: F.struct(*(F.coalesce(t[k], F.lit("")).alias(k) for k in ("subject", "relationship", "object")))), lambda t: (t["subject"] != "") | (t["object"] != ""))
+    found = F.coalesce(clean(listed), _none())
+    return F.when(F.size(found) > 0, found).otherwise(F.coalesce(clean(F.array(single)), _none()))
 
 
 def parse_table(text: Column) -> Column:
@@ -110,15 +118,54 @@ def parse_arrow(text: Column) -> Column:
     return F.filter(F.transform(_lines(text), lambda x: _arrow(_bare(x))), lambda t: t.isNotNull())
 
 
-def parse_relations(text: Column, preferred: str = "auto") -> Column:
-    """First of JSON, table, delimited and arrow parsing that finds any triple; preferred json or table tries the others last."""
-    order = [parse_json, parse_table, parse_delimited, parse_arrow]
-    if preferred == "table":
-        order = [parse_table, parse_json, parse_delimited, parse_arrow]
-    found = [f(text) for f in order]
+PARSERS = {"json": parse_json, "table": parse_table, "delimited": parse_delimited, "arrow": parse_arrow}
+
+
+def parse_relations(text: Column, preferred: str = "auto", custom: Callable[[Column], Column] | None = None) -> Column:
+    """First of JSON, table, delimited and arrow parsing that finds any triple; a preferred one is tried first, a custom parser (text -> array of triples) before all."""
+    order = sorted(PARSERS, key=lambda name: name != preferred)  # stable: the others keep their order
+    found = [f(text) for f in ([custom] if custom else []) + [PARSERS[name] for name in order]]
     return F.coalesce(*(F.when(F.size(x) > 0, x) for x in found), _none())
 
 
+def ask_each(chunks: DataFrame, generator: Callable[[list[str]], list[str]], template: str, text_col: str = "page_content", tries: int = 2, **values: str) -> DataFrame:
+    """chunks with answer and error: what a generator says to the template filled with each text (text, document, source_text) and values. A batch that fails is tried
+    again; if it still fails its rows carry the error and no answer."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf[text_col].fillna("").tolist()
+            prompts = [prompts_.fill(template, text=t, document=t, source_text=t, **{"entities": "", "relationship_types": "", **values}) for t in texts]
+            for _ in range(tries):
+                try:
+                    answers, error = generator(prompts), None
+                    break
+                except Exception as e:  # what a remote model raises is unknown; it is kept in the row
+                    answers, error = [None] * len(texts), str(e)
+            yield pdf.assign(answer=pd.Series(answers, dtype=object, index=pdf.index), error=error)
+
+    return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())]))
+
+
+def relations(answered: DataFrame, id_col: str = "vec_id", preferred: str = "auto", custom: Callable[[Column], Column] | None = None) -> DataFrame:
+    """vec_id, pos, subject, relationship, object of all answers."""
+    found = answered.select(F.col(id_col).alias("vec_id"), F.posexplode(parse_relations(F.coalesce("answer", F.lit("")), preferred, custom)).alias("pos", "t"))
+    return found.select("vec_id", "pos", "t.subject", "t.relationship", "t.object").where((canonical(F.col("subject")) != "") & (canonical(F.col("object")) != ""))
+
+
+def ensure_nodes(triples: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of triples: each end is the known node (node_id, name) of its canonical name, the least id, or a new ENTITY named after it; mentions are counted, edges are
+    once a (src, dst, type), with the first chunk that states them."""
+    ends = triples.select("vec_id", F.explode(F.array("subject", "object")).alias("name")).withColumn("key", canonical(F.col("name")))
+    named = known.groupBy(canonical(F.col("name")).alias("key")).agg(F.min("node_id").alias("known_id"))
+    nodes = ends.groupBy("key").agg(F.min("name").alias("name"), F.min("vec_id").alias("vec_id"), F.count("*").alias("mentions")).join(named, "key", "left")
+    nodes = nodes.select("key", F.coalesce("known_id", "key").alias("node_id"), F.lit("ENTITY").alias("type"), "name", "vec_id", "mentions", F.col("known_id").isNull().alias("created"))
+    at = lambda side: nodes.select(F.col("key").alias(f"{side}_key"), F.col("node_id").alias(side))
+    placed = triples.withColumns({"src_key": canonical(F.col("subject")), "dst_key": canonical(F.col("object"))}).join(at("src"), "src_key").join(at("dst"), "dst_key")
+    edges = placed.groupBy("src", "dst", F.col("relationship").alias("type")).agg(F.lit(1.0).alias("weight"), F.min("vec_id").alias("vec_id"), F.count("*").alias("mentions"))
+    return nodes.drop("key"), edges
+
+
 def parse_terms(text: Column, most: int) -> Column:
     """Suggested terms: a JSON list, else lines without bullets and quotes; ordered distinct, at most `most`."""
     listed = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), "array<string>")

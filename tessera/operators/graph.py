@@ -5,6 +5,8 @@ nodes: node_id, type, name, vec_id (and any properties); edges: src, dst, type,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -166,10 +168,9 @@ def partial_ratio(a: str, b: str) -> float:
     return 100.0 * most / len(short)
 
 
-def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 0.0, properties: list[str] | None = None) -> DataFrame:
-    """Seeds by partial ratios of name (0.03), type (0.01) and other string properties (0.005 each), over 4.5 and at most 1; a stated set of queries, in groups of at most MOST_TEXTS, one pass over
-    all nodes each. Each batch sends a query's best k only."""
-    more = properties or []
+def text_seeds(queries: DataFrame, nodes: DataFrame, k: int, score: Callable[[str, pd.DataFrame], np.ndarray], columns: list[str], least: float, scale: float = 4.5) -> DataFrame:
+    """query_id, node_id, score, rank of the best k nodes of each query by a raw score of (lower-case query, a batch of nodes) that is at least `least`, over scale and at most 1. A stated set of
+    queries, in groups of at most MOST_TEXTS, one pass over all nodes each; a batch sends a query's best k only."""
 
     def search(some: DataFrame) -> DataFrame:
         given = [(r.query_id, r.text.lower()) for r in some.select("query_id", "text").collect()]
@@ -177,20 +178,33 @@ def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float =
         def run(batches):
             for pdf in batches:
                 for query_id, text in given:
-                    by_type = {t: partial_ratio(text, str(t).lower()) for t in pdf["type"].unique()}
-                    score = np.array([partial_ratio(text, str(n).lower()) * 0.03 + by_type[t] * 0.01 for n, t in zip(pdf["name"], pdf["type"], strict=True)], float)
-                    for p in more:
-                        score += [0.005 * partial_ratio(text, x.lower()) if isinstance(x, str) else 0.0 for x in pdf[p]]
-                    found = pd.DataFrame({"query_id": query_id, "node_id": pdf["node_id"], "score": np.minimum(1.0, score / 4.5)})
-                    yield found[found.score >= min_score].sort_values(["score", "node_id"], ascending=[False, True]).head(k)
-
-        scored = nodes.select("node_id", "name", "type", *more).mapInPandas(run, "query_id bigint, node_id string, score double")
+                    raw = score(text, pdf)
+                    found = pd.DataFrame({"query_id": query_id, "node_id": pdf["node_id"], "score": np.minimum(1.0, raw / scale)})
+                    yield found[raw >= least].sort_values(["score", "node_id"], ascending=[False, True]).head(k)
+
+        scored = nodes.select("node_id", *columns).mapInPandas(run, "query_id bigint, node_id string, score double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
         return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
     return in_groups(queries, MOST_TEXTS, search)
 
 
+def ratios(text: str, values: pd.Series) -> np.ndarray:
+    """partial_ratio of a text with each value in lower case; each distinct value is compared once, null is 0."""
+    known: dict = {}
+    return np.array([known[v] if v in known else known.setdefault(v, partial_ratio(text, v.lower()) if isinstance(v, str) else 0.0) for v in values], float)
+
+
+def fuzzy_seeds(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = 0.0, properties: list[str] | None = None) -> DataFrame:
+    """Seeds by partial ratios of name (0.03), type (0.01) and other string properties (0.005 each), over 4.5 and at most 1."""
+    more = properties or []
+
+    def score(text: str, pdf: pd.DataFrame) -> np.ndarray:
+        return sum((0.005 * ratios(text, pdf[p]) for p in more), ratios(text, pdf["name"]) * 0.03 + ratios(text, pdf["type"]) * 0.01)
+
+    return text_seeds(queries, nodes, k, score, ["name", "type", *more], 4.5 * min_score)
+
+
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n, e = nodes.agg(F.count("*").alias("n_nodes")), edges.agg(F.count("*").alias("n_edges"))
     return n.join(e).withColumn("density", F.col("n_edges") / F.greatest(F.col("n_nodes") * (F.col("n_nodes") - 1), F.lit(1)))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import breadth_first
+from tessera.operators.graph import breadth_first, ratios, text_seeds
 
 
 def local_graph(seeds: DataFrame, edges: DataFrame, hops: int = 3, most_nodes: int = 200) -> DataFrame:
@@ -66,3 +66,20 @@ def best_vectors(ranks: DataFrame, nodes: DataFrame, k: int, min_score: float =
     r = r.withColumn("_n", F.row_number().over(once)).where("_n = 1")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
     return r.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "node_id", "score", F.lit("pagerank").alias("retrieval_source"))
+
+
+def keyword_seeds(queries: DataFrame, nodes: DataFrame, k: int = 5, min_score: float = 0.0) -> DataFrame:
+    """Seeds by name (0.03 of its partial ratio) and type (0.1 if it is a term of the query); min_score is of the raw score, the result is over 4.5 and at most 1."""
+
+    def score(text: str, pdf: pd.DataFrame) -> np.ndarray:
+        terms = set(text.split())
+        return ratios(text, pdf["name"]) * 0.03 + 0.1 * pdf["type"].fillna("").str.lower().isin(terms).to_numpy()
+
+    return text_seeds(queries, nodes, k, score, ["name", "type"], min_score)
+
+
+def chunk_seeds(chunks: DataFrame, nodes: DataFrame, default: float = 0.5) -> DataFrame:
+    """Nodes of retrieved chunks (query_id, rank, vec_id, score): query_id, node_id, score of the first chunk with the node's vector, default where it has none."""
+    first = Window.partitionBy("query_id", "vec_id").orderBy("rank")
+    once = chunks.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return once.join(nodes.select("node_id", "vec_id"), "vec_id").select("query_id", "node_id", F.coalesce("score", F.lit(default)).alias("score"))

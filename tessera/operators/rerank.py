@@ -48,3 +48,21 @@ def ask(results: DataFrame, generator: Callable[[list[str]], list[str]], templat
             yield pdf.assign(answer=pd.Series(generator(prompts), dtype=object, index=pdf.index))
 
     return results.mapInPandas(run, T.StructType([*results.schema.fields, T.StructField("answer", T.StringType())]))
+
+
+def by_scorer(results: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int = 5, threshold: float = 0.0) -> DataFrame:
+    """results (query_id, text, page_content, rank, ...) reranked by a scorer of (queries, the first MOST_CONTENT characters of documents). A batch whose scoring fails twice gets its scores from the order it
+    is in, above any threshold."""
+
+    def run(batches):
+        for pdf in batches:
+            for _ in range(2):
+                try:
+                    scores = list(scorer(pdf["text"].tolist(), [(d or "")[:MOST_CONTENT] for d in pdf["page_content"]]))
+                    break
+                except Exception:  # what a remote model raises is unknown; the order stays
+                    scores = (1.0 + 1.0 / (1.0 + pdf["rank"])).tolist()
+            yield pdf.assign(raw_score=pd.Series(scores, dtype=float, index=pdf.index))
+
+    scored = results.mapInPandas(run, T.StructType([*results.schema.fields, T.StructField("raw_score", T.DoubleType())]))
+    return rerank(scored, F.col("raw_score"), k, threshold)

@@ -49,7 +49,7 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> Dat
     spark = vectors.sparkSession
     given = queries.collect()  # about MOST_QUERIES at most, see nearest
     ids = np.array([r.query_id for r in given], np.int64)
-    q = np.array([r.embedding for r in given], np.float64).reshape(len(given), -1)
+    q = np.array([r.embedding for r in given], np.float64).reshape(len(given), -1 if given else 1)
     shared = spark.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,12 +65,12 @@ def fuzzy_seed_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ppr_scores(spark: SparkSession, folder: str) -> DataFrame:
-    found = pagerank.personalised_pagerank(_region_seeds(spark, folder), _edges(spark, folder))
+    found = pagerank.personalised_pagerank(_customer_seeds(spark, folder), _edges(spark, folder))
     return found.select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
 def ppr_topk_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    found = pagerank.personalised_pagerank(_region_seeds(spark, folder), _edges(spark, folder)).withColumn("score", F.round("score", 6))
+    found = pagerank.personalised_pagerank(_customer_seeds(spark, folder), _edges(spark, folder)).withColumn("score", F.round("score", 6))
     best = pagerank.best_vectors(found, graphs.nodes(spark, folder), 5, 0.01, ["nation", "supplier"])
     return best.select("query_id", "rank", "vec_id", "node_id", "score", "retrieval_source")
 
@@ -116,7 +116,7 @@ _INCIDENT = """inner_edges AS (
     ), both_ways AS (SELECT query_id, src AS node_id, src, type, dst FROM inner_edges UNION ALL SELECT query_id, dst, src, type, dst FROM inner_edges WHERE src <> dst),
     incident AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_id ORDER BY type, src, dst) AS edge_rank FROM both_ways) WHERE edge_rank <= 5)"""
 
-_PPR = f"""{_walk(_REGIONS, 3)}, kept AS (
+_PPR = f"""{_walk(_CUSTOMERS, 3)}, kept AS (
         SELECT query_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop_distance, node_id) AS place FROM visited) WHERE place <= 200 OR hop_distance = 0
     ), inner_edges AS (
         SELECT k.query_id, e.src, e.dst, e.weight FROM kept k JOIN edges e ON e.src = k.node_id JOIN kept o ON o.query_id = k.query_id AND o.node_id = e.dst WHERE e.src <> e.dst

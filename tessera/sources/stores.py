@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.providers import Providers
+from tessera.functions.retry import retried
+
 
 def hash_embedding(text: str, dim: int = 64) -> list[float]:
     """A deterministic unit vector of a text: hashed words, for tests and offline runs."""
@@ -62,20 +68,87 @@ class VectorStore:
         self.scan().join(ids.select("vec_id").distinct(), "vec_id", "left_anti").write.mode("overwrite").parquet(into)
         return VectorStore(self.spark, into)
 
+    def remove(self, ids: DataFrame) -> None:
+        """Delete the given ids: what stays is written beside the store, which it then replaces."""
+        jvm, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        beside = f"{self.path.rstrip('/')}.{uuid.uuid4().hex}"
+        self.delete(ids, beside)
+        old, new = jvm.Path(self.path), jvm.Path(beside)
+        store = old.getFileSystem(conf)
+        store.delete(old, True)
+        if not store.rename(new, old):
+            raise OSError(f"{beside} holds what was kept, but could not be renamed to {self.path}")
+        self.spark.catalog.refreshByPath(self.path)
+
+
+#: Vector stores by name; others by a dotted path.
+VECTOR_STORES = Providers("vector store")
+VECTOR_STORES.register("parquet", "table")(VectorStore)
+GRAPH_KINDS = ("parquet", "json", "pickle")
+
+
+class GraphConnector(Protocol):
+    """A graph database: rows are merged by id, so sending them again changes nothing. One is made in each task."""
+
+    def wipe(self) -> None: ...
+
+    def merge_nodes(self, rows: list[dict]) -> None: ...
+
+    def merge_edges(self, rows: list[dict]) -> None: ...
+
+
+def send(nodes: DataFrame, edges: DataFrame, connect: Callable[[], GraphConnector], wipe: bool = False, batch: int = 1000) -> None:
+    """Nodes (node_id) and edges (src, dst, type) into a graph database, nodes first, the last row of each id by its other columns, from all tasks in batches that are tried three times."""
+
+    def last(df: DataFrame, *key: str) -> DataFrame:
+        rest = F.struct(*(c for c in df.columns if c not in key))
+        return df.groupBy(*key).agg(F.max(rest).alias("r")).select(*key, "r.*")
+
+    def put(method: str) -> Callable:
+        def run(rows) -> None:
+            merge, held = retried(getattr(connect(), method)), []
+            for r in rows:
+                held.append(r.asDict(recursive=True))
+                if len(held) == batch:
+                    merge(held)
+                    held = []
+            if held:
+                merge(held)
+
+        return run
+
+    if wipe:
+        connect().wipe()
+    last(nodes, "node_id").foreachPartition(put("merge_nodes"))
+    last(edges, "src", "dst", "type").foreachPartition(put("merge_edges"))
+
 
 class GraphStore:
-    """Nodes and edges under a path, as parquet or json; both read back to the same tables."""
+    """Nodes and edges under a path, as parquet, json or pickle (one file, made by the driver, for at most MOST_PICKLED rows); all read back to the same tables."""
+
+    MOST_PICKLED = 1_000_000
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "parquet"):
-        if kind not in ("parquet", "json"):
-            raise ValueError(f"unknown format {kind}")
+        if kind not in GRAPH_KINDS:
+            raise ValueError(f"unknown format {kind}; one of {GRAPH_KINDS}")
         self.spark, self.path, self.kind = spark, path, kind
 
     def save(self, nodes: DataFrame, edges: DataFrame) -> None:
         for name, df in (("nodes", nodes), ("edges", edges)):
-            df.write.mode("overwrite").format(self.kind).save(f"{self.path}/{name}")
+            if self.kind == "pickle":
+                rows = df.limit(self.MOST_PICKLED + 1).collect()
+                if len(rows) > self.MOST_PICKLED:
+                    raise ValueError(f"more than {self.MOST_PICKLED} {name}; save them as parquet")
+                data = pickle.dumps([r.asDict(recursive=True) for r in rows])
+                self.spark.createDataFrame([(bytearray(data),)], "data binary").write.mode("overwrite").parquet(f"{self.path}/{name}.pickle")
+            else:
+                df.write.mode("overwrite").format(self.kind).save(f"{self.path}/{name}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        if self.kind == "pickle":
+            wanted = [c.split()[0] for c in schema.split(", ")]
+            rows = pickle.loads(self.spark.read.parquet(f"{self.path}/{name}.pickle").first().data)
+            return self.spark.createDataFrame([tuple(r.get(c) for c in wanted) for r in rows], schema)
         return self.spark.read.format(self.kind).schema(schema).load(f"{self.path}/{name}")
 
     def nodes(self) -> DataFrame:

@@ -216,7 +216,7 @@ def test_sources(spark, tmp_path):
     got = registry.load(spark, [str(tmp_path / n) for n in ("a.txt", "b.html", "c.csv")])
     assert sorted(r.page_content for r in got.collect()) == ["T\nOne & two", "hello\nworld", "k: 1\nv: 2", "k: 3\nv: 4"]
     with pytest.raises(ValueError, match="no reader"):
-        registry.get("pdf")
+        registry.get("odd")
     with pytest.raises(ValueError, match="no sources"):
         registry.load(spark, [])
     assert "txt" in registry.known() and registry.get(".TXT") is registry.get("txt")
@@ -289,3 +289,131 @@ def test_fuzzy_seed_nodes_scores_all_nodes(spark, monkeypatch):
     for q, text in ((1, "asia"), (2, "nation")):
         best = sorted((-min(1.0, (ratio(text, n.name.lower()) * 0.03 + ratio(text, n.type.lower()) * 0.01) / 4.5), n.node_id) for n in nodes)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, round(-s, 6)) for s, i in best]
+
+
+def test_neighbours_of_equal_vectors_go_by_id(spark):
+    """More equal (and nearly equal, large) vectors than any shortlist holds."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(10_000 + i, [1e6 + i % 3, 1e6, 1e6]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.5]), (2, [1e6, 1e6, 1e6])], "query_id bigint, embedding array<double>")
+    for metric in ("l2", "cosine"):
+        got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(q, v, 8, metric).collect()}
+        assert [got[1, k] for k in range(1, 9)] == list(range(8))
+    assert [r.vec_id for r in vectors.nearest(q.where("query_id = 2"), v, 5).orderBy("rank").collect()] == [10_000 + 3 * i for i in range(5)]
+
+
+def test_queries_beyond_the_limit_go_in_groups(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id bigint, embedding array<double>")
+    q = v.selectExpr("vec_id AS query_id", "embedding")
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
+    got = vectors.nearest(q, v, 1).collect()
+    assert len(got) == 50 and all(r.query_id == r.vec_id for r in got)
+    nodes = spark.createDataFrame([(f"n{i}", f"name {i}", "T") for i in range(9)], "node_id string, name string, type string")
+    asked = spark.createDataFrame([(i, f"name {i}") for i in range(9)], "query_id bigint, text string")
+    monkeypatch.setattr(graph, "MOST_TEXTS", 2)
+    assert {(r.query_id, r.node_id) for r in graph.keyword_seeds(asked, nodes, 1).collect()} == {(i, f"n{i}") for i in range(9)}
+    assert {(r.query_id, r.node_id) for r in graph.fuzzy_seeds(asked, nodes, 1).collect()} == {(i, f"n{i}") for i in range(9)}
+
+
+def test_kinds_of_search(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, None)], "vec_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.3])], "query_id bigint, embedding array<double>")
+    ids = lambda kind, **o: [r.vec_id for r in vectors.search(q, v, 2, kind, **o).orderBy("rank").collect()]
+    assert ids("similarity") == ids("unheard of") == [3, 1] and ids("mmr", fetch_k=3) == [3, 2] and ids("similarity_score_threshold", least=0.97) == [3]
+    assert {(r.dim, r.n_vectors) for r in vectors.stats(v).collect()} == {(2, 3), (None, 1)}
+
+
+def test_properties_count_in_scores_and_texts(spark):
+    nodes = spark.createDataFrame([("a", "Alpha", "Person", "likes red boats", None, 1), ("b", "Beta", "Person", None, "x", 2)], "node_id string, name string, type string, about string, chunk_id string, vec_id bigint")
+    assert graph.text_properties(nodes) == ["about"]
+    asked = spark.createDataFrame([(1, "red boats")], "query_id bigint, text string")
+    (r,) = graph.keyword_seeds(asked, nodes, 2, properties=["about"]).collect()
+    assert (r.node_id, r.score) == ("a", 0.5)
+    plain, rich = (by(graph.fuzzy_seeds(asked, nodes, 2, properties=p), "node_id", "score") for p in (None, ["about"]))
+    assert rich["a"] == pytest.approx(plain["a"] + 0.5 / 4.5) and rich["b"] == plain["b"]
+    visited = spark.createDataFrame([(1, "a", 0, 1.0)], "query_id bigint, node_id string, hop_distance int, relevance_score double")
+    none = spark.createDataFrame([], "vec_id bigint, page_content string")
+    d = graph.node_documents(visited, nodes, edges(spark, [("a", "a", 1)]), none, properties=["about"]).first()
+    assert d.page_content == "Person: Alpha\n  about: likes red boats\na E a"
+
+
+def test_pagerank_seeds(spark):
+    nodes = spark.createDataFrame([("a", "alice", "Person", 1), ("b", "bob", "City", 1), ("c", "carol", None, 2)], "node_id string, name string, type string, vec_id bigint")
+    asked = spark.createDataFrame([(1, "alice city")], "query_id bigint, text string")
+    got = by(pagerank.keyword_seeds(asked, nodes, 5, 1.0), "node_id", "score")
+    want = {n: graph.partial_ratio("alice city", n) * 0.03 + (0.1 if t == "City" else 0) for n, t in (("alice", "Person"), ("bob", "City"), ("carol", None))}
+    assert got == {n[0]: pytest.approx(min(1, s / 4.5)) for n, s in want.items() if s >= 1.0}
+    chunks = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 1, 0.1), (1, 3, 2, None)], "query_id bigint, rank int, vec_id bigint, score double")
+    assert {(r.node_id, r.score) for r in pagerank.chunk_seeds(chunks, nodes).collect()} == {("a", 0.9), ("b", 0.9), ("c", 0.5)}
+
+
+def test_lenient_json(spark):
+    texts = ["Sure! {relationships: [{'subject': 'A', 'relationship': 'R', 'object': 'B',},]} done", '{"subject": "A", "relationship": "R", "object": "B"}', '```JSON\n[\n{"subject": "A", "relationship": "R", "object": "B"},\n]\n```', "[]", "no { json"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", extraction.parse_json(F.col("text")).alias("t"))
+    assert {r.id: [tuple(x) for x in r.t] for r in d.collect()} == {0: [("A", "R", "B")], 1: [("A", "R", "B")], 2: [("A", "R", "B")], 3: [], 4: []}
+    own = lambda text: F.array(F.struct(F.lit("s").alias("subject"), F.lit("r").alias("relationship"), F.lit("o").alias("object")))
+    assert spark.createDataFrame([("a | b | c",)], "t string").select(extraction.parse_relations(F.col("t"), custom=own)[0]["subject"]).first()[0] == "s"
+
+
+def test_known_nodes_are_linked_and_others_made(spark):
+    triples = spark.createDataFrame([(1, 0, "Alice", "KNOWS", "Bob"), (2, 0, " alice ", "KNOWS", "bob"), (2, 1, "Bob", "LEADS", "Team")], "vec_id bigint, pos int, subject string, relationship string, object string")
+    known = spark.createDataFrame([("n7", "ALICE"), ("n9", "alice")], "node_id string, name string")
+    nodes, found = extraction.ensure_nodes(triples, known)
+    assert {(r.node_id, r.mentions, r.created) for r in nodes.collect()} == {("n7", 2, False), ("bob", 3, True), ("team", 1, True)}
+    assert {(r.src, r.type, r.dst, r.vec_id, r.mentions) for r in found.collect()} == {("n7", "KNOWS", "bob", 1, 2), ("bob", "LEADS", "team", 2, 1)}
+
+
+def test_graph_databases_pickles_and_removal(spark, tmp_path):
+    import json
+
+    class Database:
+        """A graph database in a folder, as tasks see it."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def wipe(self):
+            for f in self.folder.glob("*"):
+                f.unlink()
+
+        def _put(self, kind, rows, *key):
+            import json
+            import uuid
+
+            (self.folder / f"{kind}-{uuid.uuid4().hex}").write_text(json.dumps([[[r[k] for k in key], r] for r in rows]))
+
+        def merge_nodes(self, rows):
+            self._put("nodes", rows, "node_id")
+
+        def merge_edges(self, rows):
+            self._put("edges", rows, "src", "dst", "type")
+
+    nodes = spark.createDataFrame([("a", "T", "old", 1), ("a", "T", "z new", 1), ("b", "T", "b", None)], "node_id string, type string, name string, vec_id bigint")
+    e = edges(spark, [("a", "b", 1), ("a", "b", 2)])
+    folder = tmp_path / "db"
+    folder.mkdir()
+    (folder / "junk").write_text("")
+    stores.send(nodes, e, lambda: Database(folder), wipe=True, batch=1)
+    read = lambda kind: sorted(tuple(k) + (r.get("name", r.get("weight")),) for f in folder.glob(f"{kind}-*") for k, r in json.loads(f.read_text()))
+    assert read("nodes") == [("a", "z new"), ("b", "b")] and read("edges") == [("a", "b", "E", 2.0)] and not (folder / "junk").exists()
+    g = stores.GraphStore(spark, str(tmp_path / "p"), "pickle")
+    g.save(nodes, e)
+    assert g.nodes().count() == 3 and g.edges().agg(F.sum("weight")).first()[0] == 3.0 and graph.contains(g.nodes(), "b") and graph.edge_data(g.edges(), "a", "b").count() == 2
+    v = stores.VectorStore(spark, str(tmp_path / "v"))
+    v.add(spark.createDataFrame([(1, "x"), (2, "y")], "vec_id bigint, page_content string"))
+    v.remove(spark.createDataFrame([(1,)], "vec_id bigint"))
+    assert [r.vec_id for r in v.scan().collect()] == [2]
+
+
+def test_manifests(spark, tmp_path):
+    from tessera.sources.manifests import Manifest
+
+    m, kind = Manifest(spark, str(tmp_path)), "name string, size bigint"
+    assert m.get("staged", kind).count() == 0
+    m.put("staged", spark.createDataFrame([("a", 1), ("b", None)], kind))
+    m.put("loaded", spark.createDataFrame([("c", 3)], kind))
+    assert {tuple(r) for r in Manifest(spark, str(tmp_path)).get("staged", kind).collect()} == {("a", 1), ("b", None)}
+    m.clear("staged")
+    assert m.get("staged", kind).count() == 0 and m.get("loaded", kind).count() == 1
+    with pytest.raises(ValueError, match="unknown state"):
+        m.put("other", m.get("loaded", kind))

@@ -13,6 +13,6 @@ def test_questions_and_corpus(spark, tmp_path):
     q = qa.read(spark, str(tmp_path / "qa.json"))
     assert [r.question for r in q.orderBy("query_id").collect()] == ["q1", "q2"]
     assert [r.question for r in qa.read(spark, str(tmp_path / "qa.json"), 1).collect()] == ["q1"]
-    assert sorted((r.title, r.text) for r in qa.corpus(q).collect()) == [("Hill", "A hill."), ("Lake", "A lake. It is blue.")]
+    assert sorted((r.title, r.text) for r in qa.corpus(q).collect()) == [("Hill", "A hill."), ("Lake", "A lake.\nIt is blue.")]
     assert sorted(r.id for r in qa.truth(q).collect()) == ["Hill", "Lake"]
     assert [r.question for r in qa.multihop(q).collect()] == ["q1"]
