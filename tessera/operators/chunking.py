@@ -56,7 +56,7 @@ def split_text(text: str, separators: tuple[str, ...], size: int, overlap: int)
     """Cut at the strongest separator that occurs (it stays with the part before it), cut parts that are still too long at weaker ones, merge small ones."""
     found = next((s for s in separators if s == "" or s in text), None)
     if found is None or len(text) <= size:
-        return [text] if text.strip() else []
+        return [text.strip()] if text.strip() else []
     weaker = separators[separators.index(found) + 1 :]
     parts = list(text) if found == "" else [x + found for x in text.split(found)[:-1]] + [text.split(found)[-1]]
     out: list[str] = []

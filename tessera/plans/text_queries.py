@@ -60,18 +60,23 @@ def entity_links(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.link_entities(found, known).agg(F.count("*").alias("n_mentions"), F.count("node_id").alias("n_linked"))
 
 
-_ANSWERS = [
-    (1, '```json\n[{"subject": "Alice", "relationship": "WORKS_FOR", "object": "Acme Corp"}]\n```'),
-    (2, "| Subject | Relationship | Object |\n|---|---|---|\n| Alice | knows | Bob |\n| Bob | leads | Team |"),
-    (3, "- Alice | founded | Acme\n- Bob -mentors-> Carol"),
-    (4, "Acme; owns; Plant\nnothing here"),
-    (5, "Dana - reports to -> Erin\n* Erin -> Finn"),
-    (6, "no relations at all"),
-]
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    """id, text: each document as a generator might state it: JSON in a fence, a Markdown table, parts between pipes or semicolons, an arrow, or nothing that can be read."""
+    doc, source = F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.coalesce("source", F.lit("nowhere"))
+    forms = [
+        F.concat(F.lit('Here it is:\n```json\n[{"subject": "'), doc, F.lit('", "relationship": "comes from", "object": "'), source, F.lit('"}]\n```')),
+        F.concat(F.lit("| Subject | Relationship | Object |\n|---|---|---|\n| "), doc, F.lit(" | comes from | "), source, F.lit(" |")),
+        F.concat(F.lit("- "), doc, F.lit(" | comes from | "), source, F.lit("\nand nothing else")),
+        F.concat(F.lit("1. "), doc, F.lit("; comes from; "), source),
+        F.concat(F.lit("* "), doc, F.lit(" - comes from -> "), source),
+        F.lit("no relations at all"),
+    ]
+    form = F.coalesce(*(F.when(F.col("doc_id") % len(forms) == i, f) for i, f in enumerate(forms)))
+    return _docs(spark, folder).select(F.col("doc_id").alias("id"), form.alias("text"))
 
 
 def rel_parse(spark: SparkSession, folder: str) -> DataFrame:
-    a = spark.createDataFrame(_ANSWERS, "id bigint, text string")
+    a = _answers(spark, folder)
     return a.select("id", F.posexplode(extraction.parse_relations(F.col("text"))).alias("pos", "t")).select("id", "pos", "t.subject", "t.relationship", "t.object")
 
 
@@ -200,6 +205,7 @@ _SOURCES = "s AS (SELECT user_id AS session_id, event_type AS source_type, value
 _TERMS = "list_distinct(list_filter(string_split_regex({}, '[ \\t\\n]+'), lambda x: x <> ''))"
 
 ORACLES = {
+    "rel_parse": "SELECT doc_id AS id, 0 AS pos, 'doc ' || doc_id AS subject, 'comes from' AS relationship, coalesce(source, 'nowhere') AS object FROM documents WHERE doc_id % 6 <> 5",
     "chunk_sliding": f"SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, CAST(length(page_content) AS BIGINT) AS n_chars, md5(page_content) AS content_md5 FROM ({_SLIDE_1000})",
     "chunk_ids": f"SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '_' || chunk_index || '_v1' AS chunk_id FROM ({_SLIDE.format(step=450, size=500, overlap=50)})",
     "chunk_stats": f"SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, CAST(sum(length(page_content)) AS BIGINT) AS n_chars, round(avg(length(page_content)), 6) AS mean_chars, round(count(*) / CAST(count(DISTINCT doc_id) AS DOUBLE), 6) AS chunks_per_doc FROM ({_SLIDE_1000})",

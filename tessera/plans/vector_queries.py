@@ -128,6 +128,18 @@ ORACLES = {
     "knn_l2_topk": f"WITH {_L2} SELECT query_id, vec_id, rank, round(distance, 6) AS distance, round(exp(-distance), 6) AS score, source, CAST(length(text) AS BIGINT) AS n_chars FROM l2 LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 8",
     "knn_cosine_topk": f"WITH {_COSINE} SELECT query_id, vec_id, rank, round(distance, 6) AS distance, round(score, 6) AS score FROM cosine WHERE rank <= 8",
     "knn_threshold": f"WITH {_COSINE} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM cosine WHERE rank <= 8 AND score >= 0.5",
+    "mmr_topk": f"""WITH RECURSIVE {_COSINE}, cand AS (SELECT query_id, vec_id, rank, 1 - distance AS rel FROM cosine WHERE rank <= 10), alike AS (
+        SELECT a.query_id, a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(CAST(u.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS sim
+        FROM cand a JOIN cand b ON a.query_id = b.query_id JOIN embeddings u ON u.vec_id = a.vec_id JOIN embeddings v ON v.vec_id = b.vec_id
+    ), pick(query_id, n, chosen) AS (
+        SELECT query_id, 1, [vec_id] FROM cand WHERE rank = 1
+        UNION ALL SELECT query_id, n + 1, list_append(chosen, vec_id) FROM (
+            SELECT p.query_id, p.n, p.chosen, c.vec_id, row_number() OVER (PARTITION BY p.query_id ORDER BY round(0.5 * c.rel - 0.5 * max(a.sim), 12) DESC, c.rank) AS o
+            FROM pick p JOIN cand c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.vec_id) JOIN alike a ON a.query_id = p.query_id AND a.x = c.vec_id AND list_contains(p.chosen, a.y)
+            WHERE p.n < 5 GROUP BY p.query_id, p.n, p.chosen, c.vec_id, c.rel, c.rank
+        ) WHERE o = 1
+    ), placed AS (SELECT query_id, unnest(chosen) AS vec_id, unnest(range(1, 6)) AS rank FROM pick WHERE n = 5)
+    SELECT p.query_id, p.vec_id, CAST(p.rank AS INT) AS rank, round(c.rel, 6) AS relevance FROM placed p JOIN cand c ON c.query_id = p.query_id AND c.vec_id = p.vec_id""",
     "seed_embedding_nodes": f"""WITH {_L2}, {graphs.NODES_SQL}, s AS (
         SELECT query_id, node_id, l2.vec_id, exp(-distance) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, l2.vec_id, node_id) AS seed_rank FROM l2 JOIN nodes ON nodes.vec_id = l2.vec_id WHERE rank <= 10
     ) SELECT query_id, node_id, vec_id, round(score, 6) AS score, seed_rank FROM s WHERE seed_rank <= 5""",
