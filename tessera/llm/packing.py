@@ -1,11 +1,13 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, in bulk-synchronous rounds.
 
-Pieces are range-sorted by length, longest first, and gaps by what they have left. A round takes one length: its pieces are matched by a sweep to the
-least gap that holds them (the successor of the length among the gaps); pieces and sequences of equal standing are told apart by rank
-alone, which resolves all conflicts; matched gaps shrink and go back in order; the next round follows. This is best-fit
-decreasing, exactly. Both sorted sides are kept run-length encoded: the distributed part counts pieces a length and ranks them, and the sweeps
-run over at most ``capacity`` lengths and runs of sequences that are alike, which do not grow with the documents. The plan
-(length, ranks from-to, sequence, offset) has a few rows a length and meets the pieces in a broadcast join.
+Pieces are range-sorted by length, longest first, and gaps by what they have left. Each round takes the next range of lengths (down to a sixteenth of the last one's): its pieces are
+matched by sweeps to the least gap that holds them (the successor of the length among the gaps), where no gap does a new sequence is opened; pieces and sequences of
+equal standing are told apart by rank alone, which resolves all conflicts; matched gaps shrink and go back in order; the state is written, and the next round follows, until no piece is
+left. This is best-fit decreasing, exactly, within a lane.
+
+Sweeps are distributed over lanes: pieces are dealt over lanes of about LANE_PIECES by a hash, each with sequences of its own, so that a lane costs a sequence or two that are less than full.
+Within a lane both sorted sides are run-length encoded: a round moves at most ``capacity`` lengths and runs of sequences that are alike, which do not grow with the documents. Only
+the ranks, and the join of pieces with the plan (length, ranks from-to, sequence, offset), touch all pieces.
 
 Defined cases: null and empty texts are the end token alone; a repeated id is a document each time, so its pieces appear that often; an empty table
 gives no rows. A document over the capacity is cut into full pieces, the first of which may be shorter; others are never cut.
@@ -16,8 +18,10 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +30,10 @@ from tessera.llm.tokens import encoder
 from tessera.llm.work import Work, buckets_for, lean, small_batches
 
 CAPACITY, END_ID = 1024, 2
+#: A round's lengths go down to the last one's least over RANGE.
+RANGE = 16
+#: Pieces of a lane; its sweeps cost the same however many they are, so lanes only bound the sequences that one task numbers.
+LANE_PIECES = 20_000_000
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -65,17 +73,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(taken)})
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """The plan (length, first rank, pieces, first sequence, offset): piece of rank first+i goes to sequence first+i at offset."""
-    plan, opened = [], 0
+Gaps = list[tuple[int, int, int]]
+
+
+def sweep(counts: dict[int, int], capacity: int, given: Gaps = (), opened: int = 0) -> tuple[list[tuple[int, int, int, int, int]], Gaps, int]:
+    """Best fit of lengths (with how many pieces), longest first, into given gaps (gap, first sequence, sequences) and new sequences from `opened` on.
+
+    Returns the plan (length, first rank, pieces, first sequence, offset: the piece of rank first+i goes to sequence first+i at offset), the gaps left and the number of sequences."""
+    plan = []
     gaps: list[int] = []  # sorted sizes of gaps that some sequences have
     runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs (first sequence, how many)
+
     def put_back(gap: int, first: int, n: int) -> None:
         if gap and n:
             if not runs[gap]:
                 insort(gaps, gap)
             runs[gap].append((first, n))
 
+    for run in given:
+        put_back(*run)
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         if length > capacity:
@@ -105,27 +121,72 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
                 put_back(gap - left * length, first + full, 1)
                 put_back(gap, first + full + 1, n - full - 1)
                 left = 0
-    return plan
+    return plan, [(gap, first, n) for gap in gaps for first, n in runs[gap]], opened
+
+
+# Rows of a round's state and outcome by kind. 0: pieces (a: length, c: how many). 1: gaps in order (a: gap, b: first sequence, c: sequences, d: order). 2: sequences opened (c). 3: the plan (a: length, b: first rank,
+# c: pieces, d: first sequence, e: offset).
+_STATE = "lane int, kind int, a bigint, b bigint, c bigint, d bigint, e bigint"
+
+
+def _round(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of = lambda kind: pdf[pdf.kind == kind]
+        held = of(1).sort_values("d")
+        plan, gaps, opened = sweep(dict(zip(of(0).a.tolist(), of(0).c.tolist(), strict=True)), capacity, list(zip(held.a.tolist(), held.b.tolist(), held.c.tolist(), strict=True)), int(of(2).c.sum()))
+        rows = [(1, gap, first, n, i, 0) for i, (gap, first, n) in enumerate(gaps)] + [(2, 0, 0, opened, 0, 0)] + [(3, *p) for p in plan]
+        out = pd.DataFrame(rows, columns=["kind", "a", "b", "c", "d", "e"])
+        out.insert(0, "lane", pdf.lane.iloc[0])
+        return out
+
+    return run
+
+
+def rounds(counts: DataFrame, work: Work, capacity: int) -> DataFrame:
+    """counts: lane, length, n -> the plan: lane, length, r (first rank), k (pieces), s (first sequence of the lane), o (offset)."""
+    none = [F.lit(0).cast("long").alias(c) for c in "bde"]
+    pieces_ = counts.select("lane", F.lit(0).alias("kind"), F.col("length").alias("a"), none[0], F.col("n").alias("c"), none[1], none[2])
+    lengths = counts.agg(F.max("length").alias("most"), F.min("length").alias("least")).first()
+    if lengths.most is not None and lengths.most > capacity:
+        raise ValueError(f"a piece of {lengths.most} does not fit {capacity}")
+    plans, state, high = [], None, capacity
+    while lengths.most is not None and high >= lengths.least:
+        low = high // RANGE
+        if low < lengths.most:
+            now = pieces_.where(F.col("a").between(low + 1, high))
+            now = now if state is None else now.unionByName(state)
+            done = work.keep(now.groupBy("lane").applyInPandas(_round(capacity), _STATE), "round")
+            plans.append(done.where("kind = 3"))
+            state = done.where("kind IN (1, 2)")
+        high = low
+    columns = ["lane", *(F.col(c).alias(n) for c, n in zip("abcde", ("length", "r", "k", "s", "o"), strict=True))]
+    return reduce(DataFrame.unionByName, plans).select(*columns) if plans else counts.sparkSession.createDataFrame([], "lane int, length bigint, r bigint, k bigint, s bigint, o bigint")
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """found (a row per piece, with piece and length) with sequence_id and offset; found is read more than once, so keep it first."""
     spark = found.sparkSession
-    counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    plan = sweep(counts, capacity)
-    if not plan:
-        return found.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    # ranks within a length: pieces are dealt over buckets, as half of all may have one length
-    buckets = buckets_for(spark, sum(counts.values()), 100_000)
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
-    before = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", *(c for c in found.columns if c not in (id_col, "piece"))))
-    ranked = dealt.withColumn("_place", place - 1).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_place"))
-    # the plan as one array a length, sorted by rank: each piece finds its run there
-    runs = spark.createDataFrame([(n, [(r, k, s, o) for m, r, k, s, o in plan if m == n]) for n in counts], "length bigint, _runs array<struct<r:bigint,k:bigint,s:bigint,o:bigint>>")
-    run = F.filter("_runs", lambda x: (x.r <= F.col("_rank")) & (F.col("_rank") < x.r + x.k))[0]
-    out = ranked.join(F.broadcast(runs), "length").withColumn("_run", run)
-    return out.select(*(out[c] for c in found.columns), (F.col("_run.s") + F.col("_rank") - F.col("_run.r")).alias("sequence_id"), F.col("_run.o").alias("offset"))
+    work = Work(spark, "rounds")
+    total = found.count()
+    lanes = max(1, -(-total // LANE_PIECES))
+    # ranks within a lane and length: pieces are dealt over buckets, as half of all may have one length
+    buckets = buckets_for(spark, total, 100_000)
+    place = F.xxhash64(id_col, "piece")
+    dealt = found.withColumns({"_lane": F.pmod(place, F.lit(lanes)).cast("int"), "_bucket": F.pmod(F.shiftright(place, 20), F.lit(buckets)).cast("int")})
+    here = work.keep(dealt.groupBy(F.col("_lane").alias("lane"), "length", F.col("_bucket").alias("bucket")).agg(F.count("*").alias("n")), "counts")
+    plan = rounds(here.groupBy("lane", "length").agg(F.sum("n").alias("n")), work, capacity)
+    # the plan as one array a lane and length: each piece finds its run there
+    runs = plan.groupBy("lane", "length").agg(F.collect_list(F.struct("r", "k", "s", "o")).alias("_runs"))
+    before = here.withColumn("_before", F.sum("n").over(Window.partitionBy("lane", "length").orderBy("bucket")) - F.col("n")).drop("n")
+    placed = before.join(runs, ["lane", "length"]).withColumnsRenamed({"lane": "_lane", "bucket": "_bucket"})
+    rest = [c for c in found.columns if c not in (id_col, "piece")]
+    ranked = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_lane", "length", "_bucket").orderBy(id_col, "piece", *rest)) - 1)
+    joined = ranked.join(placed, ["_lane", "length", "_bucket"])  # dealt like the window's rows, so pieces are shuffled once
+    rank = F.col("_before") + F.col("_place")
+    run = F.filter("_runs", lambda x: (x.r <= rank) & (rank < x.r + x.k))[0]
+    out = joined.withColumn("_run", run)
+    sequence = F.col("_lane").cast("long") * F.lit(1 << 40) + F.col("_run.s") + rank - F.col("_run.r")
+    return out.select(*(out[c] for c in found.columns), sequence.alias("sequence_id"), F.col("_run.o").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

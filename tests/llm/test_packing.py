@@ -69,7 +69,7 @@ def brute_best_fit(lengths, capacity):
 def test_sweep_is_best_fit_decreasing(seed):
     rnd = random.Random(seed)
     lengths = [rnd.randint(1, 40 if seed % 2 else 12) for _ in range(rnd.randrange(400))]
-    plan = packing.sweep(dict(Counter(lengths)), 40)
+    plan, *_ = packing.sweep(dict(Counter(lengths)), 40)
     used = Counter()
     for length, _, n, first, _ in plan:
         for k in range(first, first + n):
@@ -78,6 +78,45 @@ def test_sweep_is_best_fit_decreasing(seed):
     assert len(used) == n and Counter(40 - u for u in used.values()) == gaps
 
 
+def lengths_table(spark, lengths):
+    return spark.createDataFrame([(i, 0, n, "x") for i, n in enumerate(lengths)], "doc_id bigint, piece int, length bigint, label string")
+
+
+def used_of(rows):
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    for own in used.values():
+        place = 0
+        for offset, n in sorted(own):
+            assert offset == place
+            place += n
+    return Counter(40 - sum(n for _, n in own) for own in used.values())
+
+
+@pytest.mark.parametrize("seed, most", [(1, 40), (2, 12), (3, 3), (4, 40)])
+def test_rounds_are_best_fit_decreasing(spark, seed, most):
+    """All rounds in one lane give what best fit one piece at a time gives."""
+    rnd = random.Random(seed)
+    lengths = [rnd.randint(1, most) for _ in range(500)]
+    rows = packing.pack(lengths_table(spark, lengths), 40).collect()
+    n, gaps = brute_best_fit(lengths, 40)
+    assert len(rows) == 500 and used_of(rows) == gaps
+    whole, _, opened = packing.sweep(dict(Counter(lengths)), 40)
+    assert opened == n == len({r.sequence_id for r in rows})
+
+
+def test_lanes_cost_little(spark, monkeypatch):
+    rnd = random.Random(7)
+    lengths = [rnd.choice([40, 40, *range(1, 40)]) for _ in range(2000)]
+    one = used_of(packing.pack(lengths_table(spark, lengths), 40).collect())
+    monkeypatch.setattr(packing, "LANE_PIECES", 300)
+    several = used_of(packing.pack(lengths_table(spark, lengths), 40).collect())
+    assert sum(several.values()) <= sum(one.values()) + 3 * 7
+    with pytest.raises(ValueError, match="does not fit"):
+        packing.pack(lengths_table(spark, [41]), 40)
+
+
 def test_edges(edge, empty, tokenizer):
     rows = packing.pack_documents(edge.dropDuplicates(["doc_id"]), PATH, 64).collect()
     ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2] for r in edge.collect()}
