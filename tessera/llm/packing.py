@@ -34,6 +34,8 @@ CAPACITY, END_ID = 1024, 2
 RANGE = 16
 #: Pieces of a lane; its sweeps cost the same however many they are, so lanes only bound the sequences that one task numbers.
 LANE_PIECES = 20_000_000
+#: Up to so many lanes (of a few thousand runs each) the plan is broadcast.
+BROADCAST_LANES = 64
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
@@ -177,11 +179,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     plan = rounds(here.groupBy("lane", "length").agg(F.sum("n").alias("n")), work, capacity)
     # the plan as one array a lane and length: each piece finds its run there
     runs = plan.groupBy("lane", "length").agg(F.collect_list(F.struct("r", "k", "s", "o")).alias("_runs"))
-    before = here.withColumn("_before", F.sum("n").over(Window.partitionBy("lane", "length").orderBy("bucket")) - F.col("n")).drop("n")
-    placed = before.join(runs, ["lane", "length"]).withColumnsRenamed({"lane": "_lane", "bucket": "_bucket"})
+    runs = runs.withColumnRenamed("lane", "_lane")
+    runs = F.broadcast(runs) if lanes <= BROADCAST_LANES else runs
+    before = here.withColumn("_before", F.sum("n").over(Window.partitionBy("lane", "length").orderBy("bucket")) - F.col("n")).drop("n").withColumnsRenamed({"lane": "_lane", "bucket": "_bucket"})
     rest = [c for c in found.columns if c not in (id_col, "piece")]
     ranked = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_lane", "length", "_bucket").orderBy(id_col, "piece", *rest)) - 1)
-    joined = ranked.join(placed, ["_lane", "length", "_bucket"])  # dealt like the window's rows, so pieces are shuffled once
+    joined = ranked.join(before, ["_lane", "length", "_bucket"]).join(runs, ["_lane", "length"])  # the first is dealt like the window's rows, so pieces are shuffled once
     rank = F.col("_before") + F.col("_place")
     run = F.filter("_runs", lambda x: (x.r <= rank) & (rank < x.r + x.k))[0]
     out = joined.withColumn("_run", run)
