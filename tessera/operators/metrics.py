@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import cut
+
 
 def sessions(sources: DataFrame) -> DataFrame:
     """sources (session_id, success, document_count, bytes, processing_time_ms, at) -> a row a session."""
@@ -26,11 +28,29 @@ def rolling(sources: DataFrame, now: Column, days: int) -> DataFrame:
     return sources.where((F.col("at") >= since) & (F.col("at") <= now)).rollup("source_type").agg(F.count("*").alias("n_sources"), F.sum(ok).alias("n_ok"), F.avg(ok).alias("success_rate"), F.sum("processing_time_ms").alias("processing_time_ms"))
 
 
-def by_source(docs: DataFrame, page_break: str = "\n\f\n", preview: int = 320) -> DataFrame:
-    """Documents (source, page, text) of a source joined in order of page, with a preview."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
-    joined = F.array_join(F.transform(ordered, lambda x: x["text"]), page_break)
-    return docs.groupBy("source").agg(F.count("*").alias("n_pages"), joined.alias("content")).withColumn("preview", F.substring("content", 1, preview))
+def pages_of_sources(docs: DataFrame, page_break: str = "\n\f\n") -> DataFrame:
+    """Documents (source, page, text) in the order of pages (ties by text): source, place (from 1), start (of the page in the joined document, in characters), page, text.
+
+    Pages stay rows, so a source may be of any size. Rows are sorted by ranges of (source, page), which also split a large source; its running sums are those of its ranges
+    and, within each, of its pages."""
+    size = F.length(F.coalesce("text", F.lit(""))) + len(page_break)
+    d = cut(docs.select("source", "page", F.coalesce("text", F.lit("")).alias("text"), size.cast("long").alias("size")).repartitionByRange("source", "page", "text").withColumn("part", F.spark_partition_id()))
+    whole = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+    parts = parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("n_before"), F.coalesce(F.sum("chars").over(whole), F.lit(0)).alias("chars_before"))
+    within = Window.partitionBy("source", "part").orderBy("page", "text")
+    upto = within.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"own": F.row_number().over(within), "own_start": F.coalesce(F.sum("size").over(upto), F.lit(0))})
+    d = d.join(parts, d.source.eqNullSafe(parts.s) & (d.part == parts.p))
+    return d.select("source", (F.col("n_before") + F.col("own")).alias("place"), (F.col("chars_before") + F.col("own_start")).alias("start"), "page", "text")
+
+
+def by_source(pages: DataFrame, page_break: str = "\n\f\n", preview: int = 320) -> DataFrame:
+    """pages (as pages_of_sources gives them) -> source, n_pages, n_chars (joined), preview: its first characters, from the pages that they stand on."""
+    piece = F.concat(F.when(F.col("place") == 1, F.lit("")).otherwise(F.lit(page_break)), F.substring("text", 1, preview))
+    first = F.when(F.col("start") < preview + len(page_break), F.struct("place", piece.alias("piece")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["piece"]), "")
+    return pages.groupBy("source").agg(F.count("*").alias("n_pages"), F.max(F.col("start") + F.length("text")).alias("n_chars"), F.substring(joined, 1, preview).alias("preview"))
 
 
 def summaries(docs: DataFrame, n: int = 5, most: int = 200) -> DataFrame:

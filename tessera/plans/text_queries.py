@@ -114,9 +114,17 @@ def html_text_length(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.length(registry.html_to_text("html")).cast("long").alias("n_chars"))
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.pages_of_sources(_docs(spark, folder).select("source", F.col("doc_id").alias("page"), "text"))
+
+
 def doc_by_source_concat(spark: SparkSession, folder: str) -> DataFrame:
-    d = _docs(spark, folder).select("source", F.col("doc_id").alias("page"), "text")
-    return metrics.by_source(d).select("source", "n_pages", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"), F.md5("preview").alias("preview_md5"))
+    """Where each page stands in the joined document of its source."""
+    return _pages(spark, folder).select("source", "page", "place", "start", F.md5("text").alias("text_md5"))
+
+
+def doc_by_source_preview(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.by_source(_pages(spark, folder)).select("source", "n_pages", "n_chars", F.md5("preview").alias("preview_md5"))
 
 
 def doc_summaries(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,7 +230,8 @@ ORACLES = {
     "term_overlap_scores": f"SELECT doc_id, round(len(list_intersect({_TERMS.format(chr(39) + 'the and of est la der' + chr(39))}, {_TERMS.format('lower(text)')})) / CAST(6 AS DOUBLE), 6) AS overlap FROM documents",
     "source_classification": """WITH p AS (SELECT page_id, url, regexp_matches(url, '^https?://') AS web, lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', ''), '[^/.](\\.[A-Za-z0-9]+)$', 1)) AS suffix FROM pages)
         SELECT page_id, CASE WHEN web AND contains(url, 'arxiv.org') THEN 'arxiv' WHEN web AND suffix = '' THEN 'website' ELSE suffix END AS extension, NOT web AS is_file FROM p""",
-    "doc_by_source_concat": "WITH c AS (SELECT source, count(*) AS n_pages, string_agg(text, chr(10) || chr(12) || chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY source) SELECT source, n_pages, CAST(length(content) AS BIGINT) AS n_chars, md5(content) AS content_md5, md5(substr(content, 1, 320)) AS preview_md5 FROM c",
+    "doc_by_source_concat": "SELECT source, doc_id AS page, row_number() OVER w AS place, CAST(coalesce(sum(length(coalesce(text, '')) + 3) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, md5(coalesce(text, '')) AS text_md5 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id, text)",
+    "doc_by_source_preview": "WITH c AS (SELECT source, count(*) AS n_pages, string_agg(coalesce(text, ''), chr(10) || chr(12) || chr(10) ORDER BY doc_id, text) AS content FROM documents GROUP BY source) SELECT source, n_pages, CAST(length(content) AS BIGINT) AS n_chars, md5(substr(content, 1, 320)) AS preview_md5 FROM c",
     "doc_summaries": "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(replace(text, chr(10), ' '), 1, 200) || '...' ELSE replace(text, chr(10), ' ') END AS summary FROM documents ORDER BY doc_id LIMIT 5",
     "embedding_cost": "SELECT count(*) AS n_texts, CAST(sum(ceil(length(text) / CAST(4 AS DOUBLE))) AS BIGINT) AS tokens, round(sum(ceil(length(text) / CAST(4 AS DOUBLE))) * CAST(0.02 AS DOUBLE) / 1000000, 9) AS price FROM documents",
     "recall_mrr_perfect": f"{_SCORES} SELECT query_id % 2 = 0 AS even, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(perfect), 6) AS perfect_rate FROM scores GROUP BY GROUPING SETS ((), (query_id % 2 = 0))",
@@ -242,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_sliding, chunk_ids, chunk_stats, *map(_chunked, ("recursive", "character", "markdown", "python", "code", "token", "header")), mentions_extract, entity_nodes, entity_cooccurrence, entity_links, rel_parse, rel_parse_table, rel_parse_arrow,
-        score_extract, suggestion_dedup, term_overlap_scores, source_classification, html_text_length, doc_by_source_concat, doc_summaries, embedding_cost, hash_embeddings, recall_mrr_perfect, recall_histogram, recall_lowest, latency_stats,
+        score_extract, suggestion_dedup, term_overlap_scores, source_classification, html_text_length, doc_by_source_concat, doc_by_source_preview, doc_summaries, embedding_cost, hash_embeddings, recall_mrr_perfect, recall_histogram, recall_lowest, latency_stats,
         relative_improvement, session_metrics, recent_sessions, rolling_by_source_type, cache_ttl_valid, windowed_event_metrics,
     )
 }

@@ -417,3 +417,31 @@ def test_manifests(spark, tmp_path):
     assert m.get("staged", kind).count() == 0 and m.get("loaded", kind).count() == 1
     with pytest.raises(ValueError, match="unknown state"):
         m.put("other", m.get("loaded", kind))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_pages_of_a_source_stand_where_the_joined_text_has_them(spark, parts):
+    """A source with most pages, cut over ranges, against joining in plain Python."""
+    rnd = np.random.default_rng(5)
+    rows = [("hot" if i % 3 else "cold" if i % 2 else None, int(rnd.integers(0, 40)), "x" * int(rnd.integers(0, 9)) + chr(97 + i % 26)) for i in range(200)] + [("short", 1, ""), ("short", 2, None)]
+    d = spark.createDataFrame(rows, "source string, page int, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        pages = metrics.pages_of_sources(d)
+        got, about = pages.collect(), {r.source: r for r in metrics.by_source(pages, preview=50).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    for source in ("hot", "cold", None, "short"):
+        own = sorted((p, t or "") for s, p, t in rows if s == source)
+        whole = "\n\f\n".join(t for _, t in own)
+        mine = sorted((r for r in got if r.source == source), key=lambda r: r.place)
+        assert [(r.page, r.text) for r in mine] == own and all(whole[r.start : r.start + len(r.text)] == r.text for r in mine)
+        r = about[source]
+        assert (r.n_pages, r.n_chars, r.preview) == (len(own), len(whole), whole[:50])
+
+
+def test_latency_in_a_sketch(spark):
+    d = spark.range(1, 1001).select(F.col("id").cast("double").alias("ms"))
+    t = evaluate.latency(d, "ms", accuracy=1000).first()
+    assert abs(t.median - 500) <= 2 and abs(t.p99 - 990) <= 2 and t.n == 1000
