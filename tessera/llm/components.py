@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.work import Work
 
 MOST_ROUNDS = 60
+#: Links of a file that a round writes: small tables are not spread over many tasks.
+FILE_LINKS = 500_000
 
 
 def connected_components(links: DataFrame, work: Work) -> DataFrame:
@@ -30,7 +32,7 @@ def connected_components(links: DataFrame, work: Work) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = work.keep(small, "links")
+        after = work.keep(small.coalesce(1 + seen[0] // FILE_LINKS), "links")  # links never grow in number
         was, seen = seen, signature(after)
         work.drop(now)
         now = after

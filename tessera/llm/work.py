@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -71,6 +72,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+RELEASE_SECONDS = 0.3
+
+
 def release() -> None:
     """Give freed memory of this worker back to the system, which else counts against the executor through all later stages."""
     pa.default_memory_pool().release_unused()
@@ -81,14 +85,17 @@ def release() -> None:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, releasing memory after each batch that it puts out and at its end."""
+    """run, releasing memory at its end and between the batches that it puts out, RELEASE_SECONDS apart or more."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
         for out in run(batches):
             yield out
             del out
-            release()
+            if time.monotonic() - last > RELEASE_SECONDS:
+                release()
+                last = time.monotonic()
         release()
 
     return wrapped
