@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, merkle, mixing, near, packing, quality, secrets, substrings, toxicity, warc
+from tessera.llm import chat, manifest, merkle, mixing, near, packing, quality, secrets, substrings, toxicity, warc
 from tessera.llm.work import Work, table
 
 
@@ -128,6 +128,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row against the manifest of all rows, after n_chars of some has been changed."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    later = lambda c: F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c)
+    return manifest.manifest(table(spark, sf_dir, "documents"), later).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
