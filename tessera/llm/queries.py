@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, manifest, merkle, mixing, near, packing, quality, secrets, substrings, toxicity, warc
+from tessera.llm import chat, manifest, merkle, mixing, near, packing, phrases, quality, secrets, substrings, toxicity, warc
 from tessera.llm.work import Work, table
 
 
@@ -50,6 +50,68 @@ bits AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM named
 """
 
+#: Counts of all phrases as text, their cuts and what holds them: right, and fast enough on small tables only.
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (
+    SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(k)) GROUP BY ALL
+), often AS (SELECT * FROM grams WHERE f >= 30),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS ws FROM often WHERE k > 1),
+cuts AS (SELECT c.*, unnest(range(1, words)) AS cut FROM candidates c),
+scores AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (2000000 * CAST(c.a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS score
+    FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:words], ' ')
+), weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, array_to_string(ws[i:i + size - 1], ' ') AS phrase FROM (SELECT c.*, size, unnest(range(1, words - size + 2)) AS i FROM candidates c JOIN (VALUES (2), (3)) AS t(size) ON size < words)
+    ) GROUP BY lang, phrase
+), ranks AS (
+    SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+    WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT ranks.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranks JOIN totals ON totals.lang = ranks.lang WHERE rank <= 2000
+"""
+
+#: The forest level by level: nodes of all trees at once, then the tree of their roots; siblings from the same tables.
+OP12_SQL = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS a,
+        CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS b FROM documents
+), crc AS (
+    SELECT DISTINCT doc_id, 4294967295 - list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END) AS c FROM documents
+), leaves AS (
+    SELECT f.doc_id, coalesce('=' || lang, '') AS tree, sha256(a || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || b) AS leaf,
+        sha256(a || CASE WHEN n_chars IS NULL THEN '-' WHEN c % 7 = 0 THEN strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || b) AS seen
+    FROM fields f LEFT JOIN crc ON crc.doc_id = f.doc_id
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS total FROM leaves),
+up(level, tree, place, total, digest) AS (
+    SELECT 0, tree, place, total, leaf FROM placed
+    UNION ALL SELECT level + 1, tree, place // 2, (any_value(total) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE total > 1 GROUP BY level, tree, place // 2
+), roots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS total FROM up WHERE total = 1),
+top(level, place, total, digest) AS (
+    SELECT 0, place, total, digest FROM roots
+    UNION ALL SELECT level + 1, place // 2, (any_value(total) + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM top WHERE total > 1 GROUP BY level, place // 2
+), high AS (SELECT max(level) AS most FROM up),
+ways AS (
+    SELECT tree, level, place, CAST(NULL AS VARCHAR) AS name, digest FROM up
+    UNION ALL SELECT NULL, level, place, NULL, digest FROM top
+), walk(place0, tree, level, at, total, high, folded, own, siblings) AS (
+    SELECT place, tree, 0, place, total, false, seen, leaf, '' FROM placed
+    UNION ALL
+    SELECT w.place0, w.tree, CASE WHEN w.total = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.total = 1 THEN r.place ELSE w.at // 2 END, CASE WHEN w.total = 1 THEN r.total ELSE (w.total + 1) // 2 END, w.high OR w.total = 1,
+        CASE WHEN w.total = 1 THEN w.folded WHEN s.digest IS NULL THEN sha256(w.folded) WHEN w.at % 2 = 1 THEN sha256(s.digest || w.folded) ELSE sha256(w.folded || s.digest) END, w.own, w.siblings || CASE WHEN w.total = 1 THEN '' ELSE coalesce(s.digest, '') END
+    FROM walk w JOIN roots r ON r.tree = w.tree LEFT JOIN ways s ON s.tree IS NOT DISTINCT FROM CASE WHEN w.high THEN NULL ELSE w.tree END AND s.level = w.level AND s.place = xor(w.at, 1) AND w.total > 1
+    WHERE NOT (w.high AND w.total = 1)
+), top_root AS (SELECT digest AS root FROM top WHERE total = 1)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, root, sha256(w.siblings) AS proof_sha256, w.folded AS folded_root, w.folded = root AS verified
+FROM placed p JOIN walk w ON w.tree = p.tree AND w.place0 = p.place AND w.high AND w.total = 1 JOIN roots r ON r.tree = p.tree CROSS JOIN top_root
+"""
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_texts(table(spark, sf_dir, "documents"))
@@ -128,6 +190,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row against the manifest of all rows, after n_chars of some has been changed."""
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
@@ -140,4 +207,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op9_warc_archive": OP9_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op9_warc_archive": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op12_merkle_dataset_manifest": OP12_SQL}
