@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, manifest, merkle, mixing, near, packing, phrases, quality, secrets, substrings, toxicity, warc
+from tessera.llm import chat, manifest, merkle, mixing, near, packing, phrases, quality, repeats, secrets, substrings, toxicity, warc
 from tessera.llm.work import Work, table
 
 
@@ -202,6 +202,10 @@ def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), later).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
