@@ -32,7 +32,7 @@ _END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _END.copy()
 _GAP[[0x20, 0x09]] = True
 #: Words whose n-grams are sketched or counted together.
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 600_000
 #: Bytes of text a word, for the size of the sketch.
 WORD_BYTES = 6
 UNKNOWN = "und"

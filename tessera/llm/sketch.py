@@ -26,12 +26,12 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def width_for(hashes: int) -> int:
-    """Cells of a row of the sketch for about so many hashes: a power of two."""
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, int(hashes) - 1).bit_length()))
+    """Cells of a row of the sketch for about so many hashes: whole shards."""
+    return min(MOST_CELLS, max(LEAST_CELLS, -(-int(hashes) // SHARD) * SHARD))
 
 
 def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(hashes * U(_ODD[row])) & U(width - 1)).astype(np.int64) + row * width
+    return (mix(hashes * U(_ODD[row])) % U(width)).astype(np.int64) + row * width
 
 
 def _gaps(at: np.ndarray) -> np.ndarray:
