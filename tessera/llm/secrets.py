@@ -1,9 +1,9 @@
 """Secret scan by assignment-aware lexing.
 
-Source and configuration text is lexed into name-literal pairs (``name = "literal"``, ``name: literal`` of YAML and JSON,
-``NAME=literal`` of shells and .env files, ``"a" + "b"`` and references to earlier names). Constants are propagated in
-the order of the text, and each value is scored by how sensitive the name it reaches is and how random it looks; each literal that flows into a
-value so found is a span of its own. Three plain patterns (see BASE) are always reported besides; what lexing adds has the kind ``lexed``.
+Source and configuration text is lexed into name-literal pairs: ``name = "literal"``, ``name: "literal"``, ``name += "literal"``, calls that take a name and a value, and right-hand sides as a whole (literals side
+by side, added, in brackets, in triple quotes, or as what stands in for something else; references to earlier names). A bare word is a literal only where it is the rest of a line of configuration (``NAME=word``, ``key: word``) and
+can be no name, path or call. Constants are propagated in the order of the text, and each value is scored by how sensitive the name it reaches is and how random it looks; each literal that flows into a value
+so found is a span of its own. Three plain patterns (see BASE) are always reported besides; what lexing adds has the kind ``lexed``.
 
 Defined cases: null and empty texts have no spans; a literal that a plain span covers is not added again;
 spans are half-open ranges of code points; rows that repeat are scanned as often as they occur; other columns are ignored.
@@ -36,8 +36,18 @@ LEAST_SCORE = 0.35
 LEAST_LITERAL = 8
 
 _TOKEN = re.compile(
-    r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<op>:=|=>|==|!=|[=:+;,\n])|(?P<word>[A-Za-z0-9_$.][A-Za-z0-9_$./=+-]*)"""
-)
+    r'''(?P<str>"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<op>\+=|:=|=>|==|!=|<=|>=|&&|\|\||\?\?|[=:+;,\n()\[\]{}?])|(?P<word>[A-Za-z0-9_$.][A-Za-z0-9_$./=+-]*)''', re.S
+)
+#: Words that join operands, or stand before one.
+_JOINS = {"or", "and", "if", "else", "not", "await", "new", "const", "return"}
+#: What a line of configuration may begin with, calls that take a name and a value, and calls whose second value stands in for what is not there.
+_LEADS = {"export", "set", "setx", "env", "ENV", "ARG", "-e", "--env"}
+_GIVES = re.compile(r"(?:^|[._])(?:set|put|add|define|with|header|insert|store|save|register|append|option|param|property|get|getenv|environ|env|config)[A-Za-z_]*\Z", re.I)
+_GETS = re.compile(r"(?:^|[._])(?:get|getenv|env|environ|config)[A-Za-z_]*\Z", re.I)
+_PATH = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*(?:(?:\.|->|::)[A-Za-z_$][A-Za-z0-9_$]*)+\Z")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*\Z")
+#: Tokens of a call that are passed over to see what follows it.
+MOST_AHEAD = 400
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -90,45 +100,130 @@ def randomness(value: Flow) -> float:
     return min(1.0, bits / math.log2(max(4, min(value.length, 64))) * (0.4 + 0.2 * len(kinds)))
 
 
+def _content(token: tuple[str, str, int, int]) -> Flow:
+    """The literal that a string token holds."""
+    _, part, s, e = token
+    q = 3 if len(part) >= 6 and part[:3] in ('"""', "'''") else 1
+    return Flow.literal(part[q:-q], s + q, e - q) if e - s > 2 * q else Flow(0, {})
+
+
+def _is_op(token: tuple, *ops: str) -> bool:
+    return token[0] == "op" and token[1] in ops
+
+
+_NONE = ("", "", 0, 0)
+
+
+class Lexed:
+    """The tokens of a text, and the values of its right-hand sides."""
+
+    def __init__(self, text: str):
+        self.tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        self.known: dict[str, Flow] = {}
+
+    def at(self, i: int) -> tuple[str, str, int, int]:
+        return self.tokens[i] if 0 <= i < len(self.tokens) else _NONE
+
+    def _close(self, i: int) -> int:
+        """Place of the bracket that closes the one at i, if it is near."""
+        depth = 0
+        for j in range(i, min(len(self.tokens), i + MOST_AHEAD)):
+            depth += _is_op(self.tokens[j], "(", "[", "{") - _is_op(self.tokens[j], ")", "]", "}")
+            if not depth:
+                return j
+        return -1
+
+    def named(self, i: int) -> tuple[str, Flow] | None:
+        """(name, value) of the call whose bracket is at i, if it takes these two."""
+        if self.at(i + 1)[0] == "str" and _is_op(self.at(i + 2), ",") and self.at(i + 3)[0] == "str" and _is_op(self.at(i + 4), ")"):
+            return self.at(i + 1)[1][1:-1], _content(self.at(i + 3))
+        return None
+
+    def value(self, i: int) -> tuple[Flow, int]:
+        """What the expression from token i on gives, and where to go on: literals that stand side by side, are added, bracketed, or stand in for something else (or, ||, ??, conditions), names for what
+        they were last given; other names and calls give nothing. Calls are gone into afterwards, as they may assign names themselves."""
+        value, depth, wants, asked, back = Flow(0, {}), 0, True, False, -1
+        while i < len(self.tokens):
+            token = self.tokens[i]
+            kind, part, *_ = token
+            if kind == "str":
+                value, wants = value.plus(_content(token)), False
+            elif kind == "word" and part in _JOINS:
+                wants = True
+            elif kind == "word":
+                if not wants:
+                    break
+                wants = False
+                if _is_op(self.at(i + 1), "(", "[") and part not in self.known:
+                    close = self._close(i + 1)
+                    back = i + 1 if back < 0 else back
+                    given = self.named(i + 1) if _GETS.search(part) else None
+                    value = value.plus(given[1]) if given else value
+                    if close < 0:
+                        break
+                    i = close
+                elif part in self.known:
+                    value = value.plus(self.known[part])
+            elif part == "\n":
+                if not depth and not (wants and asked):
+                    break
+            elif part in ("(", "["):
+                if not wants:
+                    break
+                depth += 1
+            elif part in (")", "]"):
+                if not depth:
+                    break
+                depth -= 1
+            elif part in ("+", "||", "??", "&&", "?") or part == ":" and asked or part == "," and depth:
+                wants = asked = True
+            else:
+                break
+            i += 1
+        return value, back if back >= 0 else i
+
+    def plain_word(self, first: int, at: int, code: bool) -> Flow | None:
+        """The word at token at as a literal: if it is the rest of a line whose name is its first token, and can be no name of something else (code: nor any name at all)."""
+        kind, part, s, e = self.at(at)
+        before, after = self.at(first - 1), self.at(at + 1)
+        leads = before in (_NONE,) or before[1] in ("\n", "{", ",") or before[1] in _LEADS
+        if kind != "word" or part in self.known or not leads or after[0] and after[1] not in ("\n", ",", "}"):
+            return None
+        if _PATH.match(part) or _IDENTIFIER.match(part) and (code or not any(c.isdigit() for c in part)) or not any(c.isalnum() for c in part):
+            return None
+        return Flow.literal(part, s, e)
+
+
 def pairs(text: str) -> Iterator[tuple[str, Flow]]:
-    """(name, value) of all assignments; a name on the right stands for what it was last given."""
-    known: dict[str, Flow] = {}
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    i = 0
+    """(name, value) of all assignments and calls that take both; a name on the right stands for what it was last given."""
+    lexed = Lexed(text)
+    known, tokens, i = lexed.known, lexed.tokens, 0
     while i < len(tokens):
-        kind, name, *_ = tokens[i]
-        op = tokens[i + 1] if i + 1 < len(tokens) else ("", "")
-        if kind == "word" and name.endswith("=") and _NAME.match(name[:-1]) and op[0] == "str":  # NAME="literal"
-            name, at = name[:-1], i + 1
+        kind, name, start, end = tokens[i]
+        op, more = lexed.at(i + 1), False
+        if kind == "word" and name.endswith("=") and _NAME.match(name[:-1].rstrip("+:")) and op[0] == "str":  # NAME="literal", NAME+="literal"
+            more, name, at = name.endswith("+="), name[:-1].rstrip("+:"), i + 1
         elif kind == "word" and "=" in name:  # NAME=literal
             left, _, right = name.partition("=")
-            if right and _NAME.match(left):
-                end = tokens[i][3]
+            before, after = lexed.at(i - 1), op
+            if right and _NAME.match(left) and (not before[0] or before[1] == "\n" or before[1] in _LEADS) and (not after[0] or after[1] in ("\n", ";")) and not _PATH.match(right):
                 known[left] = Flow.literal(right, end - len(right), end)
                 yield left, known[left]
             i += 1
             continue
-        elif op[0] == "op" and op[1] in ("=", ":", ":=", "=>") and (kind == "word" and _NAME.match(name) or kind == "str"):
-            name, at = name.strip("\"'"), i + 2
+        elif _is_op(op, "=", ":", ":=", "=>", "+=") and (kind == "word" and _NAME.match(name) or kind == "str"):
+            more, name, at = op[1] == "+=", name.strip("\"'"), i + 2
+        elif kind == "word" and _is_op(op, "(") and _GIVES.search(name) and (given := lexed.named(i + 1)) and _NAME.match(given[0]) and given[1].length:
+            yield given
+            i += 2
+            continue
         else:
             i += 1
             continue
-        value, j = Flow(0, {}), at
-        while j < len(tokens):
-            k, part, s, e = tokens[j]
-            if k == "str":
-                value = value.plus(Flow.literal(part[1:-1], s + 1, e - 1)) if e - s > 2 else value
-            elif k == "word" and part in known:
-                value = value.plus(known[part])
-            elif k == "word" and j == at:
-                value = Flow.literal(part, s, e)
-            else:
-                break
-            j += 1
-            if j < len(tokens) and tokens[j][:2] == ("op", "+"):
-                j += 1
-            else:
-                break
+        word = lexed.plain_word(i, at, op[1] in ("=", ":=", "+="))
+        value, j = (word, at + 1) if word else lexed.value(at)
+        if more and name in known:
+            value = known[name].plus(value)
         if value.length:
             known[name] = value
             yield name, value
@@ -156,7 +251,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in BASE[1][1].finditer(text) if m.end() - m.start() >= BASE[1][3]]
     found += [(m.start(), m.end(), "hex") for m in BASE[2][1].finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or '",' in text or "'," in text:
         lexed: list[tuple[int, int]] = []
         for name, value in pairs(text):
             weight = sensitivity(name)

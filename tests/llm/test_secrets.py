@@ -80,6 +80,42 @@ def test_propagation_against_plain_strings(seed):
     assert {(s, e) for s, e, k in secrets.scan(text) if k == "lexed"} == {(s, e) for s, e in due if not any(a <= s and e <= b for a, b in covers)}
 
 
+#: Lines that give a sensitive name the secret S, as a whole or in parts, with what must be found of it.
+LEAKS = [
+    'password = "S"', "db_password: 'S'", '{"credentials": "S"}', "dbPassphrase := 'S'", 'a = "S"\nb = a\nprivate_token = b', 'passphrase = ("S")', 'password = """S"""', "password = '''S'''", 'password = "S1" "S2"', 'password = "S1" + "S2"', 'a = ("S1"\n "S2"); passphrase = a',
+    'passphrase = "S1"\npassphrase += "S2"', "auth_token = 'abc' + var + 'S'", 'passwd = cond and "S"', 'const pwd = process.env.KEY || "S"', 'pwd = config.key ?? "S"', "pwd = x if y else 'S'", 'secretValue = prod ? "S1" : "S2"', 'client.set("password", "S")', 'setHeader("auth-token", "S")',
+    'os.environ.setdefault("API_SECRET", "S")', 'pw_secret = os.getenv("X", "S")', "connect(host='h', passwd='S')", "db = connect('h', passphrase='S')", "export AUTH_TOKEN=S", "SECRET_SALT=S", "api-secret: S", "  - private_key: S", "credentials_token = [\n  'S',\n]", "f(x)(secret_dsn=\"S\")",
+]
+#: Lines without a secret.
+CLEAN = [
+    'password = os.environ["DB"]', "password = os.environ.get('DB_PASSWORD')", "private: documents are kept", "Password: yesterday evening", "token = next(tokens)", "secret = load_secret(path)", "api_key = settings.api_key", "auth: required", "the key: always", "password: yesterday", "keep the token: it is yours",
+    "access = granted", 'title = "Zx8!Qw3@Er5#Ty7"', "key = None", "token: str = field()", "def login(user, password): return user", "if password == other_password: pass", "secret = self.vault.read(name)", "password=password2(x)", "passwords = [p for p in rows]", "salt: a pinch, to taste", "const token = await fetchToken(user2);",
+    "private key = public key", "Signature: the undersigned agrees", "auth = (user, password)", 'print("password", "yesterday evening")', "access_key = ACCESS_KEY_2", "token = tokenizer.next_token2", "secret santa: bring gifts", "credentials: see the wiki page",
+]
+
+
+def test_recall_and_precision_on_lines():
+    rnd = random.Random(11)
+    found = clean = 0
+    lines, wrong = 0, []
+    for line in LEAKS:
+        for _ in range(8):
+            first, second = ("".join(rnd.choice("ABCDEFGHKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(11)) + f"x{rnd.randrange(10)}Z" for _ in range(2))
+            text = line.replace("S1", first).replace("S2", second) if "S1" in line else line.replace("'S'", f"'{first}'").replace('"S"', f'"{first}"').replace('"""S"""', f'"""{first}"""').replace("=S", f"={first}").replace(": S", f": {first}").replace("'''S'''", f"'''{first}'''")
+            hidden, lines = secrets.masked(text), lines + 1
+            ok = first not in hidden and (second not in hidden or "S2" not in line)
+            found += ok
+            wrong += [] if ok else [text]
+    for line in CLEAN:
+        for text in (line, f"  {line}", f"{line}\n", f"see\n{line}\nthen"):
+            ok = not added(text)  # what the plain patterns take is fixed
+            clean += ok
+            lines += 1
+            wrong += [] if ok else [text]
+    assert found >= 0.95 * 8 * len(LEAKS) and clean >= 0.95 * 4 * len(CLEAN) and lines >= 200, wrong
+    assert not wrong, wrong
+
+
 def test_work_grows_with_the_text():
     began = time.time()
     doubled = 's = "Zx8!Qw3@Er5#"\n' + "s = s + s\n" * 3000 + "credentials = s\n"
@@ -88,6 +124,7 @@ def test_work_grows_with_the_text():
     assert len(secrets.scan(many)) == 30_000
     chain = 'a0 = "Zx8!Qw3@Er5#Ty7"\n' + "".join(f'a{i} = a{i - 1} + "{i}"\ncredentials = a{i}\n' for i in range(1, 5000))
     assert len(added(chain)) == 5000
+    assert secrets.scan("a = f(" * 20_000) == [] and secrets.scan('"""' * 20_001 + "a = (" * 5000) == []
     assert time.time() - began < 6
 
 
