@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from tessera.operators.vector_index import VectorIndex
+
 MOST_QUERIES = 20_000
 
 
@@ -34,23 +38,64 @@ def in_groups(queries: DataFrame, most: int, search: Callable[[DataFrame], DataF
     return reduce(DataFrame.unionByName, parts)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """queries (query_id, embedding), vectors (vec_id, embedding) -> query_id, vec_id, distance, score, rank; ties by vec_id.
+def nearest(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, metric: str = "l2") -> DataFrame:
+    """queries (query_id, embedding), vectors (vec_id, embedding, or an index of them) -> query_id, vec_id, distance, score, rank; ties by vec_id.
 
     l2: squared distance, score exp(-distance). cosine: 1 - cosine, score the cosine clamped to 0..1. A block is ranked by distances from a matrix product; all
-    that are within its rounding error of the k-th are then compared exactly, so ties go by id. More than MOST_QUERIES queries are searched in groups.
+    that are within its rounding error of the k-th are then compared exactly, so ties go by id. More than MOST_QUERIES queries are searched in groups. An index must be one for the metric.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    return in_groups(queries.select("query_id", "embedding"), MOST_QUERIES, lambda some: _nearest(some, vectors, k, metric))
+    if not isinstance(vectors, DataFrame) and vectors.metric != metric:
+        raise ValueError(f"an index for {vectors.metric} does not answer {metric}")
+    look = (lambda some: scanned(some, vectors, k, metric)) if isinstance(vectors, DataFrame) else (lambda some: vectors.search(some, k))
+    found = in_groups(queries.select("query_id", "embedding"), MOST_QUERIES, lambda some: ranked(look(some), k))
+    score: Column = F.exp(-F.col("distance")) if metric == "l2" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance")))
+    return found.withColumn("score", score)
 
 
-def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
-    spark = vectors.sparkSession
+def held(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a group of queries, on the driver."""
     given = queries.collect()  # about MOST_QUERIES at most, see nearest
-    ids = np.array([r.query_id for r in given], np.int64)
-    q = np.array([r.embedding for r in given], np.float64).reshape(len(given), -1 if given else 1)
-    shared = spark.sparkContext.broadcast((ids, q))
+    return np.array([r.query_id for r in given], np.int64), np.array([r.embedding for r in given], np.float64).reshape(len(given), -1 if given else 1)
+
+
+def block_best(ids: np.ndarray, q: np.ndarray, keys: np.ndarray, e: np.ndarray, k: int, metric: str) -> list[list[np.ndarray]]:
+    """The best k of a block of vectors for each query: ids, keys, distances."""
+    best = []
+    norms = (e * e).sum(1)
+    for at in range(0, len(ids), 256):
+        part = q[at : at + 256]
+        dots = part @ e.T
+        # an upper bound of the rounding error of both forms
+        error = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (np.maximum(norms.max(), (part * part).sum(1)) + 1 if metric == "l2" else np.linalg.norm(part, axis=1) + 1)
+        rough = norms - 2 * dots if metric == "l2" else -dots / np.maximum(np.sqrt(norms), 1e-300)
+        last = min(k, e.shape[0]) - 1
+        least = np.partition(rough, last, axis=1)[:, last] + error
+        for i in range(len(part)):
+            row = np.flatnonzero(rough[i] <= least[i])
+            v, own = e[row], part[i]
+            exact = ((v - own) ** 2).sum(1) if metric == "l2" else 1 - (v * own).sum(1) / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(own), 1e-300)
+            order = np.lexsort((keys[row], exact))[:k]
+            best.append([np.full(len(order), ids[at + i]), keys[row][order], exact[order]])
+    return best
+
+
+def best_of(found: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
+    """The best k of each query so far, so that a task sends k rows a query however many blocks it saw."""
+    ids, keys, distance = (np.concatenate([x[i] for x in found]) for i in range(3))
+    order = np.lexsort((keys, distance, ids))
+    ids, keys, distance = ids[order], keys[order], distance[order]
+    start = np.ones(len(ids), bool)
+    start[1:] = ids[1:] != ids[:-1]
+    at = np.flatnonzero(start)
+    kept = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids)))) < k
+    return [ids[kept], keys[kept], distance[kept]]
+
+
+def scanned(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    """query_id, vec_id, distance: the best k of each task, all vectors compared."""
+    shared = vectors.sparkSession.sparkContext.broadcast(held(queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -62,41 +107,18 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> Dat
             keys = b.column(0).to_numpy(zero_copy_only=False)[rows]
             if not len(keys):
                 continue
-            norms = (e * e).sum(1)
-            for at in range(0, len(ids), 256):
-                part = q[at : at + 256]
-                dots = part @ e.T
-                # an upper bound of the rounding error of both forms
-                error = 8 * (q.shape[1] + 8) * np.finfo(float).eps * (np.maximum(norms.max(), (part * part).sum(1)) + 1 if metric == "l2" else np.linalg.norm(part, axis=1) + 1)
-                rough = norms - 2 * dots if metric == "l2" else -dots / np.maximum(np.sqrt(norms), 1e-300)
-                last = min(k, e.shape[0]) - 1
-                least = np.partition(rough, last, axis=1)[:, last] + error
-                for i in range(len(part)):
-                    row = np.flatnonzero(rough[i] <= least[i])
-                    v, own = e[row], part[i]
-                    exact = ((v - own) ** 2).sum(1) if metric == "l2" else 1 - (v * own).sum(1) / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(own), 1e-300)
-                    order = np.lexsort((keys[row], exact))[:k]
-                    best.append([np.full(len(order), ids[at + i]), keys[row][order], exact[order]])
+            best += block_best(ids, q, keys, e, k, metric)
             if len(best) > 4 * len(ids):
-                best = [top(best)]
+                best = [best_of(best, k)]
         if best:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in top(best)], ["query_id", "vec_id", "distance"])
-
-    def top(found: list[list[np.ndarray]]) -> list[np.ndarray]:
-        """The best k of each query so far, so that a task sends k rows a query however many blocks it saw."""
-        ids, keys, distance = (np.concatenate([x[i] for x in found]) for i in range(3))
-        order = np.lexsort((keys, distance, ids))
-        ids, keys, distance = ids[order], keys[order], distance[order]
-        start = np.ones(len(ids), bool)
-        start[1:] = ids[1:] != ids[:-1]
-        at = np.flatnonzero(start)
-        kept = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids)))) < k
-        return [ids[kept], keys[kept], distance[kept]]
-
-    found = vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(best, k)], ["query_id", "vec_id", "distance"])
+
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    score: Column = F.exp(-F.col("distance")) if metric == "l2" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance")))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).withColumn("score", score)
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def above(results: DataFrame, least: float) -> DataFrame:
@@ -116,11 +138,12 @@ def orphans(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
     return nodes.join(vectors.select("vec_id"), "vec_id", "left_anti")
 
 
-def mmr(queries: DataFrame, vectors: DataFrame, k: int, fetch_k: int | None = None, weight: float = 0.5) -> DataFrame:
+def mmr(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, fetch_k: int | None = None, weight: float = 0.5) -> DataFrame:
     """Maximal marginal relevance (Carbonell and Goldstein 1998) over the fetch_k nearest by cosine; one query's candidates at a time."""
     fetch = fetch_k or 2 * k
     near = nearest(queries, vectors, fetch, "cosine").select("query_id", "vec_id", F.col("rank").alias("fetch_rank"), (1 - F.col("distance")).alias("relevance"))
-    near = near.join(vectors.select(F.col("vec_id").cast("long"), "embedding"), "vec_id")
+    rows = vectors if isinstance(vectors, DataFrame) else vectors.scan()
+    near = near.join(rows.select(F.col("vec_id").cast("long"), "embedding"), "vec_id")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fetch_rank").reset_index(drop=True)
@@ -137,7 +160,7 @@ def mmr(queries: DataFrame, vectors: DataFrame, k: int, fetch_k: int | None = No
     return near.groupBy("query_id").applyInPandas(pick, "query_id bigint, vec_id bigint, rank int, relevance double")
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 3, kind: str = "similarity", fetch_k: int | None = None, least: float = 0.5) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = 3, kind: str = "similarity", fetch_k: int | None = None, least: float = 0.5) -> DataFrame:
     """query_id, vec_id, rank, score by a named kind of search: similarity (L2), mmr, similarity_score_threshold (cosine of at least `least`); any other name is similarity."""
     if kind == "mmr":
         return mmr(queries, vectors, k, fetch_k).withColumnRenamed("relevance", "score").select("query_id", "vec_id", "rank", "score")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import fusion, rerank, vectors
+from tessera.operators.vector_index import VectorIndex
 from tessera.plans import graphs
-from tessera.sources.tables import table
+from tessera.sources.tables import folder_of, table
 
 K = 8
 
@@ -28,6 +29,17 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.seed_nodes(_near(spark, folder, 10), graphs.nodes(spark, folder).where("vec_id IS NOT NULL"), 5, 0.0)
 
 
+_built: dict[tuple[str, str, str], VectorIndex] = {}
+
+
+def _index(spark: SparkSession, folder: str, metric: str = "l2") -> VectorIndex:
+    """An index of all vectors, built once a session and folder."""
+    key = (spark.sparkContext.applicationId, folder, metric)
+    if key not in _built:
+        _built[key] = VectorIndex.build(_vectors(spark, folder), folder_of(spark, "vectors"), metric)
+    return _built[key]
+
+
 def knn_l2_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
     found = _near(spark, folder).join(docs, "vec_id", "left")
@@ -38,6 +50,26 @@ def knn_cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder, K, "cosine").select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
+def knn_indexed_l2(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.nearest(_queries(spark, folder), _index(spark, folder), K)
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+def knn_indexed_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    found = vectors.nearest(_queries(spark, folder), _index(spark, folder, "cosine"), K, "cosine")
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+
+
+def mmr_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.mmr(_queries(spark, folder), _index(spark, folder, "cosine"), 5).select("query_id", "vec_id", "rank", F.round("relevance", 6).alias("relevance"))
+
+
+def seed_nodes_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    near = vectors.nearest(_queries(spark, folder), _index(spark, folder), 10)
+    found = vectors.seed_nodes(near, graphs.nodes(spark, folder).where("vec_id IS NOT NULL"), 5, 0.0)
+    return found.select("query_id", "node_id", "vec_id", F.round("score", 6).alias("score"), "seed_rank")
+
+
 def knn_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.above(_near(spark, folder, K, "cosine"), 0.5).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
@@ -164,4 +196,10 @@ ORACLES = {
     "prompt_build": f"""{_LISTS}, p AS (SELECT v.query_id, v.own_rank, 'Document ' || v.own_rank || ' (source: ' || coalesce(source, 'unknown') || '):' || chr(10) || page_content AS block FROM v LEFT JOIN documents ON doc_id = id)
         SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY own_rank)) AS prompt_md5 FROM p GROUP BY query_id""",
 }
-QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_cosine_topk, knn_threshold, mmr_topk, seed_embedding_nodes, orphan_nodes, hybrid_concat, hybrid_rerank, hybrid_weighted, hybrid_expand, content_dedup, rerank_threshold, cross_encoder_sigmoid, context_format, prompt_build)}
+ORACLES |= {
+    "knn_indexed_l2": f"WITH {_L2} SELECT query_id, vec_id, rank, round(distance, 6) AS distance, round(exp(-distance), 6) AS score FROM l2 WHERE rank <= 8",
+    "knn_indexed_cosine": ORACLES["knn_cosine_topk"],
+    "mmr_indexed": ORACLES["mmr_topk"],
+    "seed_nodes_indexed": ORACLES["seed_embedding_nodes"],
+}
+QUERIES = {f.__name__: f for f in (knn_l2_topk, knn_cosine_topk, knn_indexed_l2, knn_indexed_cosine, mmr_indexed, seed_nodes_indexed, knn_threshold, mmr_topk, seed_embedding_nodes, orphan_nodes, hybrid_concat, hybrid_rerank, hybrid_weighted, hybrid_expand, content_dedup, rerank_threshold, cross_encoder_sigmoid, context_format, prompt_build)}

@@ -26,11 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder_of(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read back: one job, lineage cut. The folder goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = folder_of(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
