@@ -5,6 +5,7 @@ nodes: node_id, type, name, vec_id (and any properties); edges: src, dst, type,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import term_overlap
 from tessera.operators.vectors import in_groups
-from tessera.sources.tables import cut
+from tessera.sources.tables import cut, folder_of
 
 DECAY = 0.7
 #: Texts that are scored against all nodes in one pass.
@@ -36,6 +37,22 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "type").agg(F.max("weight").alias("weight"), F.count("*").alias("mentions"))
 
 
+def adjacency(edges: DataFrame, buckets: int | None = None, edges_a_bucket: int = 4_000_000) -> DataFrame:
+    """edges as a table bucketed and sorted by src: the levels of a search then join it where it lies, and only their own rows are shuffled.
+
+    A file a bucket; the table is in the session's catalog and its files in the shared folder, both for the life of the application. buckets: by the number of edges if not given,
+    and no fewer than the session's shuffle partitions, so that a join never finds it cheaper to deal the edges anew.
+    """
+    spark = edges.sparkSession
+    if buckets is None:
+        edges = cut(edges)
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-edges.count() // edges_a_bucket))
+    name = f"adjacency_{uuid.uuid4().hex}"
+    path = folder_of(spark, "adjacency")
+    edges.repartition(buckets, "src").write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "src").sortBy("src").saveAsTable(name)
+    return spark.table(name)
+
+
 def breadth_first(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = DECAY) -> DataFrame:
     """query_id, node_id, hop_distance, relevance_score of all nodes within hops, seeds at 0.
 

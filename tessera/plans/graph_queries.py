@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, pagerank
+from tessera.operators.name_index import NameIndex
 from tessera.plans import graphs
-from tessera.sources.tables import cut, table
+from tessera.sources.tables import table
+
+
+_made: dict[tuple[str, str], DataFrame] = {}
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    """The edges, made once for all levels of a search."""
-    return cut(graphs.edges(spark, folder))
+    """The edges, bucketed by src once a session and folder, for all levels of all searches."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _made:
+        _made[key] = graph.adjacency(graphs.edges(spark, folder))
+    return _made[key]
 
 
 def _customer_seeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +71,30 @@ def fuzzy_seed_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return graph.fuzzy_seeds(queries, graphs.nodes(spark, folder), 5).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _part_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The name of each part whose key is divisible by 50 is a query."""
+    return table(spark, folder, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("bigint").alias("query_id"), F.col("p_name").alias("text"))
+
+
+def keyword_names(spark: SparkSession, folder: str) -> DataFrame:
+    found = NameIndex(graphs.nodes(spark, folder)).keyword(_part_texts(spark, folder), 5)
+    return found.select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
+
+
+def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
+    found = NameIndex(graphs.nodes(spark, folder)).fuzzy(_part_texts(spark, folder), 5)
+    return found.select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
+
+
+#: Least residual a link that is pushed, and rounds, of ppr_push.
+LEAST_PUSHED, PUSH_ROUNDS = 0.001, 12
+
+
+def ppr_push(spark: SparkSession, folder: str) -> DataFrame:
+    found = pagerank.forward_push(_customer_seeds(spark, folder), pagerank.transitions(graphs.edges(spark, folder)), 0.15, LEAST_PUSHED, PUSH_ROUNDS)
+    return found.select("query_id", "node_id", F.round("score", 6).alias("score"), F.round("rank_mass", 6).alias("rank_mass"), F.round("residual", 6).alias("residual"))
+
+
 def ppr_scores(spark: SparkSession, folder: str) -> DataFrame:
     found = pagerank.personalised_pagerank(_customer_seeds(spark, folder), _edges(spark, folder))
     return found.select("query_id", "node_id", F.round("score", 6).alias("score"))
@@ -159,4 +190,18 @@ ORACLES = {
     "graph_density": f"WITH {graphs.NODES_SQL}, {graphs.EDGES_SQL} SELECT n AS n_nodes, e AS n_edges, round(e / CAST(greatest(n * (n - 1), 1) AS DOUBLE), 9) AS density FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS e FROM edges)",
     "type_histogram": f"WITH {graphs.NODES_SQL}, {graphs.EDGES_SQL} SELECT type, count(*) AS n, count(vec_id) AS with_vector, 'node' AS kind FROM nodes GROUP BY type UNION ALL SELECT type, count(*), 0, 'edge' FROM edges GROUP BY type",
 }
-QUERIES = {f.__name__: f for f in (bfs_2hop, bfs_decay_scores, dfs_visits, subgraph_edges_top5, graph_docs_with_source, keyword_seed_overlap, fuzzy_seed_nodes, ppr_scores, ppr_topk_vectors, node_dedup, edge_dedup, simple_edges, graph_density, type_histogram)}
+ORACLES |= {
+    "keyword_names": ORACLES["keyword_seed_overlap"].replace("queries(query_id, text) AS (VALUES (1, 'Region'), (2, 'supplier'), (3, 'asia east'), (4, 'customer 1'))", "queries AS (SELECT p_partkey AS query_id, p_name AS text FROM part WHERE p_partkey % 50 = 0)"),
+    "ppr_push": f"""WITH RECURSIVE {graphs.EDGES_SQL}, {_CUSTOMERS}, adj AS (
+        SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM edges WHERE src <> dst UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst) GROUP BY ALL
+    ), degrees AS (SELECT src, count(*) AS degree, sum(weight) AS w FROM adj GROUP BY src),
+    flow AS (SELECT a.src, a.dst, a.weight / d.w AS share, d.degree FROM adj a JOIN degrees d ON d.src = a.src UNION ALL SELECT src, src, CAST(-1 AS DOUBLE), degree FROM degrees),
+    state(i, query_id, node_id, p, r) AS (
+        SELECT 0, query_id, node_id, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM seeds
+        UNION ALL SELECT s.i + 1, s.query_id, f.dst, sum(CASE WHEN share < 0 THEN s.p + CASE WHEN s.r >= {LEAST_PUSHED} * degree THEN CAST(0.15 AS DOUBLE) * s.r ELSE 0 END ELSE 0 END),
+            sum(CASE WHEN share < 0 THEN CASE WHEN s.r >= {LEAST_PUSHED} * degree THEN 0 ELSE s.r END ELSE CAST(0.85 AS DOUBLE) * s.r * share END)
+        FROM state s JOIN flow f ON f.src = s.node_id AND (share < 0 OR s.r >= {LEAST_PUSHED} * degree) WHERE s.i < {PUSH_ROUNDS} GROUP BY s.i, s.query_id, f.dst
+    ), last AS (SELECT * FROM state WHERE i = {PUSH_ROUNDS})
+    SELECT query_id, node_id, round((p + r) / max(p + r) OVER (PARTITION BY query_id), 6) AS score, round(p + r, 6) AS rank_mass, round(sum(r) OVER (PARTITION BY query_id), 6) AS residual FROM last""",
+}
+QUERIES = {f.__name__: f for f in (keyword_names, fuzzy_names, ppr_push, bfs_2hop, bfs_decay_scores, dfs_visits, subgraph_edges_top5, graph_docs_with_source, keyword_seed_overlap, fuzzy_seed_nodes, ppr_scores, ppr_topk_vectors, node_dedup, edge_dedup, simple_edges, graph_density, type_histogram)}

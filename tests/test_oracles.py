@@ -169,7 +169,7 @@ def test_hash_embeddings_against_counts(spark):
 
 
 #: Queries that SQL cannot express, each with a plain version here or in test_operators.
-PLAIN = {f"chunk_{k}" for k in ("recursive", "character", "markdown", "python", "code", "token", "header")} | {"dfs_visits", "html_text_length", "hash_embeddings", "fuzzy_seed_nodes"}
+PLAIN = {f"chunk_{k}" for k in ("recursive", "character", "markdown", "python", "code", "token", "header")} | {"dfs_visits", "html_text_length", "hash_embeddings", "fuzzy_seed_nodes", "fuzzy_names"}
 
 
 def test_every_query_is_compared():
