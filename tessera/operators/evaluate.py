@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import selection
+
 
 def latency(times: DataFrame, column: str, *by: str, accuracy: int | None = None) -> DataFrame:
     """Mean, median, percentiles (linear interpolation), extremes, population deviation, and throughput a second of milliseconds.
 
-    Exact percentiles hold the distinct values of a group in one task; with an accuracy, percentiles are values of the group within 1 / accuracy of the rank, in a sketch of that size."""
-    v = F.col(column)
-    p = F.percentile_approx(v, [0.5, 0.95, 0.99], accuracy) if accuracy else F.percentile(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = times.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), p.alias("p"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), F.sum(v).alias("total"))
+    Exact percentiles are found by counting, so no task holds a group's values; with an accuracy, percentiles are values of the group within 1 / accuracy of the rank, in a sketch of that size."""
+    v, shares = F.col(column), {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    aggs = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"), F.sum(v).alias("total")]
+    if accuracy:
+        sketch = F.percentile_approx(v, list(shares.values()), accuracy)
+        out = times.groupBy(*by).agg(*aggs, sketch.alias("p")).select("*", *(F.col("p")[i].alias(k) for i, k in enumerate(shares)))
+    else:
+        exact = selection.percentiles(times, column, list(by), shares).withColumnsRenamed({c: f"_{c}" for c in by})
+        own = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.lit(True))
+        out = times.groupBy(*by).agg(*aggs).join(exact, own, "left")
     rate = F.when(F.col("total") > 0, F.col("n") / (F.col("total") / 1000)).otherwise(F.lit(0.0))
-    return out.select(*by, "n", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "min", "max", "std", rate.alias("per_second"))
+    return out.select(*by, "n", "mean", *shares, "min", "max", "std", rate.alias("per_second"))
 
 
 def per_query(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
