@@ -35,7 +35,8 @@ class Settings:
     max_hops: int = 2
     seeds: int = 5
     min_score: float = 0.0
-    max_nodes: int = 200
+    max_nodes: int = 200  # of a question's neighbourhood; 0: the whole graph, by forward push
+    least_pushed: float = 1e-4
     alpha: float = 0.15
     iterations: int = 50
     tolerance: float = 1e-6

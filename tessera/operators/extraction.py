@@ -25,6 +25,18 @@ def mentions(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return chunks.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("mention_index", "name"))
 
 
+def mentions_in_context(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = NAME_PATTERN, around: int = 60, kind: str = "ENTITY") -> DataFrame:
+    """doc_id, mention_index, name, kind, start, end, context: every match with its place in characters and the text around it."""
+    text = F.col(text_col)
+    d = chunks.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("names"), F.split(text, pattern, -1).alias("pieces"))
+    long = lambda parts: F.aggregate(F.transform(parts, lambda x: F.length(x)), F.lit(0), lambda a, b: a + b)
+    d = d.select("doc_id", "t", "pieces", "names", F.posexplode("names").alias("mention_index", "name"))
+    start = long(F.slice("pieces", F.lit(1), F.col("mention_index") + 1)) + long(F.slice("names", F.lit(1), F.col("mention_index")))
+    d = d.withColumn("start", start).withColumn("end", F.col("start") + F.length("name"))
+    first = F.greatest(F.col("start") - around, F.lit(0))
+    return d.select("doc_id", "mention_index", "name", F.lit(kind).alias("kind"), "start", "end", F.col("t").substr(first + 1, F.col("end") + around - first).alias("context"))
+
+
 def entities(found: DataFrame, scope: str = "corpus") -> DataFrame:
     """A node a canonical name (in the corpus or in each document), its spelling that comes first, and how often and where it is mentioned."""
     key = canonical(F.col("name"))

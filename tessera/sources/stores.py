@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pickle
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from typing import Protocol
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.providers import Providers
 from tessera.functions.retry import retried
+from tessera.sources.versions import Versions
 
 
 def hash_embedding(text: str, dim: int = 64) -> list[float]:
@@ -47,38 +47,55 @@ def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float] | Non
 
 
 class VectorStore:
-    """vec_id, embedding and payload columns under a path."""
+    """vec_id, embedding and payload columns under a path, in commits (see versions): rows, and ids that are deleted from what was there before."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.log = Versions(spark, path)
 
-    def add(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+    def exists(self) -> bool:
+        return self.log.version() > 0
 
-    def scan(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def add(self, rows: DataFrame) -> int:
+        return self.log.commit({"rows": rows})
+
+    def upsert(self, rows: DataFrame) -> int:
+        """Adds rows in place of those of the same ids, in one commit."""
+        return self.log.commit({"rows": rows, "deletes": rows.select("vec_id").distinct()})
+
+    def scan(self, since: int = 0) -> DataFrame:
+        """Rows that are there, of all commits or of those after one."""
+        rows, deletes = self.log.read("rows", since), self.log.read("deletes", since)
+        if rows is None:
+            return self.log.empty("rows").drop("seq")
+        if deletes is None:
+            return rows.drop("seq")
+        last = deletes.groupBy(F.col("vec_id").alias("_gone")).agg(F.max("seq").alias("_until"))
+        return rows.join(last, (F.col("vec_id") == F.col("_gone")) & (F.col("seq") < F.col("_until")), "left_anti").drop("seq")
 
     def get(self, ids: DataFrame, dim: int | None = None) -> DataFrame:
         """Rows of the given ids (vec_id); unknown ids, and vectors of another dimension, are left out."""
         found = self.scan().join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
         return found if dim is None else found.where(F.size("embedding") == dim)
 
-    def delete(self, ids: DataFrame, into: str) -> VectorStore:
-        """A store under another path without the given ids; the old one stays readable until it is removed."""
-        self.scan().join(ids.select("vec_id").distinct(), "vec_id", "left_anti").write.mode("overwrite").parquet(into)
-        return VectorStore(self.spark, into)
+    def delete(self, ids: DataFrame, into: str | None = None) -> VectorStore:
+        """Without the given ids: writes the ids only. With another path, a store there of what is left, and this one as it was."""
+        if into is None:
+            self.log.commit({"deletes": ids.select("vec_id").distinct()})
+            return self
+        other = VectorStore(self.spark, into)
+        other.add(self.scan().join(ids.select("vec_id").distinct(), "vec_id", "left_anti"))
+        return other
 
     def remove(self, ids: DataFrame) -> None:
-        """Delete the given ids: what stays is written beside the store, which it then replaces."""
-        jvm, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
-        beside = f"{self.path.rstrip('/')}.{uuid.uuid4().hex}"
-        self.delete(ids, beside)
-        old, new = jvm.Path(self.path), jvm.Path(beside)
-        store = old.getFileSystem(conf)
-        store.delete(old, True)
-        if not store.rename(new, old):
-            raise OSError(f"{beside} holds what was kept, but could not be renamed to {self.path}")
-        self.spark.catalog.refreshByPath(self.path)
+        self.delete(ids)
+
+    def deleted_since(self, version: int) -> bool:
+        return self.log.read("deletes", version) is not None
+
+    def compact(self) -> int:
+        """One commit of what is there; readers of older versions keep their files until vacuum."""
+        return self.log.commit({"rows": self.scan()}, replace=("rows", "deletes"))
 
 
 #: Vector stores by name; others by a dotted path.
@@ -169,6 +186,51 @@ class GraphStore:
         return self.spark.sql(query)
 
 
+class GraphLog(GraphStore):
+    """A graph that grows by commits of the nodes and edges that are new: merged on reading (the least type, name and vector id of a node, the sum of an edge's weights), so that a commit costs what it brings; compacted
+    now and then, after which nothing is left to merge."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self.log = Versions(spark, path)
+
+    def add(self, nodes: DataFrame, edges: DataFrame, mentions: DataFrame | None = None, note: Mapping | None = None) -> int:
+        """mentions: where a node is named (node_id and whatever is known of the place); they are kept as they come."""
+        return self.log.commit({"nodes": nodes, "edges": edges} | ({} if mentions is None else {"mentions": mentions}), note=note)
+
+    def mentions(self, node_ids: DataFrame | None = None) -> DataFrame:
+        """All mentions, or those of some nodes (node_id)."""
+        found = self.log.read("mentions")
+        found = self.log.empty("mentions") if found is None else found
+        found = found.drop("seq")
+        return found if node_ids is None else found.join(node_ids.select("node_id").distinct(), "node_id", "left_semi")
+
+    def save(self, nodes: DataFrame, edges: DataFrame) -> None:
+        self.log.commit({"nodes": nodes, "edges": edges}, replace=("nodes", "edges"))
+
+    def deltas(self) -> int:
+        return len(self.log.manifest()["tables"].get("nodes", []))
+
+    def compact(self) -> int:
+        """The merged graph as one commit. What was noted stays."""
+        return self.log.commit({"nodes": self._merged("nodes"), "edges": self._merged("edges")}, replace=("nodes", "edges"), note={"compact": True})
+
+    def _merged(self, name: str) -> DataFrame | None:
+        rows = self.log.read(name)
+        if rows is None:
+            return None
+        if name == "nodes":
+            return rows.groupBy("node_id").agg(*(F.min(c).alias(c) for c in rows.columns if c not in ("node_id", "seq")))
+        return rows.groupBy("src", "dst", "type").agg(F.sum("weight").alias("weight"))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        m = self.log.manifest()
+        if m["note"].get("compact") and len(m["tables"].get(name, [])) == 1:
+            return self.log.read(name).drop("seq")
+        found = self._merged(name)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Both tables, the row of greatest order of each key."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))

@@ -9,22 +9,23 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.operators import chunking
 
 
+#: Keeps what a stream has seen on the executors' disks, so that a batch costs what it brings.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def ingest(spark: SparkSession, folder: str, schema: str, into: str, checkpoint: str, size: int = 1000, overlap: int = 200) -> StreamingQuery:
-    """Parquet files that appear in folder (doc_id, text) as sliding chunks under into, by batch. A batch writes to a folder of its number, so a batch
-    that runs again after a failure replaces what it wrote; chunks that an earlier batch has are left out. Run until what is there is done."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        found = chunking.sliding(batch, size, overlap).dropDuplicates(["chunk_id"])
-        try:
-            have = spark.read.parquet(into).where(F.col("batch") != number).select("chunk_id")
-            found = found.join(have, "chunk_id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        found.write.mode("overwrite").parquet(f"{into}/batch={number}")
-
-    stream = spark.readStream.schema(schema).parquet(folder)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Parquet files that appear in folder (doc_id, text) as sliding chunks under into, each chunk once. Run until what is there is done.
+
+    The ids of chunks are keyed state, dealt by their hash: a batch looks up its own ids and writes its own chunks, however many there were before, and nothing that was written is read. The sink lists
+    the files of a batch when the batch is whole, and a batch that is run again changes nothing."""
+    found = chunking.sliding(spark.readStream.schema(schema).parquet(folder), size, overlap).dropDuplicates(["chunk_id"])
+    name, kind = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:  # a query takes the settings of its session when it starts
+        return found.writeStream.format("parquet").outputMode("append").option("path", into).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def windowed_metrics(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
