@@ -100,18 +100,33 @@ top(level, place, total, digest) AS (
 ways AS (
     SELECT tree, level, place, CAST(NULL AS VARCHAR) AS name, digest FROM up
     UNION ALL SELECT NULL, level, place, NULL, digest FROM top
-), walk(place0, tree, level, at, total, high, folded, own, siblings) AS (
+), walk(place0, tree, level, spot, total, high, folded, own, siblings) AS (
     SELECT place, tree, 0, place, total, false, seen, leaf, '' FROM placed
     UNION ALL
-    SELECT w.place0, w.tree, CASE WHEN w.total = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.total = 1 THEN r.place ELSE w.at // 2 END, CASE WHEN w.total = 1 THEN r.total ELSE (w.total + 1) // 2 END, w.high OR w.total = 1,
-        CASE WHEN w.total = 1 THEN w.folded WHEN s.digest IS NULL THEN sha256(w.folded) WHEN w.at % 2 = 1 THEN sha256(s.digest || w.folded) ELSE sha256(w.folded || s.digest) END, w.own, w.siblings || CASE WHEN w.total = 1 THEN '' ELSE coalesce(s.digest, '') END
-    FROM walk w JOIN roots r ON r.tree = w.tree LEFT JOIN ways s ON s.tree IS NOT DISTINCT FROM CASE WHEN w.high THEN NULL ELSE w.tree END AND s.level = w.level AND s.place = xor(w.at, 1) AND w.total > 1
+    SELECT w.place0, w.tree, CASE WHEN w.total = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.total = 1 THEN r.place ELSE w.spot // 2 END, CASE WHEN w.total = 1 THEN r.total ELSE (w.total + 1) // 2 END, w.high OR w.total = 1,
+        CASE WHEN w.total = 1 THEN w.folded WHEN s.digest IS NULL THEN sha256(w.folded) WHEN w.spot % 2 = 1 THEN sha256(s.digest || w.folded) ELSE sha256(w.folded || s.digest) END, w.own, w.siblings || CASE WHEN w.total = 1 THEN '' ELSE coalesce(s.digest, '') END
+    FROM walk w JOIN roots r ON r.tree = w.tree LEFT JOIN ways s ON s.tree IS NOT DISTINCT FROM CASE WHEN w.high THEN NULL ELSE w.tree END AND s.level = w.level AND s.place = xor(w.spot, 1) AND w.total > 1
     WHERE NOT (w.high AND w.total = 1)
 ), top_root AS (SELECT digest AS root FROM top WHERE total = 1)
 SELECT p.doc_id, p.leaf, r.digest AS subroot, root, sha256(w.siblings) AS proof_sha256, w.folded AS folded_root, w.folded = root AS verified
 FROM placed p JOIN walk w ON w.tree = p.tree AND w.place0 = p.place AND w.high AND w.total = 1 JOIN roots r ON r.tree = p.tree CROSS JOIN top_root
 """
 
+#: Every window of every text by its digest: right, and fast enough on small tables only.
+OP13_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+texts AS (SELECT h, count(*) AS copies, row_number() OVER (ORDER BY h) AS k FROM d GROUP BY h),
+windows AS (SELECT k, copies, p, md5(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT k, copies, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM texts)),
+hits AS (SELECT k, p FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING sum(copies) > 1)),
+marked AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY k ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hits),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY p) AS run FROM marked),
+runs AS (SELECT k, run, min(p) AS s, max(p) + 200 AS e FROM numbered GROUP BY k, run),
+pieces AS (SELECT r.k, r.run, r.s, r.e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY r.k ORDER BY run), 0) + 1, 2 * (s - coalesce(lag(e) OVER (PARTITION BY r.k ORDER BY run), 0))) AS before FROM runs r JOIN texts t ON t.k = r.k),
+cut AS (SELECT k, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY run) AS head, max(e) AS e FROM pieces GROUP BY k)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substr(d.h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d JOIN texts t ON t.h = d.h LEFT JOIN cut ON cut.k = t.k
+"""
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_texts(table(spark, sf_dir, "documents"))
@@ -211,4 +226,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op9_warc_archive": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op12_merkle_dataset_manifest": OP12_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op9_warc_archive": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op12_merkle_dataset_manifest": OP12_SQL, "op13_suffix_array_dedup": OP13_SQL}

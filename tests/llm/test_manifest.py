@@ -107,3 +107,13 @@ def test_a_missing_child_stops_the_step():
     assert step((("=en", 1), [(5, 6, "b" * 64), (4, 6, "a" * 64)])) == ("=en", 1, 2, sha(sha("a" * 64, "b" * 64)))
     with pytest.raises(ValueError, match="children"):
         step((("=en", 0), [(0, 6, "a" * 64), (1, 6, "b" * 64), (3, 6, "c" * 64)]))
+
+
+def test_query_against_sql(query, folder):
+    import duckdb
+    from tessera.llm import queries
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        rows = db.execute(f"SELECT {', '.join(COLUMNS)} FROM ({queries.oracle_sql()['op12_merkle_dataset_manifest']})").fetchall()
+    assert sorted(rows, key=str) == sorted((tuple(r[c] for c in COLUMNS) for r in query("op12_merkle_dataset_manifest")), key=str)

@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from tessera.llm import phrases, sketch
-from tessera.llm.queries import OP11_SQL
 
 COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -111,3 +110,13 @@ def test_scores_beyond_64_bits(spark):
     big = 9 * 10**17
     r = spark.sql(f"SELECT (cast(2000000 as decimal(10,0)) * cast({big} as decimal(19,0))) div (cast({big} as decimal(19,0)) + cast({big + 7} as decimal(19,0))) AS score").first()
     assert r.score == 2_000_000 * big // (2 * big + 7)
+
+
+def test_query_against_sql(query, folder):
+    import duckdb
+    from tessera.llm import queries
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        rows = db.execute(f"SELECT {', '.join(COLUMNS)} FROM ({queries.oracle_sql()['op11_phrase_collocations']})").fetchall()
+    assert sorted(rows, key=str) == sorted((tuple(r[c] for c in COLUMNS) for r in query("op11_phrase_collocations")), key=str)

@@ -105,3 +105,13 @@ def test_edges(edge, empty):
 def test_spans_merge():
     assert repeats.spans([(5, 6), (0, 2), (0, 1), (300, 301)], 200) == [(0, 205), (300, 500)]
     assert repeats.spans([(0, 1), (200, 201)], 200) == [(0, 400)]
+
+
+def test_query_against_sql(query, folder):
+    import duckdb
+    from tessera.llm import queries
+
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        rows = db.execute(f"SELECT {', '.join(COLUMNS)} FROM ({queries.oracle_sql()['op13_suffix_array_dedup']})").fetchall()
+    assert sorted(rows, key=str) == sorted((tuple(r[c] for c in COLUMNS) for r in query("op13_suffix_array_dedup")), key=str)
