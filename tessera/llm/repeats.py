@@ -1,8 +1,8 @@
 """Bytes that stand in a string of ``least`` bytes which also starts elsewhere, found by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
 What is compared is windows of ``least`` bytes. A window is dealt by its anchor, the least hashed substring of ``k < least`` bytes within it (the first of equals), so equal windows
-have equal anchors and come to the same task; runs of windows with one anchor travel as one segment, equal segments as one with a count, and windows whose anchor a merged sketch proves to occur once do not
-travel at all. A task builds the transform of a block of segments (whole anchors only) and extends intervals backward, breadth first: level l sets the boundaries between neighbours in suffix order that share exactly l
+have equal anchors and come to the same task; runs of windows with one anchor travel as one segment, equal segments as one with a count, and windows whose anchor occurs once (anchors are counted first, and those that repeat are told by
+a sketch of them) do not travel at all. A task builds the transform of a block of segments (whole anchors only) and extends intervals backward, breadth first: level l sets the boundaries between neighbours in suffix order that share exactly l
 bytes, and the search stops at ``least``; neighbours without a boundary share ``least`` bytes or more. An anchor with more than ``HOT`` different segments is not dealt to one task: its segments are cut
 again by longer anchors, up to ``least - 1`` bytes, where an anchor has at most 512 different windows. So nothing is capped and no group grows with the input.
 
@@ -32,8 +32,8 @@ HOT = 4096
 BLOCK, TASK = 2 << 20, 16 << 20
 #: Bytes of a text that are hashed at once (places take 24 bits of an anchor's rank).
 STRETCH = 1 << 20
-#: Anchors that are sketched, and segments that a task remembers to have sent.
-FLUSH, SEEN = 1 << 20, 1 << 18
+#: Anchors that are counted at once, cells of a row of the sketch for each that repeats, and segments that a task remembers to have sent.
+FLUSH, CELLS, SEEN = 1 << 20, 5, 1 << 18
 _PLACE = (1 << 24) - 1
 
 
@@ -172,7 +172,9 @@ def _stretches(column: pa.Array, least: int) -> Iterator[tuple[Slice, int]]:
 _PIECES = "unit string, multi boolean, start bigint, key bigint, seg binary, windows bigint, body binary"
 
 
-def _sketched(units: DataFrame, least: int, size: int, width: int) -> DataFrame:
+def _keys(units: DataFrame, least: int, size: int) -> DataFrame:
+    """key, n: how often each anchor occurs in batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
@@ -180,12 +182,28 @@ def _sketched(units: DataFrame, least: int, size: int, width: int) -> DataFrame:
                 held.append(Windows(s, least, size).key)
                 n += len(held[-1])
                 if n >= FLUSH:
-                    yield sketch.partial(np.concatenate(held), width, 2)
+                    yield counted(held)
                     held, n = [], 0
         if n:
-            yield sketch.partial(np.concatenate(held), width, 2)
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    return units.mapInArrow(lean(run), "key bigint, n bigint")
+
+
+def _repeated(units: DataFrame, work: Work, least: int, size: int) -> tuple[str, int]:
+    """A sketch that tells (never wrongly no) whether an anchor occurs more than once. Anchors are counted exactly, so it holds those that do, a small part of all."""
+    often = work.keep(_keys(units, least, size).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "repeated")
+    width = sketch.width_for(CELLS * often.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield sketch.partial(b.column(0).to_numpy().view(np.uint64), width, 1)
 
-    return units.mapInArrow(lean(run), sketch.SCHEMA)
+    return sketch.merge(often.mapInArrow(lean(run), sketch.SCHEMA), width, 1, work, "anchors")
 
 
 def _pieces(units: DataFrame, least: int, size: int, kept: tuple[str, int]) -> DataFrame:
@@ -262,12 +280,10 @@ def _blocks(segs: DataFrame, least: int, tasks: int) -> DataFrame:
     return segs.select("key", "seg", "body").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lean(run), "seg binary, p bigint, q bigint")
 
 
-def _shared(units: DataFrame, work: Work, least: int, sizes: list[int], amount: int) -> DataFrame:
-    """units: unit, multi (there are others like it), body -> unit, p, q: starts of windows that start elsewhere, too; ranges may repeat. amount: bytes of all bodies."""
+def _shared(units: DataFrame, work: Work, least: int, sizes: list[int]) -> DataFrame:
+    """units: unit, multi (there are others like it), body -> unit, p, q: starts of windows that start elsewhere, too; ranges may repeat."""
     spark, size = work.spark, sizes[0]
-    width = sketch.width_for(2 * amount // (least - size + 2))
-    kept = sketch.merge(_sketched(units, least, size, width), width, 2, work, "anchors")
-    pieces = work.keep(_pieces(units, least, size, kept), "pieces")
+    pieces = work.keep(_pieces(units, least, size, _repeated(units, work, least, size)), "pieces")
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     segs = pieces.groupBy("seg").agg(first("body"), first("key"), first("windows"), (F.max("multi") | (F.count("*") > 1)).alias("multi"))
     segs = work.keep(segs, "segments")
@@ -279,7 +295,7 @@ def _shared(units: DataFrame, work: Work, least: int, sizes: list[int], amount:
     if some:
         again = segs.join(hot, "key", "left_semi").select(F.hex("seg").alias("unit"), "multi", "body")
         again = work.keep(again, "again")
-        deeper = _shared(again, work, least, sizes[1:], again.agg(F.sum(F.octet_length("body"))).first()[0])
+        deeper = _shared(again, work, least, sizes[1:])
         hits = hits.union(deeper.select(F.unhex("unit").alias("seg"), "p", "q"))
     # a segment that occurs more than once is shared as a whole, whatever else its windows are found in
     whole = segs.where("multi").select("seg", F.lit(0).cast("long").alias("p"), F.col("windows").alias("q"))
@@ -340,8 +356,7 @@ def remove(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col
     single = _among(texts.where(long), listed, False).select(F.col("t").alias("unit"), F.lit(False).alias("multi"), "body")
     often = work.keep(_among(texts.where(long), listed, True).groupBy("t").agg((F.count("*") > 1).alias("multi"), F.first("body").alias("body")), "often")
     units = single.union(often.select(F.col("t").alias("unit"), "multi", "body"))
-    amount = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    found = _shared(units, work, least, sizes, amount).withColumnRenamed("unit", "t")
+    found = _shared(units, work, least, sizes).withColumnRenamed("unit", "t")
     found = found.join(copies, "t", "left_anti").groupBy("t").agg(F.collect_set(F.struct("p", "q")).alias("ranges"))  # copies go whole
     found = work.keep(found, "found")
 
