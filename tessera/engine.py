@@ -61,6 +61,8 @@ class Engine:
         embedded = stores.embed(found, self.embedder, s.dim).withColumn("ingest", F.lit(number).cast("long"))
         self.chunks_store.add(embedded.observe(seen, F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("embedded"), F.count("error").alias("failed")))
         unread = self._grow_graph()
+        if s.index == "eager":
+            self.build_index()
         of = {k: F.lit(v).cast("long").alias(k) for k, v in {**seen.get, "unread": unread}.items()}
         documents = self.chunks_store.scan(number - 1).agg(F.countDistinct("doc_id").alias("documents"))
         store = self.graph_store
@@ -83,9 +85,11 @@ class Engine:
             answers = extraction.ask_each(new.select("vec_id", "page_content"), self.generator, self.template)
             answered = cut(answers.observe(asked, F.count("error").alias("unread")))
             unread = asked.get["unread"]
-            stated, pairs = extraction.ensure_nodes(extraction.relations(answered, custom=self.parser), named)
-            named = named.unionByName(stated.where("created").select("node_id", "type", "name", "vec_id"))
-            pairs = pairs.select("src", "dst", "type", "weight")
+            triples = extraction.relations(answered, custom=self.parser)
+            ends, pairs = extraction.ensure_nodes(triples, named)
+            named = named.unionByName(ends.where("created").select("node_id", "type", "name", "vec_id"))
+            pairs = pairs.select("src", "dst", "type", F.col("mentions").cast("double").alias("weight"))  # counted, so that growth adds up to a rebuild
+            said = said.unionByName(extraction.stated(triples), allowMissingColumns=True)
         else:
             near = extraction.cooccurrence(found).select("src", "dst", F.lit("NEAR").alias("type"), F.col("weight").cast("double"))
             pairs = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight"))
@@ -107,7 +111,7 @@ class Engine:
         """What a search looks into: the index for the metric if there is one that still holds, else all vectors."""
         note = Versions(self.spark, f"{self.path}/index").manifest()["note"].get(metric)
         if not note or self.chunks_store.deleted_since(note["upto"]):
-            return self._vectors()
+            return self._vectors() if self.settings.index == "none" else self.build_index(metric)
         return VectorIndex(self.spark, note["path"]).beside(self.chunks_store.scan(note["upto"]).where("embedding IS NOT NULL"))
 
     def _embedded(self, questions: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ class Settings:
     dim: int = 64
     top_k: int = 4
     search_kind: str = "similarity"
+    index: str = "none"  # of vectors: eager (built after each ingest), lazy (built by the first search that lacks it) or none (only what build_index makes)
     least_relevance: float = 0.5
     seed_strategy: str = "vector"
     fallback: bool = True
@@ -54,6 +55,8 @@ class Settings:
             raise ValueError("alpha must be between 0 and 1, top_k and chunk_size positive, max_hops not negative")
         if self.seed_strategy not in ("vector", "fuzzy"):
             raise ValueError("seed_strategy is vector or fuzzy")
+        if self.index not in ("none", "lazy", "eager"):
+            raise ValueError("index is none, lazy or eager")
 
     @classmethod
     def of(cls, given: Mapping[str, Any]) -> Settings:

@@ -6,6 +6,7 @@ index; the index counts within a document, so ids do not depend on the order of
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ class Options:
     kind: str = "recursive"
     size: int = 1000
     overlap: int = 200
+    tokenizer: str | None = None  # of kind token: a file of a model's tokenizer, as the tokenizers library reads it
 
     def __post_init__(self) -> None:
         if self.size <= 0:
@@ -84,11 +86,31 @@ def split_tokens(text: str, size: int, overlap: int) -> list[str]:
     return ["".join(tokens[i : i + size]).strip() for i in range(0, max(1, len(tokens) - overlap), step)] if text.strip() else []
 
 
+@functools.lru_cache(4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True  # their strings in a text are ordinary text
+    return out
+
+
+def split_model_tokens(text: str, size: int, overlap: int, path: str) -> list[str]:
+    """Windows of a model's tokens, cut before the character that a token begins with: a character of several tokens is never cut, and goes to the later window."""
+    starts = [a for a, _ in _tokenizer(path).encode(text, add_special_tokens=False).offsets]
+    step = max(1, size - overlap)
+    ends = [*starts, len(text)]
+    windows = ((0 if i == 0 else starts[i], ends[min(i + size, len(starts))]) for i in range(0, max(1, len(starts) - overlap), step)) if starts else ()
+    return [c for c in (text[a:b].strip() for a, b in windows) if c]
+
+
 def chunk_one(text: str, o: Options) -> list[str]:
     if o.kind == "none":
         return [text]
     if o.kind == "header":
         return split_headers(text)
+    if o.kind == "token" and o.tokenizer:
+        return split_model_tokens(text, o.size, o.overlap, o.tokenizer)
     if o.kind == "token":
         return split_tokens(text, o.size, o.overlap)
     return split_text(text, SEPARATORS[o.kind], o.size, o.overlap)

@@ -178,6 +178,13 @@ def ensure_nodes(triples: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
     return nodes.drop("key"), edges
 
 
+def stated(triples: DataFrame) -> DataFrame:
+    """node_id, vec_id, mention_index, name, kind, context: each end of each triple as a mention of its node, with the statement as its context."""
+    said = F.concat_ws(" ", "subject", "relationship", "object")
+    ends = triples.select("vec_id", "pos", said.alias("context"), F.posexplode(F.array("subject", "object")).alias("side", "name"))
+    return ends.select(canonical(F.col("name")).alias("node_id"), "vec_id", (2 * F.col("pos") + F.col("side")).alias("mention_index"), "name", F.lit("ENTITY").alias("kind"), "context")
+
+
 def parse_terms(text: Column, most: int) -> Column:
     """Suggested terms: a JSON list, else lines without bullets and quotes; ordered distinct, at most `most`."""
     listed = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), "array<string>")

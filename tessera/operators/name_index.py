@@ -119,13 +119,18 @@ class NameIndex:
         broken = lambda m: F.floor(BROKEN * m * (1 - F.col("theta")) + 1e-6)
         is_open = (F.col("theta") <= 0) | (broken(F.col("m")) >= F.col("own_pairs"))
         shut = q.where(~is_open)
-        near = asked.select("query_id", "pair", "place").join(shut, "query_id").join(self.postings, "pair")
-        by_pair = near.where(F.when(F.col("length") >= F.col("m"), F.col("place") <= broken(F.col("m")) + 1).otherwise(F.col("name_place") <= broken(F.col("length")) + 1))
+        near = asked.select("query_id", "pair", "place").join(shut, "query_id")
+        # names no shorter than the text: one of the text's rarest pairs; shorter ones: one of their own. Frequent pairs are the last of either, so their lists are left out before the joins
+        longer = near.where(F.col("place") <= broken(F.col("m")) + 1).join(self.postings, "pair").where(F.col("length") >= F.col("m"))
+        loosest = shut.agg(F.min("theta").alias("loosest"), F.max("m").alias("longest"))
+        rare = self.postings.join(F.broadcast(loosest), F.col("length") < F.col("longest")).where(F.col("name_place") <= F.floor(BROKEN * F.col("length") * (1 - F.col("loosest")) + 1e-6) + 1).drop("loosest", "longest")
+        shorter = near.join(rare, "pair").where((F.col("length") < F.col("m")) & (F.col("name_place") <= broken(F.col("length")) + 1))
+        by_pair = longer.select("query_id", "text", "value").union(shorter.select("query_id", "text", "value"))
         # names shorter than the text of which all pairs may be broken, by length and number of pairs
         kinds = self.names.select("length", "pairs").distinct()
         short = shut.select("query_id", "text", "theta", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("length")).join(kinds, "length")
         by_length = short.where(broken(F.col("length")) >= F.col("pairs")).join(self.names, ["length", "pairs"])
-        chosen = by_pair.select("query_id", "text", "value").union(by_length.select("query_id", "text", "value")).distinct()
+        chosen = by_pair.union(by_length.select("query_id", "text", "value")).distinct()
         return cut(chosen), q.where(is_open).select("query_id", "text")
 
     def fuzzy(self, queries: DataFrame, k: int, least: float = 0.0, scale: float = 4.5, properties: list[str] | None = None, type_score: Callable[[str, pd.Series], np.ndarray] = by_ratio) -> DataFrame:

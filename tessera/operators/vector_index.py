@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import vectors as flat
 
-#: Vectors that centroids are fitted to, and cells of an index.
-MOST_SAMPLE, MOST_CELLS = 20_000, 4096
+#: Vectors that centroids are fitted to, cells of an index, and distances of queries to centroids that are held at once: more queries are searched in groups.
+MOST_SAMPLE, MOST_CELLS, MOST_PAIRS = 20_000, 4096, 4_000_000
+#: Vectors whose distances to all centroids are held at once.
+ROWS = 1000
 ROUNDS = 8
 #: Cell of vectors that are null or of another dimension; it is never searched.
 NO_CELL = -1
@@ -35,6 +37,11 @@ def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
 
 
+def _own(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector."""
+    return np.concatenate([_squared(x[i : i + ROWS], centres).argmin(1) for i in range(0, len(x), ROWS)]) if len(x) else np.zeros(0, np.int64)
+
+
 def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids by k-means, from spread-out rows of the sample; the same for the same sample."""
     rng = np.random.default_rng(7)
@@ -42,7 +49,7 @@ def fit(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     cells = min(cells, len(distinct))
     centres = distinct[rng.choice(len(distinct), cells, replace=False)]
     for _ in range(rounds):
-        own = _squared(sample, centres).argmin(1)
+        own = _own(sample, centres)
         n = np.bincount(own, minlength=cells)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
@@ -86,7 +93,7 @@ class VectorIndex:
                 cell, r = np.full(b.num_rows, NO_CELL, np.int64), np.zeros(b.num_rows)
                 if len(at) and len(centres):
                     x = _units(e) if unit else e
-                    own = _squared(x, centres).argmin(1)
+                    own = _own(x, centres)
                     cell[at], r[at] = own, np.sqrt(((x - centres[own]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(r), pa.array(cell)], ["vec_id", "embedding", "radius", "cell"])
 
@@ -98,6 +105,11 @@ class VectorIndex:
         places.join(stats, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
         return cls(spark, path)
 
+    @property
+    def group(self) -> int:
+        """Queries that are searched at once."""
+        return max(1, min(flat.MOST_QUERIES, MOST_PAIRS // max(1, len(self.cells))))
+
     def scan(self) -> DataFrame:
         """All vectors: vec_id, embedding."""
         kept = self._table().select("vec_id", "embedding")
@@ -130,7 +142,7 @@ class VectorIndex:
         low = np.maximum(np.maximum(d - self.most, self.least - d), 0)
         if len(self.centres) > 1:
             own = d.argmin(1)
-            apart = np.sqrt(_squared(self.centres, self.centres))[own]
+            apart = np.sqrt(_squared(self.centres[own], self.centres))
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = np.where(apart > 1e-9, (d**2 - d.min(1)[:, None] ** 2) / (2 * apart), 0)
             low = np.maximum(low, plane)
@@ -207,7 +219,7 @@ class VectorIndex:
             rows = [(int(i), int(s.sum()), int(self.sizes[s].sum()), float(self.sizes[s].sum() / total)) for i, s in zip(ids, seen, strict=True)]
             return self.spark.createDataFrame(rows, schema)
 
-        return flat.in_groups(queries.select("query_id", "embedding"), flat.MOST_QUERIES, some)
+        return flat.in_groups(queries.select("query_id", "embedding"), self.group, some)
 
 
 def _slack(d: np.ndarray) -> np.ndarray:

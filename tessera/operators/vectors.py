@@ -48,8 +48,11 @@ def nearest(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int, metric
         raise ValueError(f"unknown metric {metric}")
     if not isinstance(vectors, DataFrame) and vectors.metric != metric:
         raise ValueError(f"an index for {vectors.metric} does not answer {metric}")
-    look = (lambda some: scanned(some, vectors, k, metric)) if isinstance(vectors, DataFrame) else (lambda some: vectors.search(some, k))
-    found = in_groups(queries.select("query_id", "embedding"), MOST_QUERIES, lambda some: ranked(look(some), k))
+    if isinstance(vectors, DataFrame):
+        most, look = MOST_QUERIES, lambda some: scanned(some, vectors, k, metric)
+    else:
+        most, look = vectors.group, lambda some: vectors.search(some, k)
+    found = in_groups(queries.select("query_id", "embedding"), most, lambda some: ranked(look(some), k))
     score: Column = F.exp(-F.col("distance")) if metric == "l2" else F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance")))
     return found.withColumn("score", score)
 

@@ -445,3 +445,21 @@ def test_latency_in_a_sketch(spark):
     d = spark.range(1, 1001).select(F.col("id").cast("double").alias("ms"))
     t = evaluate.latency(d, "ms", accuracy=1000).first()
     assert abs(t.median - 500) <= 2 and abs(t.p99 - 990) <= 2 and t.n == 1000
+
+
+def test_windows_of_a_models_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = Tokenizer.from_file(path).encode
+    text = "The quick brown fox, jumps over  the lazy dog! naïve 中文😀 text " * 40
+    whole = chunking.split_model_tokens(text, 50, 0, path)
+    assert "".join(whole).replace(" ", "") == text.replace(" ", "") and len(whole) == -(-len(encode(text.strip()).ids) // 50)
+    assert all(len(encode(c).ids) <= 53 for c in whole)
+    overlapping = chunking.split_model_tokens(text, 50, 10, path)
+    assert len(overlapping) > len(whole) and all(a[-12:].strip()[-6:] in b for a, b in zip(overlapping, overlapping[1:], strict=False))
+    assert chunking.split_model_tokens("", 5, 0, path) == chunking.split_model_tokens("  ", 5, 0, path) == [] and chunking.split_model_tokens("a<|endoftext|>b", 50, 0, path) == ["a<|endoftext|>b"]
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    got = [r.page_content for r in chunking.chunk(docs, chunking.Options("token", 50, 0, path)).orderBy("doc_id", "chunk_index").collect()]
+    assert got == whole

@@ -35,6 +35,17 @@ def test_equals_the_flat_search_row_for_row(spark, tmp_path, many, metric, cells
     assert got(vectors.nearest(queries, index, k, metric)) == got(vectors.nearest(queries, df, k, metric))
 
 
+def test_more_queries_than_are_held_at_once(spark, tmp_path, many, monkeypatch):
+    from tessera.operators import vector_index
+
+    _, df = many
+    queries = df.where("vec_id % 200 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = VectorIndex.build(df, f"file://{tmp_path}/groups", "l2", 20)
+    monkeypatch.setattr(vector_index, "MOST_PAIRS", 100)
+    assert index.group == 5 and got(vectors.nearest(queries, index, 4)) == got(vectors.nearest(queries, df, 4))
+    assert index.visits(queries, 4).count() == queries.count()
+
+
 def test_share_that_is_looked_into_falls_with_the_cells(spark, tmp_path, many):
     _, df = many
     queries = df.where("vec_id % 50 = 0 and vec_id not between 100 and 260").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -126,6 +126,21 @@ def test_growth_equals_a_rebuild_and_writes_what_is_new(spark, tmp_path, monkeyp
     assert said == {("Bob Jones", 30, "Acme Corp builds rockets with Bob Jones"), ("Bob Jones", 13, "Jane Doe met Bob Jones and Alice Smith")}
 
 
+def test_growth_by_a_generator_equals_a_rebuild(spark, tmp_path):
+    def says(prompts):
+        return ["Alice | WORKS_FOR | Acme Corp\nAcme corp | OWNS | Plant" if "Acme" in p else "Bob Jones | KNOWS | Alice" for p in prompts]
+
+    settings = Settings(chunk_size=80, chunk_overlap=0)
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    whole, grown = (Engine(spark, f"file://{tmp_path}/{n}", settings, generator=says) for n in ("whole", "grown"))
+    whole.ingest(docs)
+    for i in range(1, 6):
+        grown.ingest(docs.where(F.col("doc_id") == i))
+    assert graph_of(grown) == graph_of(whole) and ("acme corp", "plant", "OWNS", 3.0) in graph_of(grown)[1]
+    plant = grown.graph_store.mentions(spark.createDataFrame([("plant",)], "node_id string")).collect()
+    assert len(plant) == 3 and {(r.name, r.kind, r.start, r.context) for r in plant} == {("Plant", "ENTITY", None, "Acme corp OWNS Plant")}
+
+
 def test_an_ingest_that_broke_off_is_caught_up_with(spark, tmp_path, monkeypatch):
     settings = Settings(chunk_size=80, chunk_overlap=0)
     docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
@@ -166,6 +181,23 @@ def test_searches_through_an_index(spark, tmp_path):
     assert isinstance(e._searched(), type(docs))
 
 
+def test_when_an_index_is_built(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "Acme Corp rockets")], "query_id bigint, text string")
+    made = lambda e: Versions(spark, f"{e.path}/index").version()
+    of = lambda kind: Engine(spark, f"file://{tmp_path}/{kind}", Settings(chunk_size=80, chunk_overlap=0, index=kind))
+    eager, lazy, none = (of(k) for k in ("eager", "lazy", "none"))
+    for e in (eager, lazy, none):
+        e.ingest(docs)
+    assert (made(eager), made(lazy), made(none)) == (1, 0, 0)
+    found = [sorted(map(tuple, e.vector(asked).collect())) for e in (eager, lazy, none)]
+    assert found[0] == found[1] == found[2] and (made(eager), made(lazy), made(none)) == (1, 1, 0)
+    lazy.chunks_store.delete(lazy.chunks_store.scan().where("doc_id = 2").select("vec_id"))
+    assert all("rockets" not in r.page_content for r in lazy.vector(asked).collect()) and made(lazy) == 2
+    with pytest.raises(ValueError, match="index is"):
+        Settings(index="other")
+
+
 def test_the_whole_graph_is_ranked_without_a_limit_of_nodes(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
     e = Engine(spark, f"file://{tmp_path}/e", Settings(chunk_size=80, chunk_overlap=0, max_nodes=0, max_hops=5))
