@@ -11,6 +11,7 @@ How much that saves depends on the vectors: well on clusters, hardly on noise of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,11 +77,14 @@ class VectorIndex:
         if metric not in ("l2", "cosine"):
             raise ValueError(f"unknown metric {metric}")
         spark, v = vectors.sparkSession, vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        given = v.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, MOST_SAMPLE)).collect()
+        n, most, place = v.count(), min(sample, MOST_SAMPLE), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+        some = v.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+        if n > 4 * most:  # before the sort, of which each task sends its best
+            some = some.where(place < math.ceil((1 << 40) * 2 * most / n))
+        given = some.orderBy(place, "vec_id").limit(most).collect()
         sizes = [len(r.embedding) for r in given]
         dim = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 1
         rows = np.array([r.embedding for r in given if len(r.embedding) == dim], np.float64).reshape(-1, dim)
-        n = v.count()
         wanted = min(MOST_CELLS, max(1, cells or int(n**0.5)))
         unit = metric == "cosine"
         centres = fit(_units(rows) if unit else rows, wanted) if len(rows) else np.zeros((0, dim))

@@ -144,13 +144,13 @@ def test_push_of_all_equals_the_power_iteration(spark):
 def test_push_equals_the_bounded_search_on_small_neighbourhoods(spark):
     edges = some_edges(spark)
     seeds = spark.createDataFrame([(1, "v1", 1.0), (2, "v5", 0.5)], "query_id bigint, node_id string, score double")
-    bounded = pagerank.personalised_pagerank(seeds, edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight")), iterations=30, hops=60)
+    bounded = pagerank.personalised_pagerank(seeds, edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight")), iterations=15, hops=20)
     want = {(r.query_id, r.node_id): r.score for r in bounded.collect()}
-    got = {(r.query_id, r.node_id): r.score for r in pagerank.forward_push(seeds, pagerank.transitions(edges), least=0.0, rounds=30).collect()}
+    got = {(r.query_id, r.node_id): r.score for r in pagerank.forward_push(seeds, pagerank.transitions(edges), least=0.0, rounds=15).collect()}
     assert len(want) > 60 and got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("least", [1e-2, 1e-3, 1e-5])
+@pytest.mark.parametrize("least", [1e-2, 1e-4])
 def test_push_stays_within_its_bound(spark, least):
     edges = some_edges(spark, 300, 900)
     seeds = spark.createDataFrame([(1, "v1", 1.0)], "query_id bigint, node_id string, score double")

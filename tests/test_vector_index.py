@@ -56,6 +56,15 @@ def test_share_that_is_looked_into_falls_with_the_cells(spark, tmp_path, many):
     assert shares[0] == 1 and shares[0] > 2 * shares[1] > 4 * shares[2]
 
 
+def test_a_sample_is_enough(spark, tmp_path, many):
+    """Centroids from a few vectors, which are chosen before they are sorted: coarser cells, the same rows."""
+    _, df = many
+    queries = df.where("vec_id % 300 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = VectorIndex.build(df, f"file://{tmp_path}/sampled", "l2", 30, sample=50)
+    assert 5 < len(index.cells) <= 30 and index.sizes.sum() == 3000
+    assert got(vectors.nearest(queries, index, 4)) == got(vectors.nearest(queries, df, 4))
+
+
 def test_bounds_hold(spark, tmp_path, many):
     x, df = many
     index = VectorIndex.build(df, f"file://{tmp_path}/bounds", "l2", 50)
