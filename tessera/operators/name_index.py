@@ -53,13 +53,33 @@ class NameIndex:
         self.spark = nodes.sparkSession
         self.nodes = cut(nodes.withColumn("value", F.lower("name")))
         values = self.nodes.where("value IS NOT NULL").select("value").distinct().withColumn("p", pairs_of(F.col("value")))
-        values = cut(values.select("value", F.length("value").alias("length"), F.size("p").alias("pairs"), "p"))
-        self.names = values.drop("p")
-        posted = values.select("value", "length", F.explode("p").alias("pair"))
-        self.rarity = cut(posted.groupBy("pair").agg(F.count("*").alias("names")))
-        place = F.row_number().over(Window.partitionBy("value").orderBy("names", "pair"))
-        self.postings = cut(posted.join(self.rarity, "pair").select("pair", "value", "length", place.alias("name_place")))
-        self.terms = cut(self.nodes.where("name IS NOT NULL").select("node_id", F.explode(terms_of(F.col("name"))).alias("term")))
+        self.values = cut(values.select("value", F.length("value").alias("length"), F.size("p").alias("pairs"), "p"))
+        self.names = self.values.drop("p")
+        self.rarity = cut(self.values.select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count("*").alias("names")))
+
+    def _posted(self, asked: DataFrame) -> DataFrame:
+        """pair, value, length of the names that have one of the pairs asked for: a pass over the names, without a list of all pairs of all names."""
+        wanted = asked.select("pair").distinct()
+        return self.values.select("value", "length", F.explode("p").alias("pair")).join(wanted, "pair", "left_semi")
+
+    @staticmethod
+    def _once(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each different text once, under the least query_id that asks it; and query_id, asked_as of all queries."""
+        given = cut(queries.where("text IS NOT NULL").select("query_id", "text"))
+        texts = cut(given.groupBy("text").agg(F.min("query_id").alias("query_id")).select("query_id", "text"))
+        return texts, given.join(texts.withColumnRenamed("query_id", "asked_as"), "text").select("query_id", "asked_as")
+
+    @staticmethod
+    def _for_all(found: DataFrame, asked: DataFrame) -> DataFrame:
+        """What was found for each text, for each query that asks it."""
+        rest = [c for c in found.columns if c != "query_id"]
+        return asked.join(found.withColumnRenamed("query_id", "asked_as"), "asked_as").select("query_id", *rest)
+
+    def _nodes_of(self, values: DataFrame, k: int, columns: list[str]) -> DataFrame:
+        """The first k nodes by id of each combination of columns, of the names in values: as all of one combination score the same for a text, no other can be among its best k."""
+        place = F.row_number().over(Window.partitionBy(*columns).orderBy("node_id"))
+        some = self.nodes.select("node_id", *columns).join(values.select("value").distinct(), "value", "left_semi")
+        return some.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query_id, text, pair, names that have it, place (rarest first: pairs that no name has lead, as none shares them)."""
@@ -87,9 +107,10 @@ class NameIndex:
         each = queries.select("query_id", F.lower("text").alias("text")).join(F.broadcast(listed)).select("query_id", "text", F.explode("types").alias("t")).select("query_id", "text", "t.type")
         return cut(each.mapInPandas(run, "query_id bigint, text string, type string, type_score double").select("query_id", "type", "type_score"))
 
-    def _scored(self, compared: DataFrame, types: DataFrame, properties: list[str]) -> DataFrame:
-        """query_id, node_id, raw of the nodes of compared names, added up as the full scan does."""
-        at = compared.join(self.nodes.select("node_id", "type", "value", *properties), "value")
+    def _scored(self, compared: DataFrame, types: DataFrame, k: int, properties: list[str]) -> DataFrame:
+        """query_id, node_id, raw of the nodes of compared names, added up as the full scan does; of nodes that look the same the first k."""
+        compared = cut(compared)
+        at = compared.join(self._nodes_of(compared, k, ["value", "type", *properties]), "value")
         at = at.join(types.withColumnsRenamed({"query_id": "q", "type": "t"}), (F.col("query_id") == F.col("q")) & F.col("type").eqNullSafe(F.col("t")))
         raw = F.col("ratio") * 0.03 + F.col("type_score")
         if not properties:
@@ -106,10 +127,11 @@ class NameIndex:
         """query_id, text, value of all names that a text's best k nodes may have; and the texts that are open to all names, which are left out of it."""
         asked = self._asked(queries)
         look = asked.where(F.col("names") > 0).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("nth") <= RAREST)
-        look = look.select("query_id", "text", "pair").join(self.postings.select("pair", "value"), "pair").groupBy("query_id", "text", "value").agg(F.count("*").alias("shared"))
+        look = cut(look.select("query_id", "text", "pair"))
+        look = look.join(self._posted(look).select("pair", "value"), "pair").groupBy("query_id", "text", "value").agg(F.count("*").alias("shared"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), F.length("value"), "value"))
         look = look.withColumn("nth", nth).where(F.col("nth") <= max(FIRST_NAMES, 4 * k)).select("query_id", "text", "value")
-        first = self._scored(self._compared(look), types, properties)
+        first = self._scored(self._compared(look), types, k, properties)
         first = first.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw")))).where(F.col("nth") == k)
         tau = first.select("query_id", F.least("raw", F.lit(scale)).alias("tau"))  # scores above scale are equal
         best_type = types.groupBy("query_id").agg(F.max("type_score").alias("best_type"))
@@ -119,11 +141,14 @@ class NameIndex:
         broken = lambda m: F.floor(BROKEN * m * (1 - F.col("theta")) + 1e-6)
         is_open = (F.col("theta") <= 0) | (broken(F.col("m")) >= F.col("own_pairs"))
         shut = q.where(~is_open)
-        near = asked.select("query_id", "pair", "place").join(shut, "query_id")
-        # names no shorter than the text: one of the text's rarest pairs; shorter ones: one of their own. Frequent pairs are the last of either, so their lists are left out before the joins
-        longer = near.where(F.col("place") <= broken(F.col("m")) + 1).join(self.postings, "pair").where(F.col("length") >= F.col("m"))
+        near = cut(asked.select("query_id", "pair", "place").join(shut, "query_id"))
+        # names no shorter than the text: one of the text's rarest pairs; shorter ones: one of their own, whose order is found for names below the longest text only
+        rarest = near.where(F.col("place") <= broken(F.col("m")) + 1)
+        longer = rarest.join(self._posted(rarest), "pair").where(F.col("length") >= F.col("m"))
         loosest = shut.agg(F.min("theta").alias("loosest"), F.max("m").alias("longest"))
-        rare = self.postings.join(F.broadcast(loosest), F.col("length") < F.col("longest")).where(F.col("name_place") <= F.floor(BROKEN * F.col("length") * (1 - F.col("loosest")) + 1e-6) + 1).drop("loosest", "longest")
+        below = self.values.join(F.broadcast(loosest), F.col("length") < F.col("longest")).select("value", "length", "loosest", F.explode("p").alias("pair")).join(self.rarity, "pair")
+        own = F.row_number().over(Window.partitionBy("value").orderBy("names", "pair"))
+        rare = below.withColumn("name_place", own).where(F.col("name_place") <= F.floor(BROKEN * F.col("length") * (1 - F.col("loosest")) + 1e-6) + 1).select("pair", "value", "length", "name_place")
         shorter = near.join(rare, "pair").where((F.col("length") < F.col("m")) & (F.col("name_place") <= broken(F.col("length")) + 1))
         by_pair = longer.select("query_id", "text", "value").union(shorter.select("query_id", "text", "value"))
         # names shorter than the text of which all pairs may be broken, by length and number of pairs
@@ -136,10 +161,11 @@ class NameIndex:
     def fuzzy(self, queries: DataFrame, k: int, least: float = 0.0, scale: float = 4.5, properties: list[str] | None = None, type_score: Callable[[str, pd.Series], np.ndarray] = by_ratio) -> DataFrame:
         """query_id, node_id, score, rank: the best k nodes of each query (query_id, text) by 0.03 times the partial ratio of the name, the score of the type, and 0.005 times that of each other property, if that is
         at least `least`; over scale and at most 1. The same rows as graph.fuzzy_seeds gives."""
-        more, given = properties or [], cut(queries.where("text IS NOT NULL").select("query_id", "text"))
+        more = properties or []
+        given, asked = self._once(queries)
         types = self._types(given, type_score)
         chosen, open_texts = self.candidates(given, types, k, least, scale, more)
-        found = self._scored(self._compared(chosen), types, more).where(F.col("raw") >= least)
+        found = self._scored(self._compared(chosen), types, k, more).where(F.col("raw") >= least)
         found = found.select("query_id", "node_id", F.least(F.lit(1.0), F.col("raw") / scale).alias("score"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
         found = found.withColumn("rank", place).where(F.col("rank") <= k)
@@ -147,30 +173,35 @@ class NameIndex:
         def score(text: str, pdf: pd.DataFrame) -> np.ndarray:
             return sum((0.005 * graph.ratios(text, pdf[p]) for p in more), graph.ratios(text, pdf["name"]) * 0.03 + type_score(text, pdf["type"]))
 
-        return found.unionByName(graph.text_seeds(open_texts, self.nodes, k, score, ["name", "type", *more], least, scale))
+        return self._for_all(found.unionByName(graph.text_seeds(open_texts, self.nodes, k, score, ["name", "type", *more], least, scale)), asked)
 
     def compared(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, compared: names that a fuzzy lookup of each query compares in its second step."""
-        given = cut(queries.where("text IS NOT NULL").select("query_id", "text"))
+        given, asked = self._once(queries)
         chosen, open_texts = self.candidates(given, self._types(given, by_ratio), k, 0.0, 4.5, [])
         whole = open_texts.select("query_id").join(F.broadcast(self.names.agg(F.count("*").alias("compared"))))
         counts = given.select("query_id").join(chosen.groupBy("query_id").agg(F.count("*").alias("compared")), "query_id", "left").join(open_texts.select("query_id"), "query_id", "left_anti")
-        return counts.select("query_id", F.coalesce("compared", F.lit(0)).alias("compared")).union(whole)
+        return self._for_all(counts.select("query_id", F.coalesce("compared", F.lit(0)).alias("compared")).union(whole), asked)
 
     def keyword(self, queries: DataFrame, k: int, min_score: float = 1e-9) -> DataFrame:
-        """The rows of graph.keyword_seeds: only nodes that share a term with the text, or whose name holds it (and so its rarest pair), or whose type does, can score."""
-        q = queries.where("text IS NOT NULL").select("query_id", "text")
+        """The rows of graph.keyword_seeds: only nodes that share a term with the text, or whose name holds it (and so its rarest pair), or the first k of a type that holds it, can score among the best k."""
+        q, asked = self._once(queries)
         q = cut(q.withColumn("small", F.lower("text")))
-        by_term = q.select("query_id", F.explode(terms_of(F.col("text"))).alias("term")).join(self.terms, "term").select("query_id", "node_id")
-        rarest = self._asked(q).where("place = 1").select("query_id", "text", "pair")
-        holding = rarest.join(self.postings.select("pair", "value"), "pair").where(F.contains("value", "text"))
-        by_name = holding.select("query_id", "value").join(self.nodes.select("node_id", "value"), "value").select("query_id", "node_id")
+        terms = q.select("query_id", F.explode(terms_of(F.col("text"))).alias("term"))
+        of_names = self.names.select("value", F.explode(terms_of(F.col("value"))).alias("term"))
+        by_term = of_names.join(F.broadcast(terms), "term").select("query_id", "value")
+        rarest = cut(self._asked(q).where("place = 1").select("query_id", "text", "pair"))
+        by_name = rarest.join(self._posted(rarest).select("pair", "value"), "pair").where(F.contains("value", "text")).select("query_id", "value")
+        near = cut(by_term.union(by_name).distinct())
         kinds = self.nodes.agg(F.collect_set("type").alias("types"))
-        by_type = q.join(F.broadcast(kinds)).select("query_id", "small", F.explode("types").alias("type")).where(F.contains(F.lower("type"), F.col("small")))
-        by_type = by_type.select("query_id", "type").join(self.nodes.select("node_id", "type"), "type").select("query_id", "node_id")
-        near = by_term.union(by_name).union(by_type).distinct()
+        by_type = q.join(F.broadcast(kinds)).select("query_id", "small", F.explode("types").alias("type")).where(F.contains(F.lower("type"), F.col("small"))).select("query_id", "type")
+        # nodes that have nothing but their type score the same, so the first k of a type will do
+        place = F.row_number().over(Window.partitionBy("type").orderBy("node_id"))
+        of_type = self.nodes.where("name IS NOT NULL").select("node_id", "type", "name").withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+        named = near.join(self._nodes_of(near, k, ["value", "name", "type"]), "value").select("query_id", "node_id", "name", "type")
+        some = named.union(by_type.join(of_type, "type").select("query_id", "node_id", "name", "type")).dropDuplicates(["query_id", "node_id"])
         score = graph.keyword_score(F.col("text"), F.col("name"), F.col("type"))
-        scored = near.join(q.select("query_id", "text"), "query_id").join(self.nodes.select("node_id", "name", "type"), "node_id").withColumn("score", score).where(F.col("score") >= min_score)
+        scored = some.join(q.select("query_id", "text"), "query_id").withColumn("score", score).where(F.col("score") >= min_score)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
         found = scored.where(F.length("text") >= 2).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
-        return found.unionByName(graph.keyword_seeds(q.where(F.length("text") < 2).select("query_id", "text"), self.nodes, k, min_score))
+        return self._for_all(found.unionByName(graph.keyword_seeds(q.where(F.length("text") < 2).select("query_id", "text"), self.nodes, k, min_score)), asked)
