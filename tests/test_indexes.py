@@ -167,3 +167,16 @@ def test_push_of_odd_seeds(spark):
     got = {(r.query_id, r.node_id): (r.score, r.residual) for r in pagerank.forward_push(seeds, pagerank.transitions(edges), rounds=5).collect()}
     assert got[1, "nowhere"] == (1.0, 0.0) and {q for q, _ in got} == {1, 2, 3}
     assert pagerank.forward_push(seeds.limit(0), pagerank.transitions(edges)).count() == 0
+
+
+def test_copies_of_names_and_texts_are_looked_up_once(spark):
+    """Of nodes that look the same the first k are scored, and a text that many queries ask is looked up once; the rows are those of comparing all."""
+    names = ["red ring", "blue ring", "red widget", "order 7"]
+    nodes = spark.createDataFrame([(f"k{i:04d}", names[i % 4], "Part", "") for i in range(800)], "node_id string, name string, type string, about string")
+    texts = spark.createDataFrame([(i, names[i % 3]) for i in range(30)], "query_id bigint, text string")
+    index = NameIndex(nodes)
+    given, _ = index._once(texts)
+    types = index._types(given, by_term)
+    assert given.count() == 3 and index._scored(index._compared(index.candidates(given, types, 5, 0.0, 4.5, [])[0]), types, 5, []).count() <= 3 * len(names) * 5
+    assert rows(index.fuzzy(texts, 5)) == rows(graph.fuzzy_seeds(texts, nodes, 5))
+    assert rows(index.keyword(texts, 5)) == rows(graph.keyword_seeds(texts, nodes, 5))
