@@ -32,6 +32,22 @@ def per_query(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     top = results.where(F.col("rank") <= k).select("query_id", "id", "rank")
     hits = top.join(truth.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.countDistinct("id").alias("found"), F.min("rank").alias("first"))
     n = truth.groupBy("query_id").agg(F.countDistinct("id").alias("n_truth"))
+    return _rates(n, hits)
+
+
+def per_query_of_classes(results: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """per_query where the truth of a query is all items of its class but itself: queries (query_id, class), items (id, class), one class each. The truth is counted by class and never listed, as its
+    pairs grow with the square of a class; a query that is alone in its class has no row."""
+    items, queries = items.select("id", "class").where("class IS NOT NULL").distinct(), queries.select("query_id", "class").distinct()
+    sizes = items.groupBy("class").agg(F.count("*").alias("size"))
+    itself = queries.join(items, (F.col("query_id") == F.col("id")) & (queries["class"] == items["class"]), "left_semi").select("query_id", F.lit(1).alias("own"))
+    n = queries.join(sizes, "class").join(itself, "query_id", "left").select("query_id", (F.col("size") - F.coalesce("own", F.lit(0))).alias("n_truth")).where("n_truth > 0")
+    top = results.where((F.col("rank") <= k) & (F.col("id") != F.col("query_id"))).select("query_id", "id", "rank")
+    hits = top.join(queries, "query_id").join(items, ["id", "class"]).groupBy("query_id").agg(F.countDistinct("id").alias("found"), F.min("rank").alias("first"))
+    return _rates(n, hits)
+
+
+def _rates(n: DataFrame, hits: DataFrame) -> DataFrame:
     d = n.join(hits, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
     recall = F.when(F.col("n_truth") > 0, F.col("found") / F.col("n_truth"))
     return d.select("query_id", "n_truth", "found", recall.alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), (F.col("found") == F.col("n_truth")).alias("perfect"))
