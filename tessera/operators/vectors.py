@@ -20,6 +20,8 @@ if TYPE_CHECKING:
     from tessera.operators.vector_index import VectorIndex
 
 MOST_QUERIES = 20_000
+#: Queries of a group that are compared with a block before their best are merged.
+QUERIES_AT_ONCE = 1024
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +106,18 @@ def scanned(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> Data
         ids, q = shared.value
         if not len(ids):
             return
-        best: list[list[np.ndarray]] = []
+        best: dict[int, list[np.ndarray]] = {}
         for b in batches:
             e, rows = _matrix(b.column(1), q.shape[1])
             keys = b.column(0).to_numpy(zero_copy_only=False)[rows]
             if not len(keys):
                 continue
-            best += block_best(ids, q, keys, e, k, metric)
-            if len(best) > 4 * len(ids):
-                best = [best_of(best, k)]
-        if best:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(best, k)], ["query_id", "vec_id", "distance"])
+            for at in range(0, len(ids), QUERIES_AT_ONCE):  # k rows a query are kept, as plain arrays, however many blocks and queries there are
+                part = slice(at, at + QUERIES_AT_ONCE)
+                found = block_best(ids[part], q[part], keys, e, k, metric)
+                best[at] = best_of([best[at], *found] if at in best else found, k)
+        for found in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "distance"])
 
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding")).mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
 
