@@ -180,3 +180,64 @@ def test_copies_of_names_and_texts_are_looked_up_once(spark):
     assert given.count() == 3 and index._scored(index._compared(index.candidates(given, types, 5, 0.0, 4.5, [])[0]), types, 5, []).count() <= 3 * len(names) * 5
     assert rows(index.fuzzy(texts, 5)) == rows(graph.fuzzy_seeds(texts, nodes, 5))
     assert rows(index.keyword(texts, 5)) == rows(graph.keyword_seeds(texts, nodes, 5))
+
+
+def test_nearest_nodes_equal_a_cut_of_all(spark):
+    """A bounded search keeps the same nodes as the whole one cut by hop and id, at any bound; edges of hubs are found by pairs."""
+    rnd = random.Random(7)
+    made = [(f"v{rnd.randrange(40)}", f"v{rnd.randrange(40)}", "E", rnd.choice([None, 1.0, 2.5])) for _ in range(120)] + [("v1", f"w{i:03d}", "E", 1.0) for i in range(300)]
+    edges = spark.createDataFrame(made, "src string, dst string, type string, weight double")
+    seeds = spark.createDataFrame([(i, f"v{i}", 1.0) for i in range(6)] + [(1, "v9", 1.0)], "query_id bigint, node_id string, score double")
+    for most in (1, 5, 60):
+        found = sorted(graph.breadth_first(seeds, edges, 3).collect(), key=lambda r: (r.query_id, r.hop_distance, r.node_id))
+        want = {(r.query_id, r.node_id) for i, r in enumerate(found) if r.hop_distance == 0 or sum(x.query_id == r.query_id for x in found[:i]) < most}
+        got = [tuple(r) for r in pagerank.nearest_nodes(seeds, edges, 3, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        inner = {}
+        for s, d, _, w in made:
+            for q in {q for q, n in want if n == s and (q, d) in want and s != d}:
+                for x in ((q, s, d), (q, d, s)):
+                    inner[x] = max(inner.get(x, 0.0), 1.0 if w is None else w)
+        local = {(r.query_id, r.src, r.dst): r.weight for r in pagerank.local_graph(seeds, edges, 3, most).where("dst IS NOT NULL").collect()}
+        assert local == inner
+
+
+def test_a_bounded_search_lists_no_more_than_its_bound(spark):
+    """Queries times the bound, not queries times the neighbours of a hub."""
+    edges = spark.range(3000).select(F.lit("hub").alias("src"), F.format_string("w%05d", "id").alias("dst"), F.lit("E").alias("type"), F.lit(1.0).alias("weight"))
+    seeds = spark.range(50).select(F.col("id").alias("query_id"), F.lit("hub").alias("node_id"), F.lit(1.0).alias("score"))
+    assert pagerank.nearest_nodes(seeds, edges, 3, 20).count() == 50 * 20
+
+
+def test_texts_of_passages_do_not_travel(spark):
+    """What is asked of a passage is found before it is joined to visits, and no sort or exchange of visits holds texts."""
+    edges = some_edges(spark)
+    nodes = spark.createDataFrame([(f"v{i}", "T", f"name {i}", i if i % 2 else None) for i in range(60)], "node_id string, type string, name string, vec_id bigint")
+    passages = spark.createDataFrame([(i, "text " * i) for i in range(0, 40)], "vec_id bigint, page_content string")
+    seeds = spark.createDataFrame([(i, f"v{i}", 1.0) for i in range(5)], "query_id bigint, node_id string, score double")
+    visited = graph.breadth_first(seeds, edges, 2)
+    whole = graph.node_documents(visited, nodes, edges, passages)
+    short = graph.node_documents(visited, nodes, edges, passages, of=F.md5)
+    assert sorted(whole.withColumn("page_content", F.md5("page_content")).collect()) == sorted(short.collect())
+
+
+def test_depth_first_over_a_large_hub(spark):
+    """More neighbours than the default bound: whole if the bound is lifted, an error if not."""
+    edges = spark.range(12_000).select(F.lit("hub").alias("src"), F.format_string("w%05d", "id").alias("dst"))
+    seeds = spark.createDataFrame([(1, "hub", 1.0), (2, "w00001", 1.0)], "query_id bigint, node_id string, score double")
+    found = graph.depth_first(seeds, edges, 2, most_nodes=None)
+    assert found.count() == 12_002 and found.where("query_id = 1").orderBy("visit").limit(3).collect()[2].node_id == "w00001"
+    with pytest.raises(ValueError):
+        graph.depth_first(seeds, edges, 2)
+
+
+def test_truth_by_classes_equals_listed_truth(spark):
+    from tessera.operators import evaluate
+
+    rnd = random.Random(5)
+    items = spark.createDataFrame([(i, rnd.choice([0, 1, 2, None])) for i in range(60)] + [(60, 9)], "id bigint, class int")
+    queries = items.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    results = spark.createDataFrame([(q, i, n) for q in range(0, 61, 5) for n, i in enumerate([q, *rnd.sample(range(61), 8)], 1)], "query_id bigint, id bigint, rank int").dropDuplicates(["query_id", "id"])
+    truth = queries.join(items, "class").where("id <> query_id").select("query_id", "id")
+    by_class = evaluate.per_query_of_classes(results, queries, items, 7)
+    assert sorted(by_class.collect()) == sorted(evaluate.per_query(results, truth, 7).collect()) and by_class.count() > 5
