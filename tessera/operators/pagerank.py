@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import adjacency, ratios, text_seeds
+from tessera.operators.graph import adjacency, by_query, ratios, text_seeds
 from tessera.sources.tables import cut
 
 
@@ -83,7 +83,8 @@ def personalised_pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.1
         x = rank_vector(len(names), links.src.map(number).to_numpy(int), links.dst.map(number).to_numpy(int), links.weight.to_numpy(float), teleport, alpha, iterations, tolerance)
         return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "node_id": names, "score": x / max(x.max(), 1e-300)})
 
-    return rows.groupBy("query_id").applyInPandas(run, "query_id bigint, node_id string, score double")
+    # dealt by number, as the rows are few bytes and would be put into one task
+    return by_query(rows, local.count()).groupBy("query_id").applyInPandas(run, "query_id bigint, node_id string, score double")
 
 
 def transitions(edges: DataFrame) -> DataFrame:

@@ -241,3 +241,10 @@ def test_truth_by_classes_equals_listed_truth(spark):
     truth = queries.join(items, "class").where("id <> query_id").select("query_id", "id")
     by_class = evaluate.per_query_of_classes(results, queries, items, 7)
     assert sorted(by_class.collect()) == sorted(evaluate.per_query(results, truth, 7).collect()) and by_class.count() > 5
+
+
+def test_ranks_of_queries_are_found_in_several_tasks(spark):
+    edges = some_edges(spark)
+    seeds = spark.createDataFrame([(i, f"v{i}", 1.0) for i in range(40)], "query_id bigint, node_id string, score double")
+    found = pagerank.personalised_pagerank(seeds, edges).withColumn("task", F.spark_partition_id())
+    assert found.agg(F.countDistinct("task")).first()[0] > 1
