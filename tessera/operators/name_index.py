@@ -14,6 +14,7 @@ the same rows as comparing all.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,20 @@ from tessera.sources.tables import cut
 BROKEN = 3
 #: Pairs of a text, and the names that share most of them, for a first look.
 RAREST, FIRST_NAMES = 4, 50
+#: Different terms of a text up to which a keyword lookup goes by sets of them (2 ** n - 1), beyond by each one.
+MOST_TERMS = 8
+#: Characters of the grams by which texts are looked for inside names: of a text, the longest that it has.
+GRAMS = (2, 4, 8, 16)
 
 
 def pairs_of(text: Column) -> Column:
     """Distinct pairs of neighbouring characters."""
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))))
+    return grams_of(text, 2)
+
+
+def grams_of(text: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    return F.when(F.length(text) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))))
 
 
 def terms_of(text: Column) -> Column:
@@ -52,10 +62,19 @@ class NameIndex:
     def __init__(self, nodes: DataFrame):
         self.spark = nodes.sparkSession
         self.nodes = cut(nodes.withColumn("value", F.lower("name")))
+
+    @cached_property
+    def values(self) -> DataFrame:
         values = self.nodes.where("value IS NOT NULL").select("value").distinct().withColumn("p", pairs_of(F.col("value")))
-        self.values = cut(values.select("value", F.length("value").alias("length"), F.size("p").alias("pairs"), "p"))
-        self.names = self.values.drop("p")
-        self.rarity = cut(self.values.select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count("*").alias("names")))
+        return cut(values.select("value", F.length("value").alias("length"), F.size("p").alias("pairs"), "p"))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return self.values.drop("p")
+
+    @cached_property
+    def rarity(self) -> DataFrame:
+        return cut(self.values.select(F.explode("p").alias("pair")).groupBy("pair").agg(F.count("*").alias("names")))
 
     def _posted(self, asked: DataFrame) -> DataFrame:
         """pair, value, length of the names that have one of the pairs asked for: a pass over the names, without a list of all pairs of all names."""
@@ -183,25 +202,73 @@ class NameIndex:
         counts = given.select("query_id").join(chosen.groupBy("query_id").agg(F.count("*").alias("compared")), "query_id", "left").join(open_texts.select("query_id"), "query_id", "left_anti")
         return self._for_all(counts.select("query_id", F.coalesce("compared", F.lit(0)).alias("compared")).union(whole), asked)
 
+    @staticmethod
+    def _first(nodes: DataFrame, k: int, columns: list[str]) -> DataFrame:
+        """The first k nodes by id of each combination of columns."""
+        place = F.row_number().over(Window.partitionBy(*columns).orderBy("node_id"))
+        return nodes.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+
+    def _with_terms(self, texts: DataFrame, k: int) -> DataFrame:
+        """query_id, node_id, name, type of all nodes that terms alone may bring among a text's best k.
+
+        A node that has the terms S of a text scores no more than any of its type that has all of S, so only the first k by id of those, a type, matter: for each different set that is asked, not for each text.
+        A set is looked up by its term of the fewest nodes. Before that, of nodes with the same asked terms and type the first k are kept. Texts of more than MOST_TERMS terms go by each of their terms."""
+        t = texts.select("query_id", F.array_sort(terms_of(F.col("small"))).alias("t")).where(F.size("t") > 0)
+        t = cut(t.withColumn("short", F.size("t") <= MOST_TERMS))
+        asked = t.select(F.explode("t").alias("term")).distinct()
+        named = self.nodes.where("value IS NOT NULL").select("node_id", "name", "type", F.explode(terms_of(F.col("value"))).alias("term")).join(asked, "term", "left_semi")
+        signed = named.groupBy("node_id", "name", "type").agg(F.array_sort(F.collect_list("term")).alias("has"))
+        some = cut(self._first(signed, k, ["has", "type"]))
+        by_term = some.withColumn("term", F.explode("has"))
+        size = by_term.groupBy("term").agg(F.count("*").alias("nodes"))
+        picked = F.expr("explode(sequence(1, shiftleft(1, size(t)) - 1))").alias("bits")
+        # bit i of bits says whether the i-th term is in the set
+        inside = F.expr("filter(t, (x, i) -> (shiftright(bits, i) & 1) = 1)")
+        sets = cut(t.where("short").select("query_id", "t", picked).select("query_id", inside.alias("terms")))
+        each = sets.select("terms").distinct().withColumn("term", F.explode("terms")).join(size, "term", "left")
+        rarest = each.groupBy("terms").agg(F.min(F.struct(F.coalesce("nodes", F.lit(0)).alias("nodes"), "term")).alias("least")).select("terms", "least.*").where("nodes > 0").select("terms", "term")
+        having = rarest.join(by_term, "term").where(F.size(F.array_intersect("terms", "has")) == F.size("terms")).select("terms", "node_id", "name", "type")
+        by_set = sets.join(self._first(having, k, ["terms", "type"]), "terms").select("query_id", "node_id", "name", "type")
+        by_each = t.where("NOT short").select("query_id", F.explode("t").alias("term")).join(by_term, "term").select("query_id", "node_id", "name", "type")
+        return by_set.union(by_each)
+
+    def _holding(self, texts: DataFrame, k: int) -> DataFrame:
+        """query_id, node_id, name, type of the first k nodes of each type whose name holds the text: they score the same. They are looked for by the text's gram that the fewest names have."""
+        n = F.coalesce(*(F.when(F.length("small") >= g, F.lit(g)) for g in sorted(GRAMS, reverse=True)))
+        of_size = lambda text, g: F.transform(grams_of(text, g), lambda x: F.struct(F.lit(g).alias("n"), x.alias("gram")))
+        own = texts.select("query_id", "small", n.alias("size")).where("size IS NOT NULL")
+        grams = F.explode(F.coalesce(*(F.when(F.col("size") == g, of_size(F.col("small"), g)) for g in GRAMS)))
+        own = cut(own.select("query_id", "small", grams.alias("g")).select("query_id", "small", "g.gram"))
+        sizes = [r.n for r in own.select(F.length("gram").alias("n")).distinct().collect()]
+        if not sizes:
+            return self.nodes.select(F.lit(0).cast("bigint").alias("query_id"), "node_id", "name", "type").where("false")
+        wanted = own.select("gram").distinct()
+        parts = []
+        for g in sizes:
+            placed = self.nodes.where(F.length("value") >= g).select("node_id", "value", "name", "type", F.explode(F.sequence(F.lit(1), F.length("value") - (g - 1))).alias("at"))
+            parts.append(placed.select("node_id", "value", "name", "type", F.substring("value", F.col("at"), F.lit(g)).alias("gram")))
+        listed = reduce(DataFrame.union, parts).join(wanted, "gram", "left_semi")
+        # a gram that repeats in a name gives its node twice, so places are not counted by rows
+        place = F.dense_rank().over(Window.partitionBy("gram", "value", "type").orderBy("node_id"))
+        some = cut(listed.withColumn("_n", place).where(F.col("_n") <= k).drop("_n").distinct())
+        size = some.groupBy("gram").agg(F.count("*").alias("nodes"))
+        rarest = own.join(size, "gram", "left").groupBy("query_id", "small").agg(F.min(F.struct(F.coalesce("nodes", F.lit(0)).alias("nodes"), "gram")).alias("least"))
+        rarest = rarest.select("query_id", "small", "least.*").where("nodes > 0").select("query_id", "small", "gram")
+        found = rarest.join(some, "gram").where(F.contains("value", "small")).select("query_id", "node_id", "name", "type")
+        return self._first(found, k, ["query_id", "type"])
+
     def keyword(self, queries: DataFrame, k: int, min_score: float = 1e-9) -> DataFrame:
-        """The rows of graph.keyword_seeds: only nodes that share a term with the text, or whose name holds it (and so its rarest pair), or the first k of a type that holds it, can score among the best k."""
+        """The rows of graph.keyword_seeds: only nodes that share terms with the text, or whose name holds it, or the first k of a type that holds it, can score among the best k."""
         q, asked = self._once(queries)
         q = cut(q.withColumn("small", F.lower("text")))
-        terms = q.select("query_id", F.explode(terms_of(F.col("text"))).alias("term"))
-        of_names = self.names.select("value", F.explode(terms_of(F.col("value"))).alias("term"))
-        by_term = of_names.join(F.broadcast(terms), "term").select("query_id", "value")
-        rarest = cut(self._asked(q).where("place = 1").select("query_id", "text", "pair"))
-        by_name = rarest.join(self._posted(rarest).select("pair", "value"), "pair").where(F.contains("value", "text")).select("query_id", "value")
-        near = cut(by_term.union(by_name).distinct())
+        long = q.where(F.length("text") >= 2)
         kinds = self.nodes.agg(F.collect_set("type").alias("types"))
-        by_type = q.join(F.broadcast(kinds)).select("query_id", "small", F.explode("types").alias("type")).where(F.contains(F.lower("type"), F.col("small"))).select("query_id", "type")
+        by_type = long.join(F.broadcast(kinds)).select("query_id", "small", F.explode("types").alias("type")).where(F.contains(F.lower("type"), F.col("small"))).select("query_id", "type")
         # nodes that have nothing but their type score the same, so the first k of a type will do
-        place = F.row_number().over(Window.partitionBy("type").orderBy("node_id"))
-        of_type = self.nodes.where("name IS NOT NULL").select("node_id", "type", "name").withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
-        named = near.join(self._nodes_of(near, k, ["value", "name", "type"]), "value").select("query_id", "node_id", "name", "type")
-        some = named.union(by_type.join(of_type, "type").select("query_id", "node_id", "name", "type")).dropDuplicates(["query_id", "node_id"])
+        of_type = self._first(self.nodes.where("name IS NOT NULL").select("node_id", "type", "name"), k, ["type"])
+        some = self._with_terms(long, k).union(self._holding(long, k)).union(by_type.join(of_type, "type").select("query_id", "node_id", "name", "type")).dropDuplicates(["query_id", "node_id"])
         score = graph.keyword_score(F.col("text"), F.col("name"), F.col("type"))
         scored = some.join(q.select("query_id", "text"), "query_id").withColumn("score", score).where(F.col("score") >= min_score)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))
-        found = scored.where(F.length("text") >= 2).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
+        found = scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "node_id", "score", "rank")
         return self._for_all(found.unionByName(graph.keyword_seeds(q.where(F.length("text") < 2).select("query_id", "text"), self.nodes, k, min_score)), asked)

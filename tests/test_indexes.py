@@ -182,6 +182,22 @@ def test_copies_of_names_and_texts_are_looked_up_once(spark):
     assert rows(index.keyword(texts, 5)) == rows(graph.keyword_seeds(texts, nodes, 5))
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_keyword_candidates_grow_with_texts_alone(spark, k):
+    """With all names different and terms in many of them, a text's candidates are a few for each set of its terms; the rows are those of scoring all."""
+    rnd = random.Random(8)
+    name = lambda i: f"{rnd.choice(WORDS)} {rnd.choice(WORDS)} {i}"
+    nodes = spark.createDataFrame([(f"k{i:04d}", name(i), rnd.choice(["Part", "Red", None])) for i in range(1500)], "node_id string, name string, type string").cache()
+    asked = nodes.where("node_id like '%0'").selectExpr("cast(substr(node_id, 2) as bigint) AS query_id", "name AS text")
+    more = [(-1, "red"), (-2, "g"), (-3, " ".join([*WORDS, "17"])), (-4, "ed ring 1"), (-5, "none of these"), (-6, "12")]
+    texts = asked.union(spark.createDataFrame(more, asked.schema))
+    index = NameIndex(nodes)
+    small = texts.withColumn("small", F.lower("text"))
+    most = index._with_terms(small.where("query_id >= 0"), k).groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert most <= 7 * 3 * k and index._holding(small, k).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * k
+    assert rows(index.keyword(texts, k)) == rows(graph.keyword_seeds(texts, nodes, k))
+
+
 def test_nearest_nodes_equal_a_cut_of_all(spark):
     """A bounded search keeps the same nodes as the whole one cut by hop and id, at any bound; edges of hubs are found by pairs."""
     rnd = random.Random(7)
