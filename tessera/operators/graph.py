@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import term_overlap
@@ -45,19 +45,23 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "type").agg(F.max("weight").alias("weight"), F.count("*").alias("mentions"))
 
 
-def adjacency(edges: DataFrame, buckets: int | None = None, edges_a_bucket: int = 4_000_000) -> DataFrame:
+def buckets_of(spark: SparkSession, edges: int, edges_a_bucket: int = 4_000_000) -> int:
+    """Buckets for so many edges: no fewer than the session's shuffle partitions, so that a join never finds it cheaper to deal the edges anew."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-edges // edges_a_bucket))
+
+
+def adjacency(edges: DataFrame, buckets: int | None = None, edges_a_bucket: int = 4_000_000, dealt: bool = False) -> DataFrame:
     """edges as a table bucketed and sorted by src: the levels of a search then join it where it lies, and only their own rows are shuffled.
 
-    A file a bucket; the table is in the session's catalog and its files in the shared folder, both for the life of the application. buckets: by the number of edges if not given,
-    and no fewer than the session's shuffle partitions, so that a join never finds it cheaper to deal the edges anew.
-    """
+    A file a bucket; the table is in the session's catalog and its files in the shared folder, both for the life of the application. buckets: by the number of edges if not given (buckets_of). dealt: edges are
+    in as many partitions by src already."""
     spark = edges.sparkSession
     if buckets is None:
         edges = cut(edges)
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-edges.count() // edges_a_bucket))
+        buckets = buckets_of(spark, edges.count(), edges_a_bucket)
     name = f"adjacency_{uuid.uuid4().hex}"
     path = folder_of(spark, "adjacency")
-    edges.repartition(buckets, "src").write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "src").sortBy("src").saveAsTable(name)
+    (edges if dealt else edges.repartition(buckets, "src")).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "src").sortBy("src").saveAsTable(name)
     return spark.table(name)
 
 

@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import adjacency, by_query, ratios, text_seeds
+from tessera.operators.graph import adjacency, buckets_of, by_query, ratios, text_seeds
 from tessera.sources.tables import cut
 
+#: Share of the residual that makes a node push, from which a push keeps its links for later rounds.
+SOON = 0.25
+
 
 def nearest_nodes(seeds: DataFrame, edges: DataFrame, hops: int, most: int) -> DataFrame:
     """query_id, node_id of the first `most` nodes of each query within hops, by hop and id, and of all its seeds: what breadth_first finds, cut by that order, without finding the rest.
@@ -89,33 +92,46 @@ def personalised_pagerank(seeds: DataFrame, edges: DataFrame, alpha: float = 0.1
 
 def transitions(edges: DataFrame) -> DataFrame:
     """src, dst, share, dst_degree: what of a node's rank goes to each neighbour, edges both ways round, the greater weight if a direction has several, none to itself; bucketed by src."""
-    e = edges.select("src", "dst", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight")).where("src <> dst")
-    both = cut(e.union(e.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
-    out = both.groupBy("src").agg(F.sum("weight").alias("all"), F.count("*").alias("degree"))
-    links = both.join(out.select("src", "all"), "src").join(out.select(F.col("src").alias("dst"), F.col("degree").alias("dst_degree")), "dst")
-    return adjacency(links.select("src", "dst", (F.col("weight") / F.col("all")).alias("share"), "dst_degree"))
+    e = cut(edges.select("src", "dst", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight")).where("src <> dst"))
+    buckets = buckets_of(edges.sparkSession, 2 * e.count())
+    of_src = Window.partitionBy("src")
+    # dealt by one end, where its degree is counted, then by the other, where its weights are added up: links are the same both ways round
+    both = e.union(e.select("dst", "src", "weight")).repartition(buckets, "src").groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("degree", F.count("*").over(of_src))
+    turned = both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.col("degree").alias("dst_degree")).repartition(buckets, "src")
+    return adjacency(turned.select("src", "dst", (F.col("weight") / F.sum("weight").over(of_src)).alias("share"), "dst_degree"), buckets, dealt=True)
 
 
 def forward_push(seeds: DataFrame, links: DataFrame, alpha: float = 0.15, least: float = 1e-4, rounds: int = 50) -> DataFrame:
     """query_id, node_id, score (over the greatest of its query), rank_mass, residual (the query's): personalised PageRank by forward push (Andersen, Chung and Lang 2006) over the whole graph, all queries at once.
 
     A node holds rank p and residual r; at first r is the seeds' share. In a round every node with ``r >= least * degree`` keeps alpha of its residual as rank and deals the rest to its neighbours: a join of the nodes that
-    push with links (see transitions), which stay where they are, and one sum by query and node. A query touches at most ``1 / (alpha * least)`` edges a unit of seed mass, however large the graph is, and no
-    query's nodes meet in one task. rank_mass is p + r: what the power iteration holds after so many rounds if least is 0. The exact rank lies within 2 * residual of it (sum of differences over all nodes).
-    Nodes without links keep their residual. Each round is written, so plans do not grow.
+    push with their links, and one sum by query and node. Links of nodes that have pushed are kept; all links (see transitions) are read only in rounds in which a node pushes that has not yet, and those of nodes that
+    are within SOON of pushing are kept too, so later rounds seldom read all. A query touches at most ``1 / (alpha * least)`` edges a unit of seed mass, however large the graph is, and no query's nodes meet in one
+    task. rank_mass is p + r: what the power iteration holds after so many rounds if least is 0. The exact rank lies within 2 * residual of it (sum of differences over all nodes). Nodes without links keep their
+    residual. Each round is written, so plans do not grow.
     """
     total = seeds.groupBy("query_id").agg(F.sum("score").alias("all"), F.countDistinct("node_id").alias("n"))
     start = seeds.groupBy("query_id", "node_id").agg(F.sum(F.col("score").cast("double")).alias("score")).join(total, "query_id")
     r = F.when(F.col("all") > 0, F.col("score") / F.col("all")).otherwise(1 / F.col("n"))
-    degrees = links.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id")
+
+    def links_of(nodes: DataFrame) -> DataFrame:
+        return cut(links.join(nodes.select(F.col("node_id").alias("wanted")), F.col("src") == F.col("wanted"), "left_semi"))
+
+    known = cut(seeds.select("node_id").distinct())
+    held = links_of(known)
+    degrees = held.groupBy("src").agg(F.count("*").alias("degree")).withColumnRenamed("src", "node_id")
     state = start.select("query_id", "node_id", F.lit(0.0).alias("p"), r.alias("r")).join(degrees, "node_id", "left")
     state = cut(state.select("query_id", "node_id", "p", "r", F.coalesce("degree", F.lit(0).cast("long")).alias("degree")))
-    pushes = (F.col("degree") > 0) & (F.col("r") > 0) & (F.col("r") >= least * F.col("degree"))
+    within = lambda share: (F.col("degree") > 0) & (F.col("r") > 0) & (F.col("r") >= share * least * F.col("degree"))
+    pushes = within(1.0)
     for _ in range(rounds):
         active = state.where(pushes)
         if active.isEmpty():
             break
-        dealt = links.join(active.select("query_id", "node_id", "r"), links.src == F.col("node_id"))
+        if not active.join(known, "node_id", "left_anti").isEmpty():
+            fresh = cut(state.where(within(SOON)).select("node_id").distinct().join(known, "node_id", "left_anti"))
+            known, held = known.union(fresh), held.union(links_of(fresh))
+        dealt = held.join(active.select("query_id", "node_id", "r"), F.col("src") == F.col("node_id"))
         dealt = dealt.select("query_id", F.col("dst").alias("node_id"), F.lit(0.0).alias("p"), ((1 - alpha) * F.col("r") * F.col("share")).alias("r"), F.col("dst_degree").alias("degree"))
         stays = state.select("query_id", "node_id", (F.col("p") + F.when(pushes, alpha * F.col("r")).otherwise(0.0)).alias("p"), F.when(pushes, 0.0).otherwise(F.col("r")).alias("r"), "degree")
         state = cut(stays.union(dealt).groupBy("query_id", "node_id").agg(F.sum("p").alias("p"), F.sum("r").alias("r"), F.max("degree").alias("degree")))

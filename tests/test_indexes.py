@@ -161,6 +161,23 @@ def test_push_stays_within_its_bound(spark, least):
     assert sum(mass.values()) == pytest.approx(1)
 
 
+def test_push_reads_all_links_only_for_nodes_that_have_not_pushed(spark, monkeypatch):
+    """Once all nodes of a neighbourhood have pushed, rounds read the links that are kept and not the table."""
+    edges = some_edges(spark, 12, 60)
+    seeds = spark.createDataFrame([(1, "v1", 1.0), (2, "v5", 1.0)], "query_id bigint, node_id string, score double")
+    links, plans, real = pagerank.transitions(edges), [], pagerank.cut
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(pagerank, "cut", noted)
+    got = pagerank.forward_push(seeds, links, least=0.0, rounds=20).collect()
+    assert len(plans) > 20 and 0 < sum("adjacency_" in p for p in plans) < 8
+    exact = walk([tuple(r)[:2] + (r.weight,) for r in edges.collect()], {"v1": 1.0}, 0.15, 20)
+    assert {r.node_id: r.rank_mass for r in got if r.query_id == 1} == pytest.approx({k: v for k, v in exact.items() if v > 0})
+
+
 def test_push_of_odd_seeds(spark):
     edges = some_edges(spark)
     seeds = spark.createDataFrame([(1, "nowhere", 1.0), (2, "v1", 0.0), (2, "v2", 0.0), (3, "v1", 1.0), (3, "v1", 1.0)], "query_id bigint, node_id string, score double")
